@@ -7,13 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cuckoo_dedup, mixing, packing, secrets
+from ..session import staged
+from . import chat_collapse, cuckoo_dedup, mixing, packing, quality_classifier, quality_rules, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = staged(quality_rules.features(docs).drop("text"), "quality-counts")
+    found = quality_rules.judged(counted, quality_rules.fit(counted))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *(F.col(f"_qr_s.{n}").alias(n) for n in names), F.col("_qr_failed").alias("base_failed"), F.col("_qr_kept").alias("kept"), F.col("_qr_quality").alias("quality"))
+
+
+#: Learn from rows of another remainder only; that of the held-out rows comes second.
+QUALITY_HELD, TOXIC_HELD = (4, 2), (3, 1)
+
+
+def _held_out(fold: tuple[int, int]) -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold[0])) == fold[1], F.lit(False))
+
+
+def _predicted() -> Column:
+    return F.when(F.col("score") >= 0.7, F.lit(1)).otherwise(F.lit(0)).alias("predicted")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality_classifier.fit(docs, _table(spark, sf_dir, "labels"), ~_held_out(QUALITY_HELD))
+    return quality_classifier.score(docs, machine).select("doc_id", _held_out(QUALITY_HELD).alias("held_out"), "score", _predicted())
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -43,12 +70,24 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_mx_size").alias("size"), F.col("_mx_source_size").alias("source_size"), F.col("_mx_target").alias("target"), (F.col("_mx_whole") * F.col("_mx_size") + F.col("_mx_part")).alias("taken"))
 
 
+def op9_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_collapse.collapse(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_chat_collapse": """
+            WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS r,
+                              count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+            p AS (SELECT conv_id, r, n, string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '')
+                         OVER (PARTITION BY conv_id ORDER BY r ROWS UNBOUNDED PRECEDING) AS rendered FROM t),
+            k AS (SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_copies, rendered FROM p WHERE r = n GROUP BY n, rendered)
+            SELECT conv_id, n_turns, n_copies, rendered FROM k
+            WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT r, rendered FROM p WHERE r < n) q WHERE q.r = k.n_turns AND q.rendered = k.rendered)""",
         "op6_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
