@@ -6,7 +6,7 @@ features, in time linear in their number. Inputs come from the text alone: hashe
 
 The model is fitted on at most ``LABELLED`` labelled rows, those of smallest seeded hash, by Adagrad on the logistic
 loss; its parameters are a few megabytes whatever the corpus's size, and every document is scored where it lies.
-A constant shift and scale fitted on the same rows calibrate the score.
+The loss makes the score a probability.
 
 Defined results: null and empty texts get the score of a text without words; repeated rows get equal scores; a label
 table without usable rows gives the score 0.5 to all; an empty table gives an empty result; extra columns pass through.
@@ -33,7 +33,9 @@ LABELLED = 12_000
 BUCKETS = 1 << 15
 RANK = 8
 EPOCHS = 6
-RATE = 0.08
+#: Least number of steps, for small label tables.
+STEPS = 600
+RATE = 0.15
 SEED = 5
 
 STATS = 12
@@ -97,7 +99,7 @@ class Machine:
         rng = np.random.default_rng(seed)
         size = STATS + BUCKETS
         self.w0, self.w, self.v = 0.0, np.zeros(size, np.float32), (rng.normal(0, 0.05, (size, RANK))).astype(np.float32)
-        self.shift, self.scale, self.fitted = 0.0, 1.0, False
+        self.fitted = False
 
     def raw(self, at: np.ndarray, x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores of rows that lie one after another, bounds their starts; and each row's sums of v x."""
@@ -113,14 +115,14 @@ class Machine:
             return np.full(len(rows), 0.5)
         lengths = np.array([len(a) for a, _ in rows])
         raw, _ = self.raw(np.concatenate([a for a, _ in rows]), np.concatenate([x for _, x in rows]), np.cumsum(lengths) - lengths)
-        return 1 / (1 + np.exp(-np.clip(self.shift + self.scale * raw, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, batch: int = 128, seed: int = SEED) -> Machine:
         rng = np.random.default_rng(seed)
         gw, gv, g0 = np.full_like(self.w, 1e-2), np.full_like(self.v, 1e-2), 1e-2
         share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
         self.w0 = float(np.log(share / (1 - share)))
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-STEPS * batch // max(1, len(rows))))):
             order = rng.permutation(len(rows))
             for low in range(0, len(order), batch):
                 own = order[low : low + batch]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from . import chat_collapse, cuckoo_dedup, mixing, packing, quality_classifier, quality_rules, secrets
+from . import chat_collapse, cuckoo_dedup, mixing, packing, quality_classifier, quality_rules, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~_held_out(TOXIC_HELD))
+    return toxicity.score(docs, index).select("doc_id", _held_out(TOXIC_HELD).alias("held_out"), "score", _predicted())
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
