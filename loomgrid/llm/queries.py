@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from . import chat_collapse, cuckoo_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secrets, toxicity
+from . import chat_collapse, cuckoo_dedup, mixing, near_dedup, packing, prefix_free, quality_classifier, quality_rules, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,11 @@ def op9_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_collapse.collapse(_table(spark, sf_dir, "conversations"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_free.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
