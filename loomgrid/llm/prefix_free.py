@@ -6,18 +6,18 @@ phrase: the bytes that these windows cover. Phrases overlap by WIDTH - 1 bytes,
 its phrases in order: its parse.
 
 Two windows are equal exactly if they lie in phrases around equal triggers, at the same distance from them. So phrases
-go to the bucket of their trigger's hash, which holds the part of the dictionary that sorts together, and each bucket
-brings its windows into order on its own. An equal whole phrase settles all its windows at once. For phrases that agree
-in part, the phrases' suffixes are sorted as far as WIDTH bytes, by a 64-bit hash of these: nothing beyond matters
-here, and only which suffixes are equal does, so this stands for the order that suffix arrays of dictionary and parse
-would give, cut at that depth. In each class of equal windows all but the earliest start is a repeat.
+go, as hashes, to the bucket of their trigger, which holds the part of the dictionary that sorts together. There equal
+phrases settle all their windows at once, and a phrase whose trigger no other phrase has is new. What is left open are
+phrases that agree with others in part, at the ends of passages. Their bytes go to buckets once more, where the phrases'
+suffixes are sorted as far as WIDTH bytes, by a 64-bit hash of these: nothing beyond matters here, and only which
+suffixes are equal does, so this stands for the order that suffix arrays of dictionary and parse would give, cut at
+that depth. In each class of equal windows all but the earliest start is a repeat.
 
-Copies of a whole text are settled first, by digest: everything in a later copy of WIDTH bytes or more starts earlier.
 Map tasks settle phrases that they have seen before themselves, so that a passage which a third of all texts share
-reaches its bucket at most once for each map task.
+reaches its bucket about once for each map task.
 
 Defined results: matches never cross documents; a null text counts as empty; texts shorter than WIDTH keep all. Order
-is by doc_id (null last), then by digest for rows that share one. Repeated rows (same id, same text) are one document.
+is by doc_id (null last), then by a hash of the text for rows that share one. Repeated rows (same id, same text) are one document.
 Extra columns are not read; an empty table gives an empty result.
 """
 
@@ -109,77 +109,75 @@ def phrases(texts: list[np.ndarray], width: int = WIDTH) -> tuple[np.ndarray, ..
     return text[first], window[first], count, gram[at[first]], _mixed(whole + (at[first] - start).astype(np.uint64) * _B)
 
 
-ROW = np.dtype([("trigger", "<u8"), ("phrase", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("first", "<i8"), ("count", "<i4"), ("away", "<i4")])
+#: A phrase as a bucket gets it. Triggers are cut to 23 bits beside the bucket: phrases that only seem to share one are left open for nothing.
+ROW = np.dtype([("trigger", "<u4"), ("phrase", "<u8"), ("doc", "<i8"), ("first", "<u4"), ("tie", "<u2"), ("count", "u1")])
+#: Windows known to be repeats: (doc, tie) and a code.
+FOUND = np.dtype([("doc", "<i8"), ("tie", "<i4"), ("code", "<i8")])
+#: Phrases whose fate a task remembers for those that follow; others go to their bucket, which settles them all the same.
+MEMORY = 400_000
+SENT = "bucket int, rows binary, extra binary"
+CODES = "doc long, tie int, code long"
 
 
-def _spans(doc: np.ndarray, tie: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch | None:
-    """Byte ranges of each document in one row: doc, tie, ranges as pairs of little-endian 64-bit numbers."""
-    if not len(doc):
-        return None
-    order = np.lexsort((low, tie, doc))
-    doc, tie, low, high = doc[order], tie[order], low[order], high[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])])
-    # ranges that touch or overlap become one
-    fresh = new | np.concatenate([[True], low[1:] > high[:-1]])
-    at = np.flatnonzero(fresh)
-    ranges = np.column_stack([low[at], np.maximum.reduceat(high, at)]).astype("<i8")
-    owner = np.flatnonzero(new[at])
-    ends = np.append(owner[1:], len(at))
-    packed = [ranges[a:b].tobytes() for a, b in zip(owner.tolist(), ends.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(doc[at][owner]), pa.array(tie[at][owner]), pa.array(packed, pa.binary())], names=["doc", "tie", "ranges"])
+def _code(first: np.ndarray, count: np.ndarray, trigger: np.ndarray | int = 0, left_open: int = 0) -> np.ndarray:
+    """23 bits of trigger, 32 of the first window, 7 of the number of windows, 1: open."""
+    return (np.asarray(trigger, np.int64) << 40) | (first.astype(np.int64) << 8) | (count.astype(np.int64) << 1) | left_open
 
 
-MAPPED = "bucket int, rows binary, bytes binary, doc long, tie long, ranges binary"
+def _flat(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(found), 50_000):
+        part = found[low : low + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part["doc"].copy()), pa.array(part["tie"].copy()), pa.array(part["code"].copy())], names=["doc", "tie", "code"])
+
+
+def _dealt(bucket: np.ndarray, rows: np.ndarray, extra: list[bytes] | np.ndarray, sizes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket, packed; extra: bytes of each row (with sizes), or one value a bucket."""
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    stop = np.append(cut[1:], len(bucket)).astype(np.int64)
+    at = None if sizes is None else np.concatenate([[0], np.cumsum(sizes)])
+    for low in range(0, len(cut), 500):
+        a, z = cut[low : low + 500].tolist(), stop[low : low + 500].tolist()
+        more = [b""] * len(a) if at is None else [extra[at[i] : at[j]].tobytes() for i, j in zip(a, z, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[a], pa.int32()), pa.array([rows[i:j].tobytes() for i, j in zip(a, z, strict=True)], pa.binary()), pa.array(more, pa.binary())], names=["bucket", "rows", "extra"])
 
 
 def _parse(buckets: int, width: int):
-    """Distinct texts to phrases by bucket. Phrases seen before in the task become ranges at once."""
+    """Texts to phrases by bucket. Phrases seen before in the task are settled at once; they travel as extra."""
 
     def send(docs: np.ndarray, ties: np.ndarray, texts: list[np.ndarray], seen: dict[int, tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
         text, first, count, trigger, phrase = phrases(texts, width)
         if not len(text):
             return
         doc, tie = docs[text], ties[text]
-        # the earliest of each phrase within this batch goes on, if the task has seen none earlier
         order = np.lexsort((first, tie, doc, phrase))
         lead = np.concatenate([[True], phrase[order][1:] != phrase[order][:-1]])
         go = np.zeros(len(text), bool)
         go[order[lead]] = True
+        # a row that comes twice is no repeat of itself
+        leader = order[lead][np.cumsum(lead) - 1]
+        own = (doc[order] == doc[leader]) & (tie[order] == tie[leader]) & (first[order] == first[leader])
+        settled = np.zeros(len(text), bool)
+        settled[order[~own]] = True
         for i in order[lead].tolist():
-            key, own = int(phrase[i]), (int(doc[i]), int(tie[i]), int(first[i]))
+            key, mine = int(phrase[i]), (int(doc[i]), int(tie[i]), int(first[i]))
             had = seen.get(key)
-            if had is not None and had <= own:
+            if had is not None and had <= mine:
                 go[i] = False
-            elif had is not None or len(seen) < 2_000_000:
-                seen[key] = own
-        back = ~go
-        found = _spans(doc[back], tie[back], first[back], first[back] + count[back] - 1 + width)
-        if found is not None:
-            n = found.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *found.columns], names=["bucket", "rows", "bytes", "doc", "tie", "ranges"])
+                settled[i] = had < mine
+            elif had is not None or len(seen) < MEMORY:
+                seen[key] = mine
+        found = np.zeros(int(settled.sum()), FOUND)
+        found["doc"], found["tie"], found["code"] = doc[settled], tie[settled], _code(first[settled], count[settled])
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array([int(phrase[0] % np.uint64(buckets))], pa.int32()), pa.array([b""], pa.binary()), pa.array([found.tobytes()], pa.binary())], names=["bucket", "rows", "extra"])
         keep = np.flatnonzero(go)
-        data = np.concatenate(texts)
-        lengths = np.array([len(t) for t in texts], np.int64)
-        start = (np.cumsum(lengths) - lengths)[text[keep]] + first[keep]
-        size = count[keep] - 1 + width
+        bucket = (trigger[keep] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        keep, bucket = keep[order], bucket[order]
         rows = np.zeros(len(keep), ROW)
-        for name, x in (("trigger", trigger), ("phrase", phrase), ("doc", doc), ("tie", tie), ("first", first), ("count", count)):
+        for name, x in (("trigger", trigger >> np.uint64(41)), ("phrase", phrase), ("doc", doc), ("tie", tie), ("first", first), ("count", count)):
             rows[name] = x[keep]
-        bucket = (rows["trigger"] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket, rows, start, size = bucket[order], rows[order], start[order], size[order]
-        ends = np.cumsum(size)
-        joined = data[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]))] if len(ends) else np.zeros(0, np.uint8)
-        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-        stop = np.append(cut[1:], len(bucket))
-        byte_at = np.concatenate([[0], ends])
-        packed_rows = [rows[a:b].tobytes() for a, b in zip(cut.tolist(), stop.tolist(), strict=True)]
-        packed = [joined[byte_at[a] : byte_at[b]].tobytes() for a, b in zip(cut.tolist(), stop.tolist(), strict=True)]
-        n = len(cut)
-        for low in range(0, n, 500):
-            part = slice(low, min(n, low + 500))
-            k = part.stop - low
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[part]], pa.int32()), pa.array(packed_rows[part], pa.binary()), pa.array(packed[part], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=["bucket", "rows", "bytes", "doc", "tie", "ranges"])
+        yield from _dealt(bucket, rows, [])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[int, int, int]] = {}
@@ -199,110 +197,168 @@ def _parse(buckets: int, width: int):
     return run
 
 
-def _order_bucket(rows: np.ndarray, data: np.ndarray, width: int) -> pa.RecordBatch | None:
-    """Repeated windows of one bucket as byte ranges."""
-    size = rows["count"].astype(np.int64) - 1 + width
-    start = np.cumsum(size) - size
-    order = np.lexsort((rows["first"], rows["tie"], rows["doc"], rows["phrase"], rows["trigger"]))
-    rows, start, size = rows[order], start[order], size[order]
-    same_trigger = rows["trigger"][1:] == rows["trigger"][:-1]
-    same_phrase = same_trigger & (rows["phrase"][1:] == rows["phrase"][:-1])
-    repeat = np.concatenate([[False], same_phrase])
-    low, high = rows["first"], rows["first"] + size
-    out = [(rows["doc"][repeat], rows["tie"][repeat], low[repeat], high[repeat])]
-    # among the first of each phrase, those whose trigger has several phrases
-    shared = np.concatenate([[False], same_trigger]) | np.concatenate([same_trigger, [False]])
-    part = np.flatnonzero(~repeat & shared)
-    if len(part):
-        lead = rows["trigger"][part]
-        several = np.zeros(len(part), bool)
-        several[1:] |= lead[1:] == lead[:-1]
-        several[:-1] |= lead[1:] == lead[:-1]
-        part = part[several]
-    for lot in _lots(part, rows["trigger"], size):
-        own = rows[lot]
-        n = own["count"].astype(np.int64)
-        roller = _Roller(np.concatenate([data[s : s + z] for s, z in zip(start[lot].tolist(), size[lot].tolist(), strict=True)]))
-        base = np.cumsum(size[lot]) - size[lot]
-        who = np.repeat(np.arange(len(lot)), n)
-        step = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-        suffix = roller.of(base[who] + step, base[who] + step + width)
-        at = own["first"][who] + step
-        doc, tie = own["doc"][who], own["tie"][who]
-        rank = np.lexsort((at, tie, doc, suffix))
-        again = np.concatenate([[False], suffix[rank][1:] == suffix[rank][:-1]])
-        hit = rank[again]
-        out.append((doc[hit], tie[hit], at[hit], at[hit] + width))
-    return _spans(*(np.concatenate([o[i] for o in out]) for i in range(4)))
-
-
-def _lots(part: np.ndarray, trigger: np.ndarray, size: np.ndarray, most: int = 4 << 20) -> Iterator[np.ndarray]:
-    """Phrases in runs of about ``most`` bytes that do not part a trigger."""
-    low, held = 0, 0
-    for i in range(len(part)):
-        if held >= most and trigger[part[i]] != trigger[part[i - 1]]:
-            yield part[low:i]
-            low, held = i, 0
-        held += int(size[part[i]])
-    if low < len(part):
-        yield part[low:]
+def _each_bucket(work):
+    """Gathers the rows of a bucket, which come one after another, and runs ``work`` on them."""
 
-
-def _orderer(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, rows, data = None, [], []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if rows:
-                found = _order_bucket(np.frombuffer(b"".join(rows), ROW), np.frombuffer(b"".join(data), np.uint8), width)
-                if found is not None:
-                    yield found
-
+        current, rows, extra = None, [], []
         for b in batches:
-            for bucket, r, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for bucket, r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if bucket != current:
-                    yield from done()
-                    current, rows, data = bucket, [], []
+                    if current is not None:
+                        yield from _flat(work(np.frombuffer(b"".join(rows), ROW), b"".join(extra)))
+                    current, rows, extra = bucket, [], []
                 rows.append(r)
-                data.append(d)
-        yield from done()
+                extra.append(x)
+        if current is not None:
+            yield from _flat(work(np.frombuffer(b"".join(rows), ROW), b"".join(extra)))
+
+    return run
+
+
+def _settle(rows: np.ndarray, extra: bytes) -> np.ndarray:
+    """Codes of repeated phrases and of open ones: firsts of a phrase whose trigger has several phrases."""
+    rows = rows[np.lexsort((rows["first"], rows["tie"], rows["doc"], rows["phrase"], rows["trigger"]))]
+    near = rows["trigger"][1:] == rows["trigger"][:-1]
+    same = np.concatenate([[False], near & (rows["phrase"][1:] == rows["phrase"][:-1])])
+    leader = np.flatnonzero(~same)[np.cumsum(~same) - 1] if len(rows) else np.zeros(0, np.int64)
+    later = same & ((rows["doc"] != rows["doc"][leader]) | (rows["tie"] != rows["tie"][leader]) | (rows["first"] != rows["first"][leader]))
+    firsts = np.flatnonzero(~same)
+    t = rows["trigger"][firsts]
+    shared = np.zeros(len(firsts), bool)
+    shared[1:] |= t[1:] == t[:-1]
+    shared[:-1] |= t[1:] == t[:-1]
+    opened = firsts[shared]
+    out = np.zeros(int(later.sum()) + len(opened), FOUND)
+    n = int(later.sum())
+    for name in ("doc", "tie"):
+        out[name][:n], out[name][n:] = rows[name][later], rows[name][opened]
+    out["code"][:n] = _code(rows["first"][later], rows["count"][later])
+    out["code"][n:] = _code(rows["first"][opened], rows["count"][opened], rows["trigger"][opened], 1)
+    return np.concatenate([out, np.frombuffer(extra, FOUND)])
+
+
+def _reopen(buckets: int, width: int):
+    """Bytes of open phrases by bucket of their trigger: doc, tie, text and codes in."""
+
+    def send(rows: list[np.ndarray], pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
+        every = np.concatenate(rows)
+        sizes = every["count"].astype(np.int64) - 1 + width
+        start = np.cumsum(sizes) - sizes
+        bucket = every["trigger"].astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        z = sizes[order]
+        joined = data[np.repeat(start[order] - (np.cumsum(z) - z), z) + np.arange(int(z.sum()))]
+        yield from _dealt(bucket[order], every[order], joined, z)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, pieces, held = [], [], 0
+        for b in batches:
+            for doc, tie, text, codes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), b.column(3).to_pylist(), strict=True):
+                c = np.array(codes, np.int64)
+                c = c[(c & 1) == 1]
+                if not len(c):
+                    continue
+                own = np.zeros(len(c), ROW)
+                own["trigger"], own["doc"], own["tie"], own["first"], own["count"] = c >> 40, doc, tie, (c >> 8) & 0xFFFFFFFF, (c >> 1) & 127
+                rows.append(own)
+                got = [text[f : f + n - 1 + width] for f, n in zip(own["first"].tolist(), own["count"].tolist(), strict=True)]
+                pieces += got
+                held += sum(map(len, got))
+                if held >= PARSE_BYTES:
+                    yield from send(rows, pieces)
+                    rows, pieces, held = [], [], 0
+        if rows:
+            yield from send(rows, pieces)
 
     return run
 
 
+def _orderer(width: int):
+    """Repeated windows among the open phrases of a bucket."""
+
+    def work(rows: np.ndarray, extra: bytes) -> np.ndarray:
+        data = np.frombuffer(extra, np.uint8)
+        sizes = rows["count"].astype(np.int64) - 1 + width
+        start = np.cumsum(sizes) - sizes
+        order = np.argsort(rows["trigger"], kind="stable")
+        rows, sizes, start = rows[order], sizes[order], start[order]
+        out = [np.zeros(0, FOUND)]
+        for low, high in _lots(rows["trigger"], sizes):
+            own, z = rows[low:high], sizes[low:high]
+            n = own["count"].astype(np.int64)
+            roller = _Roller(data[np.repeat(start[low:high] - (np.cumsum(z) - z), z) + np.arange(int(z.sum()))])
+            who = np.repeat(np.arange(len(own)), n)
+            step = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+            at = (np.cumsum(z) - z)[who] + step
+            suffix = roller.of(at, at + width)
+            doc, tie, place = own["doc"][who], own["tie"][who], own["first"][who].astype(np.int64) + step
+            rank = np.lexsort((place, tie, doc, suffix))
+            lead = np.concatenate([[True], suffix[rank][1:] != suffix[rank][:-1]])
+            leader = rank[lead][np.cumsum(lead) - 1]
+            again = (doc[rank] != doc[leader]) | (tie[rank] != tie[leader]) | (place[rank] != place[leader])
+            hit = np.sort(rank[again])
+            if len(hit):
+                # runs of windows of one phrase
+                new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (who[hit[1:]] != who[hit[:-1]])]))
+                found = np.zeros(len(new), FOUND)
+                found["doc"], found["tie"] = doc[hit[new]], tie[hit[new]]
+                found["code"] = _code(place[hit[new]], np.diff(np.append(new, len(hit))))
+                out.append(found)
+        return np.concatenate(out)
+
+    return work
+
+
+def _lots(trigger: np.ndarray, size: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of about ``most`` bytes that do not part a trigger."""
+    ends = np.append(np.flatnonzero(trigger[1:] != trigger[:-1]) + 1, len(trigger)) if len(trigger) else []
+    low, held, before = 0, 0, 0
+    total = np.concatenate([[0], np.cumsum(size)])
+    for end in ends:
+        held += int(total[end] - total[before])
+        before = int(end)
+        if held >= most:
+            yield low, before
+            low, held = before, 0
+    if low < len(trigger):
+        yield low, len(trigger)
+
+
 LAST = (1 << 63) - 1
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """Documents with their order (doc, tie, copy: a later copy of a whole text), and ranges of repeated bytes by (doc, tie)."""
+def _by_bucket(sent: DataFrame, work) -> DataFrame:
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_each_bucket(work), CODES)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """One row for each input row: doc_id, n_bytes, kept (binary: the bytes that stay), spans (array of start, end)."""
     prepared(docs)
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), body.alias("t"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.lit(29), body).alias("tie"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest"))
-    length = F.octet_length("t").cast("long")
-    firsts = staged(rows.where(length >= width).groupBy("digest").agg(F.min("doc").alias("lead"), F.first("tie").alias("lead_tie"), F.max(length).alias("size")), "texts")
-    total = firsts.agg(F.sum("size")).first()[0] or 0
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.pmod(F.xxhash64(F.lit(29), body), F.lit(1 << 16)).cast("int").alias("tie")
+    rows = docs.select(*key, body.alias("t"))
+    total = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total // BUCKET_BYTES)
-    marked = rows.join(firsts.select("digest", "lead"), "digest", "left")
-    distinct = rows.join(firsts.select("digest", F.col("lead").alias("doc")), ["digest", "doc"], "left_semi").dropDuplicates(["digest", "doc"])
-    mapped = staged(distinct.select("doc", "tie", "t").mapInArrow(_parse(buckets, width), MAPPED), "phrases")
-    ordered = mapped.where("bucket is not null").select("bucket", "rows", "bytes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_orderer(width), "doc long, tie long, ranges binary")
-    ranges = mapped.where("bucket is null").select("doc", "tie", "ranges").unionByName(ordered)
-    return marked.select("doc_id", "t", "doc", "tie", F.coalesce(F.col("lead") < F.col("doc"), F.lit(False)).alias("copy")), ranges
 
+    def grouped(codes: DataFrame) -> DataFrame:
+        return codes.groupBy("doc", "tie").agg(F.collect_list("code").alias("codes"))
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row for each input row: doc_id, n_bytes, kept (binary: the bytes that stay), spans (array of start, end)."""
-    marked, ranges = repeats(docs, id_col, text, width)
-    grouped = ranges.groupBy("doc", "tie").agg(F.collect_list("ranges").alias("ranges"))
+    settled = staged(grouped(_by_bucket(rows.mapInArrow(_parse(buckets, width), SENT), _settle)), "phrases")
+    opened = settled.where(F.exists("codes", lambda c: c.bitwiseAND(F.lit(1)) == 1))
+    texts = docs.select(F.col(id_col).alias("doc_id"), *key, body.alias("t"))
+    late = _by_bucket(texts.join(opened, ["doc", "tie"]).select("doc", "tie", "t", "codes").mapInArrow(_reopen(buckets, width), SENT), _orderer(width))
+    ranges = grouped(settled.select("doc", "tie", F.explode("codes").alias("code")).where("code & 1 = 0").unionByName(late))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             kept, spans = [], []
-            for t, copy, packed in zip(texts_of(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for t, codes in zip(texts_of(b.column(1)), b.column(2).to_pylist(), strict=True):
                 found: list[list[int]] = []
-                pairs = [[0, len(t)]] if copy else sorted(np.frombuffer(b"".join(packed), "<i8").reshape(-1, 2).tolist()) if packed else []
-                for low, high in pairs:
+                for c in sorted(codes or []):
+                    low, high = c >> 8, (c >> 8) + ((c >> 1) & 127) - 1 + width
                     if found and low <= found[-1][1]:
                         found[-1][1] = max(found[-1][1], high)
                     else:
@@ -313,9 +369,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     at = high
                 kept.append(b"".join([*out, t[at:]]))
                 spans.append([{"start": a, "end": z} for a, z in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["doc_id", "n_bytes", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["doc_id", "n_bytes", "kept", "spans"])
 
-    mine = marked.where("not copy").join(grouped, ["doc", "tie"], "left").select("doc_id", "t", "copy", "ranges")
-    whole = marked.where("copy").select("doc_id", "t", "copy", F.lit(None).cast("array<binary>").alias("ranges"))
-    every = mine.unionByName(whole).withColumn("n", F.octet_length("t").cast("long"))
-    return every.select("doc_id", "t", "copy", "ranges", "n").mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
+    mine = texts.join(ranges, ["doc", "tie"], "left")
+    return mine.select("doc_id", "t", "codes", F.octet_length("t").cast("long").alias("n")).mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
