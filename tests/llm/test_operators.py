@@ -1,0 +1,268 @@
+"""Each operator against brute force on small tables with nulls, empty texts, ties and repeated rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from array import array
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from loomgrid.llm import chat_collapse, cuckoo_dedup, mixing, near_dedup, packing, prefix_free, quality_classifier, quality_rules, queries, secrets, toxicity
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+R = random.Random(3)
+VOCABULARY = ["the", "of", "Alpha", "beta", "gamma", "délta", "x1", "!!", "#", "and", "to"]
+
+
+def some_texts():
+    base = [" ".join(R.choices(VOCABULARY, k=R.randint(1, 90))) for _ in range(30)]
+    near = [" ".join(w if R.random() > 0.02 else "zz" for w in base[i % 30].split(" ")) for i in range(40)]
+    odd = [None, "", " \n\t", "one", "one", "a" * 700, "line\nline\n\nline", "word " * 400]
+    return base + near + base[:9] + odd
+
+
+TEXTS = some_texts()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, spans string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", f"s{i % 4}" if i % 5 else None, len(t or ""), 1, "clash") for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_rules(docs, none):
+    counted = quality_rules.features(docs)
+    model = quality_rules.fit(counted)
+    assert 0 < model.prior < 1 and all(0 < a < 1 for a in model.accuracy)
+    for r in quality_rules.judged(counted, model).collect():
+        words = WORD.findall(r.text or "")
+        places = {}
+        for i in range(len(words) - 2):
+            places.setdefault(tuple(words[i : i + 3]), []).append(i)
+        marked = {i + k for p in places.values() if len(p) > 1 for i in p for k in range(3)}
+        lines = [x for x in (r.text or "").split("\n") if WORD.search(x)]
+        s = r._qr_s
+        assert (s.n_words, s.word_chars, s.n_dup_lines, s.n_repeat_words) == (len(words), sum(map(len, words)), len(lines) - len(set(lines)), len(marked))
+        assert r._qr_failed == (len(words) < 50 or 2 * len(marked) > len(words)) and not (r._qr_failed and r._qr_kept)
+    assert quality_rules.keep_good(none).count() == 0
+
+
+def test_exact_dedup(spark, docs, none):
+    groups = {}
+    for i, t in enumerate(TEXTS):
+        groups.setdefault(t or "", []).append(i)
+    found = cuckoo_dedup.exact_duplicates(docs).collect()
+    assert len(found) == len(TEXTS)
+    for r in found:
+        g = groups[TEXTS[r.doc_id] or ""]
+        assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(g), len(g), r.doc_id == max(g), hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest())
+    assert cuckoo_dedup.keep_one_copy(docs).count() == len(groups)
+    same = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b")], "doc_id long, text string")
+    assert sorted((r.text, r.doc_id) for r in cuckoo_dedup.keep_one_copy(same).collect()) == [("a", 1), ("b", None)]
+    assert cuckoo_dedup.exact_duplicates(none).count() == 0
+
+
+def test_cuckoo_index_grows_and_forgets():
+    index = cuckoo_dedup.CuckooIndex(8)
+    keys = [(hashlib.sha256(str(i).encode()).digest(), i) for i in range(5000)]
+    for k in keys:
+        assert index.find(k) < 0
+        index.insert(k)
+    assert index.resizes > 0 and all(index.find(k) >= 0 for k in keys)
+    assert all(index.delete(k) for k in keys[::2]) and not index.delete(keys[0])
+    assert all((index.find(k) >= 0) == (i % 2 == 1) for i, k in enumerate(keys))
+
+
+def test_index_changes(spark):
+    none = spark.createDataFrame([], "digest binary, octets long, copies long")
+    changes = spark.createDataFrame([(1, "a", "insert"), (2, "a", "insert"), (3, "b", "insert"), (4, "b", "delete"), (5, "c", "delete")], "seq long, text string, change string")
+    assert [(r.octets, r.copies) for r in cuckoo_dedup.apply_changes(none, changes).collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_dedup(docs, none, size):
+    sets = {}
+    for i, t in enumerate(TEXTS):
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+    parent = list(range(len(TEXTS)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    for r in near_dedup.near_groups(docs, size=size).collect():
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.id]), find(r.id), find(r.id) == r.id)
+    assert near_dedup.near_groups(none).count() == 0
+
+
+def test_components(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
+    assert {r.id: r.comp for r in near_dedup.components(chain).collect()} == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.vocabulary_files()[0])
+    pieces, sequences = {}, {}
+    for r in packing.pack(docs, capacity=64).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for i, t in enumerate(TEXTS):
+        own = sorted(pieces[i], key=lambda r: r.start)
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        assert b"".join(bytes(r.ids) for r in own) == array("I", ids).tobytes() and own[0].start == 0
+    for own in sequences.values():
+        own.sort(key=lambda r: r.offset)
+        n = sum(r.length for r in own)
+        assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))] and n <= 64 and n & (n - 1) == 0
+    assert packing.pack(none).count() == 0
+    special = packing.units(*packing.vocabulary_files())
+    for t in ("a  <|endoftext|> b", "x  y  z\n\n w", "don't  stop\t\tnow "):
+        assert special.ids(t) == array("I", tok.encode(t, add_special_tokens=False).ids).tobytes()
+
+
+def test_mixing(docs, none):
+    found = mixing.mix(docs).collect()
+    assert len(found) == len(TEXTS)
+    by = {}
+    for r in found:
+        assert r._mx_size == len(WORD.findall(r.text or ""))
+        taken = r._mx_whole * r._mx_size + r._mx_part
+        assert 0 <= taken <= 3 * r._mx_size
+        s = by.setdefault(r.source, [0, 0, r._mx_target])
+        s[0] += r._mx_size
+        s[1] += taken
+    weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(sorted(by, key=lambda k: (k is None, k)))}
+    free, left, target = set(by), sum(s[0] for s in by.values()), {}
+    while free:
+        level = left / sum(weight[k] for k in free)
+        over = [k for k in free if level * weight[k] > 3 * by[k][0]]
+        target |= {k: level * weight[k] if not over else 3 * by[k][0] for k in (over or free)}
+        free -= set(over or free)
+        left -= sum(3 * by[k][0] for k in over)
+    for k, (_, taken, t) in by.items():
+        assert abs(t - target[k]) < 1e-6 and abs(taken - t) <= 1
+    texts = Counter()
+    for r in mixing.repeated(mixing.mix(docs), docs.columns).collect():
+        texts[r.doc_id] += len(WORD.findall(r.text or ""))
+    assert all(texts[r.doc_id] == r._mx_whole * r._mx_size + r._mx_part for r in found)
+    assert mixing.mix(none).count() == 0
+
+
+def test_secrets(spark, none):
+    bits = ["token", "TOKEN", "pass", "wd", "secret", "api_key", "=", ":", " ", '"', "abc", "AKIA", "ABCDEF0123", "0123456789abcdef", "deadbeef", "é", "\n", "-", "s"]
+    texts = ["".join(R.choices(bits, k=R.randint(0, 40))) for _ in range(1500)] + [None, "", "x" * 9000, "token=" + "a1" * 5000, "ghp_" + "a" * 36]
+    base = {
+        "assign": re.compile(r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+        "access": re.compile("AKIA[A-Z0-9]+"),
+        "hex": re.compile("[0-9a-f]+"),
+    }
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(d).collect():
+        told = []
+        for k, p in base.items():
+            for m in p.finditer(texts[r.doc_id] or ""):
+                if len(m[2]) >= 6 if k == "assign" else len(m[0]) >= (20 if k == "access" else 24):
+                    told.append((m.start(), list(base).index(k), k, m.end()))
+        assert [(s.start, s.kind, s.end) for s in r.spans if s.kind in base] == [(a, k, z) for a, _, k, z in sorted(told)]
+    assert secrets.scan(none).count() == 0
+
+
+def test_chat(spark):
+    c = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (4, 0, "user", "hi"), (4, 1, "bot", None), (5, 0, None, "hi")]
+    got = {r.conv_id: (r.n_turns, r.n_copies) for r in chat_collapse.collapse(spark.createDataFrame(c, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1: (2, 2), 4: (2, 1), 5: (1, 1)}
+
+
+def test_repeated_passages(spark, none):
+    passage = "".join(R.choices("abcdefgh ", k=260))
+    texts = ["".join(R.choices("abcdefgh ", k=R.randint(0, 500))) for _ in range(25)]
+    texts = [t[:50] + passage[R.randint(0, 99) :] + t[50:] if i % 3 else t for i, t in enumerate(texts)] + ["z" * 400, "ab" * 300, passage * 3, passage[:99], None, "", texts[4], "é" * 120]
+    seen, told = set(), {}
+    for i, t in enumerate(texts):
+        x = (t or "").encode()
+        gone = [False] * len(x)
+        for k in range(len(x) - 99):
+            if x[k : k + 100] in seen:
+                gone[k : k + 100] = [True] * 100
+            seen.add(x[k : k + 100])
+        told[i] = bytes(b for b, g in zip(x, gone, strict=True) if not g)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in prefix_free.remove_repeats(d).collect():
+        assert bytes(r.kept) == told[r.doc_id], r.doc_id
+        assert r.n_bytes - sum(s.end - s.start for s in r.spans) == len(r.kept)
+    assert prefix_free.remove_repeats(none).count() == 0
+
+
+def test_nearest_examples_are_exact():
+    rng = __import__("numpy").random.default_rng(1)
+    n, terms = 300, 40
+    examples = [(i, int(i % 3 == 0), a := rng.choice(terms, rng.integers(1, 9), False), rng.integers(1, 5, len(a)).astype(float)) for i in range(n)]
+    examples = [(i, y, a[o := a.argsort()], c[o]) for i, y, a, c in examples]
+    index = toxicity.Index([f"t{i}" for i in range(terms)], rng.uniform(1, 5, terms), examples, 0.3)
+    dense = __import__("numpy").zeros((n, terms))
+    where = {int(i): k for k, i in enumerate(index.ids)}
+    for i, _, a, c in examples:
+        dense[where[i], a] = index.weights(a, c)
+    for i, _, a, c in examples[:60]:
+        sims = dense @ dense[where[i]]
+        who, s = index.nearest(a, index.weights(a, c), 25)
+        assert abs(s - sorted(sims, reverse=True)[: len(s)]).max() < 1e-9 and abs(sims[who] - s).max() < 1e-9
+
+
+def test_classifiers(spark, none):
+    good = [("the fine words of a text " + " ".join(R.choices(VOCABULARY, k=30)), 1) for _ in range(60)]
+    bad = [("### $$$ idiot scum " + " ".join(R.choices(VOCABULARY, k=30)), 0) for _ in range(60)]
+    rows = [(i, t, y, 1 - y) for i, (t, y) in enumerate(good + bad)]
+    d = spark.createDataFrame([(i, t) for i, t, _, _ in rows] + [(900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in rows], "doc_id long, quality int, toxic int")
+    machine = quality_classifier.fit(d, labels, F.col("doc_id") % 2 == 0)
+    truth = {i: q for i, _, q, _ in rows}
+    got = {r.doc_id: r.score for r in quality_classifier.score(d, machine).collect()}
+    assert len(got) == 122 and all(0 <= s <= 1 for s in got.values()) and sum((got[i] >= 0.5) == bool(q) for i, q in truth.items()) >= 117
+    at, x = machine_rows = quality_classifier.features(rows[0][1].encode())
+    v = machine.v[at] * x[:, None]
+    slow = machine.w0 + (machine.w[at] * x).sum() + sum(float(v[i] @ v[j]) for i in range(len(at)) for j in range(i))
+    assert abs(machine.raw(at, x, __import__("numpy").array([0]))[0][0] - slow) < 1e-3 and len(machine_rows) == 2
+    index = toxicity.fit(d, labels, F.col("doc_id") % 2 == 0)
+    got = {r.doc_id: (r.score, r.evidence) for r in toxicity.score(d, index).collect()}
+    assert sum((got[i][0] >= 0.7) == (not q) for i, q in truth.items()) >= 117 and got[900][1] == []
+    assert toxicity.score(none, index).count() == 0 and toxicity.fit(none, labels, F.lit(True)) is None
+    assert {r.score for r in toxicity.score(d, None).collect()} == {0.5}
+
+
+def test_queries_and_pipeline(spark):
+    named = queries.queries()
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in named) == list(range(1, 11))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, SF)
+        assert at.columns == docs.columns, name
+    packed = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in packed} <= {r.doc_id for r in docs.collect()} and all(r.length > 0 for r in packed)
+
+
+def test_held_out_rows(spark):
+    d = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", queries._held_out((4, 2)).alias("h"))
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in d.collect())
