@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Languages by file ending, where the ending is not the name itself.
 LANGUAGE_OF_ENDING = {
-    "rs": "rust", "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript",
-    "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp",
-    "cxx": "cpp", "hpp": "cpp", "rb": "ruby", "cs": "csharp", "kt": "kotlin", "swift": "swift", "scala": "scala", "sh": "bash", "php": "php",
+    "rs": "rust", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript",
+    "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp",
+    "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "sh": "bash", "bash": "bash", "zsh": "bash", "lua": "lua",
+    "scala": "scala", "sc": "scala", "dart": "dart",
 }
 #: Endings of files that hold no text.
-BINARY_ENDINGS = ("png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "gz", "tar", "exe", "dll", "so", "o", "a", "class", "jar", "wasm", "bin", "lock")
+BINARY_ENDINGS = (
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "webp", "svg", "exe", "dll", "so", "dylib", "bin", "zip", "tar", "gz", "xz", "7z",
+    "rar", "bz2", "woff", "woff2", "ttf", "eot", "otf", "pdf", "doc", "docx", "pptx", "xlsx", "o", "obj", "a", "lib", "pyc", "pyo",
+    "class", "wasm", "map", "mp3", "mp4", "wav", "avi", "mov", "mkv", "db", "sqlite", "sqlite3",
+)
 
 LETTER_OR_DIGIT = r"[^\p{L}\p{N}]+"
 
@@ -70,3 +77,44 @@ def overlap(content: Column, terms: list[str]) -> Column:
     low = F.translate(content, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     hits = [F.when(low.contains(t), F.lit(1.0)).otherwise(F.lit(0.0)) for t in terms]
     return sum(hits[1:], hits[0]) / len(terms) if terms else F.lit(0.0)
+
+
+def n_tokens(text: Column) -> Column:
+    """Runs of letters and digits: a count that needs no model."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))
+
+
+def matched_lines(content: Column, query: str, start: Column) -> Column:
+    """Numbers of the lines that hold a word of the query, or a part of such a word, in any case."""
+    words = {w.lower() for w in query.split()}
+    for w in list(words):
+        parts = [p for p in re.split(r"[\W_]+", w) if p]
+        words |= {p for p in parts if len(p.encode()) > 1} if len(parts) > 1 else set()
+    if not words:
+        return F.array().cast("array<int>")
+    any_of = "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in sorted(words))
+    at = F.transform(F.split(F.lower(content), "\n"), lambda x, i: F.when(x.rlike(any_of), start + i))
+    return F.filter(at, lambda x: x.isNotNull())
+
+
+def glob_regex(glob: str) -> str:
+    """A regular expression for a glob: * and ? also match '/', **/ any folders or none, {a,b} either."""
+    out, i, depth = "", 0, 0
+    while i < len(glob):
+        c = glob[i]
+        if glob.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+            continue
+        if c == "[":
+            end = glob.find("]", i + 2)
+            if end < 0:
+                raise ValueError(f"glob {glob!r}: [ without ]")
+            body = glob[i + 1 : end].replace("\\", r"\\").replace("[", r"\[")
+            out, i = out + "[" + ("^" + body[1:] if body[0] in "!^" else body) + "]", end + 1
+            continue
+        depth += (c == "{") - (c == "}")
+        out += {"*": ".*", "?": ".", "{": "(?:", "}": ")"}.get(c) or ("|" if c == "," and depth else re.escape(c))
+        i += 1
+    if depth:
+        raise ValueError(f"glob {glob!r}: braces do not close")
+    return f"^{out}$"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +12,11 @@ from ..functions.text import cosine, overlap, plain_terms
 
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: Queries that one broadcast may hold.
+QUERY_BLOCK = 4096
 #: Words that open a code query, and words of natural-language queries.
-CODE_WORDS = ("fn", "def", "class", "struct", "impl", "func", "function", "async", "pub", "const", "let", "var", "import", "from", "return", "enum", "interface", "type", "trait", "mod", "use")
-PROSE_WORDS = ("how", "what", "where", "when", "why", "which", "who", "does", "is", "are", "the", "a", "an", "in", "to", "for", "with", "that")
+CODE_WORDS = ("fn", "func", "function", "def", "class", "struct", "enum", "impl", "trait", "interface", "module", "use", "import", "pub", "async", "const", "static", "type", "var", "let", "val")
+PROSE_WORDS = ("how", "what", "which", "where", "when", "why", "does", "that", "this", "the", "for", "with", "from", "is", "are", "can", "should", "would")
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -20,19 +25,30 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     return words.select("id", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, query: list[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, score for every document with a query term. One pass: only the query's terms are counted, no postings are built."""
-    terms = sorted(set(query))
-    words = F.array(plain_terms(F.coalesce(F.col(text), F.lit(""))))
-    counts = F.transform(words, lambda ws: F.struct(F.size(ws).alias("dl"), *((F.size(ws) - F.size(F.array_remove(ws, t))).alias(f"tf{i}") for i, t in enumerate(terms))))[0]
-    counted = docs.select(F.col(id_col).alias("id"), counts.alias("c")).select("id", "c.*")
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms)))).first()
-    n, avgdl = stats["n"] or 0, stats["avgdl"] or 1.0
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        df = stats[f"df{i}"] or 0
-        tf = F.col(f"tf{i}")
-        score = score + F.log(F.lit(1 + (n - df + 0.5) / (df + 0.5))) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
+def bm25(docs: DataFrame, query: list[str], id_col: str = "doc_id", text: str | dict[str, float] = "text", analyse: Callable[[Column], Column] = plain_terms) -> DataFrame:
+    """id, score for every document with a query term. One pass: only the query's terms are counted, no postings are built.
+
+    ``text`` may be several columns with the boost of each; every column has its own counts and mean length.
+    """
+    terms, fields = sorted(set(query)), {text: 1.0} if isinstance(text, str) else text
+    if not terms:
+        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
+
+    def counts(field: str) -> Column:
+        words = F.array(analyse(F.coalesce(F.col(field), F.lit(""))))
+        return F.transform(words, lambda ws: F.struct(F.size(ws).alias("dl"), *((F.size(ws) - F.size(F.array_remove(ws, t))).alias(f"tf{i}") for i, t in enumerate(terms))))[0]
+
+    counted = docs.select(F.col(id_col).alias("id"), *(counts(f).alias(f"c{k}") for k, f in enumerate(fields)))
+    sums = [F.count(F.lit(1)).alias("n")]
+    for k in range(len(fields)):
+        sums += [F.avg(f"c{k}.dl").alias(f"avgdl{k}"), *(F.sum(F.when(F.col(f"c{k}.tf{i}") > 0, 1).otherwise(0)).alias(f"df{k}_{i}") for i in range(len(terms)))]
+    stats = counted.agg(*sums).first()
+    n, score = stats["n"] or 0, F.lit(0.0)
+    for k, boost in enumerate(fields.values()):
+        for i in range(len(terms)):
+            df = stats[f"df{k}_{i}"] or 0
+            tf = F.col(f"c{k}.tf{i}")
+            score = score + boost * F.log(F.lit(1 + (n - df + 0.5) / (df + 0.5))) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"c{k}.dl") / (stats[f"avgdl{k}"] or 1.0)))
     return counted.select("id", score.alias("score")).where("score > 0")
 
 
@@ -49,11 +65,21 @@ def vector_scores(vectors: DataFrame, query: list[float], id_col: str = "vec_id"
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query, id, rank, score: k nearest of each row of ``queries`` (a bounded query set, which is broadcast)."""
-    q = F.broadcast(queries.select(F.col(id_col).alias("query"), F.col(column).alias("qv")))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(column).alias("v")).join(q, F.col("id") != F.col("query")).select("query", "id", cosine(F.col("v"), F.col("qv")).alias("score"))
+    """query, id, rank, score: k nearest of each row of ``queries``, itself excepted.
+
+    The queries are counted: one block is broadcast; more are met block by block, with each vector dealt to every block.
+    """
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    q = queries.select(F.col(id_col).alias("query"), F.col(column).alias("qv"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(column).alias("v"))
+    if blocks <= 1:
+        pairs = rows.join(F.broadcast(q), F.col("id") != F.col("query"))
+    else:
+        dealt = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = dealt.join(q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")), "block").where("id <> query")
+    scored = pairs.select("query", "id", cosine(F.col("v"), F.col("qv")).alias("score"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return rows.withColumn("rank", place).where(F.col("rank") <= k)
+    return scored.withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def ranked(top: DataFrame) -> DataFrame:
@@ -97,11 +123,14 @@ def within_budget(ranked_rows: DataFrame, budget: int, tokens: str = "tokens", r
     return ranked_rows.withColumns({"_upto": F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_place": F.row_number().over(w)}).where((F.col("_place") == 1) | (F.col("_upto") <= budget)).drop("_upto", "_place")
 
 
+def query_terms(query: str) -> list[str]:
+    """Words of over two bytes, in lower case; repeated ones count again."""
+    return [t.lower() for t in re.split(r"[^\w]+", query) if len(t.encode()) > 2]
+
+
 def rerank(results: DataFrame, query: str, content: str = "text", alpha: float = 0.25) -> DataFrame:
     """confidence * (1 - alpha) + alpha * share of query terms found, for queries of two terms or more."""
-    import re
-
-    terms = [t.lower() for t in re.split(r"[^A-Za-z0-9_]+", query) if len(t) > 2]
+    terms = query_terms(query)
     if len(terms) < 2:
         return results
     return results.withColumn("confidence", (1 - alpha) * F.col("confidence") + alpha * overlap(F.col(content), terms))
@@ -120,13 +149,20 @@ def overlaps_hunk(chunks: DataFrame, hunks: DataFrame) -> DataFrame:
     return chunks.join(h, (F.col("file") == F.col("hf")) & (F.col("start") <= F.col("he")) & (F.col("end") >= F.col("hs")), "left_semi")
 
 
+def class_of(query: str) -> str:
+    """``query_class`` of one query that the caller holds."""
+    words = query.lower().split()
+    if len(words) <= 1 or words[0] in CODE_WORDS:
+        return "identifier"
+    return "prose" if len(words) > 3 or set(words) & set(PROSE_WORDS) else "phrase"
+
+
 def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float], top_n: int = 10, k: int = RRF_K, weight: float | None = None) -> DataFrame:
     """id, text, score, confidence: 2n candidates of each list, fused, joined to their text."""
     words = query.lower().split()
-    kind = "identifier" if len(words) <= 1 or words[0] in CODE_WORDS else "prose" if len(words) > 3 or set(words) & set(PROSE_WORDS) else "phrase"
     semantic = vector_scores(vectors, vector)
     lexical = bm25(docs, words)
-    fused = fuse(top_k(semantic, 2 * top_n), top_k(lexical, 2 * top_n), k, SEMANTIC_WEIGHT[kind] if weight is None else weight)
+    fused = fuse(top_k(semantic, 2 * top_n), top_k(lexical, 2 * top_n), k, SEMANTIC_WEIGHT[class_of(query)] if weight is None else weight)
     best = F.broadcast(top_k(fused, top_n))
     scored = best.join(semantic.select(F.col("id").alias("v"), F.col("score").alias("confidence")), F.col("id") == F.col("v"), "left").drop("v")
     return docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(scored), "id")

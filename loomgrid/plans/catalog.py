@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, index, search
+from ..operators import chunking, hunks, index, retrieve, search
 
 WORDS = ["the", "token", "ication"]
 
@@ -96,9 +96,81 @@ def keyword_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.round(T.overlap(F.coalesce("text", F.lit("")), ["the", "der", "los", "que"]), 6).alias("share"))
 
 
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as one chunk of the file source/doc_id; the source serves as scope."""
+    text = F.coalesce("text", F.lit(""))
+    columns = [F.col("doc_id").alias("chunk_id"), F.concat_ws("/", "source", "doc_id").alias("file"), F.lit(1).alias("start"), F.size(F.split(text, "\n")).alias("end"), F.col("lang").alias("language"), F.col("source").alias("scope"), text.alias("content")]
+    return _table(spark, sf_dir, "documents").select(*columns)
+
+
+def _searched(o: retrieve.Options, query: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        vectors = _table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+        vector = None if o.mode == "lexical" else _vector(spark, sf_dir)
+        found = retrieve.search_chunks(_chunks(spark, sf_dir), query, vectors, vector, o)
+        return found.select("id", "file", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), "tokens", F.size("matched_lines").alias("n_matched"))
+
+    return run
+
+
+#: Searches that use the options.
+SEARCHES = {
+    "search_lexical_options": (retrieve.Options(mode="lexical", top_n=30, language="EN", excludes=("src7/*", "*9"), threshold=0.3, budget=4000, analyse=T.plain_terms), "token src3 ication"),
+    "search_semantic_options": (retrieve.Options(mode="semantic", top_n=12, language="en", rerank=True), "the token ication"),
+    "search_fuzzy": (retrieve.Options(mode="lexical", top_n=10, analyse=T.plain_terms), "tokne"),
+}
+
+
+def matched_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    lines = T.matched_lines(F.coalesce("text", F.lit("")), "token Ication", F.lit(1))
+    return d.select("doc_id", lines.alias("at")).select("doc_id", F.size("at").alias("n"), F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x).alias("places"))
+
+
+def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges from the text of one diff an order: its lines are written as hunks of a file a line number (which may repeat)."""
+    l = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 4).alias("n"))
+    header = l.select(F.col("l_orderkey").alias("source"), (F.col("l_linenumber") * 2).alias("line_no"), F.format_string("+++ b/line/%d", F.col("l_linenumber")).alias("line"))
+    hunk = l.select(F.col("l_orderkey").alias("source"), (F.col("l_linenumber") * 2 + 1).alias("line_no"), F.format_string("@@ -1,2 +%d,%d @@ x", "l_partkey", "n").alias("line"))
+    return hunks.parse_diff(header.unionByName(hunk))
+
+
+def diff_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of ten lines an order line that a changed range of the same order touches."""
+    l = _table(spark, sf_dir, "lineitem").withColumn("first", F.col("l_linenumber") * 10)
+    chunks = l.select(F.col("l_orderkey").alias("file"), F.col("first").alias("start"), (F.col("first") + 9).alias("end"))
+    changed = l.where("l_suppkey % 5 = 0").select(F.col("l_orderkey").alias("file"), (F.col("first") + 7).alias("start"), (F.col("first") + 7 + F.col("l_partkey") % 6).alias("end"))
+    return search.overlaps_hunk(chunks, changed)
+
+
+def index_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.with_ids(_chunks(spark, sf_dir).select("file", "start", "end"), 100).select("file", "chunk_id")
+
+
+def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.status(_chunks(spark, sf_dir))
+
+
+def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table of the older snapshot, brought to the newer one."""
+    now, before = _snapshots(spark, sf_dir)
+    changes = index.snapshot_diff(now, before)
+    stored = before.select("file", F.lit(1).alias("start"), F.lit(1).alias("end"), "content_hash").withColumn("chunk_id", F.regexp_extract("file", r"(\d+)", 1).cast("long"))
+    fresh = now.select("file", F.lit(1).alias("start"), F.lit(1).alias("end"), "content_hash").join(changes.where("change_type in ('added', 'changed')").select("file"), "file", "left_semi")
+    return index.updated(stored, changes, fresh).select("file", "chunk_id", "content_hash")
+
+
+def vector_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even documents as new chunks, odd ones as stored chunks with vectors: which new ones need no embedding."""
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id").select("chunk_id", "embedding")
+    return index.reuse_vectors(d.where("chunk_id % 2 = 0"), d.where("chunk_id % 2 = 1"), vectors).select("chunk_id", F.col("embedding").isNotNull().alias("reused"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (search_bm25, search_vector, search_hybrid, vector_knn_batch, index_terms, chunk_text, camel_parts, language_counts, query_classes, snapshot_changes, snapshot_counts, contained_ranges, fuzzy_dictionary, keyword_overlap)
-    return {f.__name__: f for f in named}
+    named += (matched_lines, diff_hunks, diff_scope, index_ids, index_status, index_update, vector_reuse)
+    return {f.__name__: f for f in named} | {k: _searched(*v) for k, v in SEARCHES.items()}
 
 
 _TERMS = "SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM documents"
@@ -118,8 +190,17 @@ _SNAP = """
           WHEN a.h = b.h THEN 'mtime_only' ELSE 'changed' END AS change_type FROM a FULL JOIN b ON a.file = b.file)"""
 
 
+_FIELD = """
+    w{f} AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM documents),
+    s{f} AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM w{f}),
+    tf{f} AS (SELECT id, len(ws) AS dl, term, len(list_filter(ws, lambda x: x = term)) AS tf FROM w{f}, q),
+    df{f} AS (SELECT term, count(*) AS df FROM tf{f} WHERE tf > 0 GROUP BY term),
+    p{f} AS (SELECT id, {boost} * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM tf{f} JOIN df{f} USING (term), s{f} WHERE tf > 0)"""
+_LOW = "lower(coalesce(text, ''))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
+    return _more_sql() | {
         "search_bm25": f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20",
         "search_vector": f"WITH {_KNN} SELECT id, round(score, 6) AS score FROM vs ORDER BY vs.score DESC, id LIMIT 20",
         "search_hybrid": f"""WITH {_BM25}, {_KNN},
@@ -140,3 +221,38 @@ def oracle_sql() -> dict[str, str]:
         "fuzzy_dictionary": f"SELECT DISTINCT term FROM (SELECT unnest(ws) AS term FROM ({_TERMS})) WHERE damerau_levenshtein(term, 'tion') <= 1",
         "keyword_overlap": "SELECT doc_id, round((" + " + ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{t}') THEN 1.0::DOUBLE ELSE 0 END" for t in ("the", "der", "los", "que")) + ") / 4, 6) AS share FROM documents",
     }
+
+
+def _more_sql() -> dict[str, str]:
+    fields = ",".join(_FIELD.format(f=f, c=c, boost=b) for f, c, b in ((1, "text", "1.0::DOUBLE"), (2, "source", "3.0::DOUBLE")))
+    hits = f"list_filter(list_transform(string_split({_LOW}, chr(10)), lambda x, i: CASE WHEN contains(x, 'token') OR contains(x, 'ication') THEN i END), lambda x: x IS NOT NULL)"
+    tokens = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'))"
+    return {
+        "search_lexical_options": f"""WITH q AS (SELECT unnest(['token', 'src3', 'ication']) AS term), {fields},
+            bm AS (SELECT id, sum(s) AS score FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY id),
+            c AS (SELECT *, score / max(score) OVER () AS confidence FROM (SELECT * FROM bm ORDER BY bm.score DESC, id LIMIT 60)),
+            r AS (SELECT c.*, source || '/' || doc_id AS file, {tokens} AS tokens, list_filter(string_split({_LOW}, chr(10)), lambda x: contains(x, 'token') OR contains(x, 'src3') OR contains(x, 'ication')) AS hit
+                  FROM c JOIN documents ON doc_id = id WHERE confidence >= 0.3 AND lang = 'en' AND source <> 'src7' AND NOT (source || '/' || doc_id) LIKE '%9'),
+            b AS (SELECT *, row_number() OVER w AS rn, sum(tokens) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS upto FROM r WINDOW w AS (ORDER BY score DESC, id))
+            SELECT id, file, round(score, 6) AS score, round(confidence, 6) AS confidence, tokens::INT AS tokens, len(hit)::INT AS n_matched FROM b WHERE rn <= 30 AND (rn = 1 OR upto <= 4000)""",
+        "search_semantic_options": f"""WITH {_KNN}, c AS (SELECT * FROM vs ORDER BY vs.score DESC, id LIMIT 24),
+            r AS (SELECT c.*, text, source || '/' || doc_id AS file FROM c JOIN documents ON doc_id = id WHERE lang = 'en' ORDER BY c.score DESC, id LIMIT 12)
+            SELECT id, file, round(score, 6) AS score, round(0.75::DOUBLE * score + 0.25::DOUBLE * ((CASE WHEN contains({_LOW}, 'the') THEN 1 ELSE 0 END + CASE WHEN contains({_LOW}, 'token') THEN 1 ELSE 0 END + CASE WHEN contains({_LOW}, 'ication') THEN 1 ELSE 0 END) / 3.0::DOUBLE), 6) AS confidence,
+            {tokens}::INT AS tokens, len(list_filter(string_split({_LOW}, chr(10)), lambda x: contains(x, 'the') OR contains(x, 'token') OR contains(x, 'ication')))::INT AS n_matched FROM r""",
+        "search_fuzzy": f"""WITH ws AS (SELECT unnest(regexp_split_to_array(lower(coalesce(text, '') || ' ' || source), '[^a-z0-9]+')) AS term FROM documents),
+            q AS (SELECT DISTINCT term FROM ws WHERE damerau_levenshtein(term, 'tokne') <= 1), {fields},
+            bm AS (SELECT id, sum(s) AS score FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY id)
+            SELECT id, source || '/' || doc_id AS file, round(score, 6) AS score, round(score / max(score) OVER (), 6) AS confidence, {tokens}::INT AS tokens,
+            len(list_filter(string_split({_LOW}, chr(10)), lambda x: contains(x, 'tokne')))::INT AS n_matched FROM (SELECT * FROM bm ORDER BY bm.score DESC, id LIMIT 10) JOIN documents ON doc_id = id""",
+        "matched_lines": f"SELECT doc_id, len(hit)::INT AS n, coalesce(list_sum(hit), 0)::BIGINT AS places FROM (SELECT doc_id, {hits} AS hit FROM documents)",
+        "diff_hunks": """SELECT l_orderkey AS source, 'line/' || l_linenumber AS file, l_partkey::INT AS start, (l_partkey + l_suppkey % 4 - 1)::INT AS "end" FROM lineitem WHERE l_suppkey % 4 > 0""",
+        "diff_scope": """WITH l AS (SELECT *, l_linenumber * 10 AS f FROM lineitem) SELECT l_orderkey AS file, f AS start, f + 9 AS "end" FROM l
+            WHERE EXISTS (SELECT 1 FROM l h WHERE h.l_orderkey = l.l_orderkey AND h.l_suppkey % 5 = 0 AND l.f <= h.f + 7 + h.l_partkey % 6 AND l.f + 9 >= h.f + 7)""",
+        "index_ids": "SELECT file, 99 + row_number() OVER (ORDER BY file) AS chunk_id FROM (SELECT source || '/' || doc_id AS file FROM documents)",
+        "index_status": "SELECT lang AS language, count(DISTINCT source || '/' || doc_id) AS files, count(*) AS chunks, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents GROUP BY lang",
+        "index_update": f"""WITH {_SNAP}, top AS (SELECT max(doc_id) AS m FROM documents WHERE doc_id % 13 <> 0)
+            SELECT b.file, substr(b.file, 5)::BIGINT AS chunk_id, b.h AS content_hash FROM b JOIN d USING (file) WHERE change_type IN ('unchanged', 'mtime_only')
+            UNION ALL SELECT a.file, m + row_number() OVER (ORDER BY a.file), a.h FROM a JOIN d USING (file), top WHERE change_type IN ('added', 'changed')""",
+        "vector_reuse": """WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), o AS (SELECT h, max(doc_id) AS old FROM h WHERE doc_id % 2 = 1 GROUP BY h)
+            SELECT doc_id AS chunk_id, vec_id IS NOT NULL AS reused FROM h LEFT JOIN o USING (h) LEFT JOIN embeddings ON vec_id = old WHERE doc_id % 2 = 0""",
+    }

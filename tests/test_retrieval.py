@@ -1,11 +1,13 @@
 """The catalogue against SQL, and operators on small rows."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.functions import text as T
-from loomgrid.operators import chunking, index, search
+from loomgrid.operators import chunking, hunks, index, retrieve, search
 from loomgrid.plans import catalog
 from loomgrid.streaming.watch import watch
 
@@ -74,3 +76,60 @@ def test_watch(spark, tmp_path):
     spark.createDataFrame([("a.txt", "one\n\ntwo")], "file string, content string").write.parquet(str(tmp_path / "in"))
     watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def _small_chunks(spark):
+    rows = [(1, "a/x.py", 1, 9, "python", "", "def fibonacci(n)\nreturn n"), (2, "a/x.py", 2, 3, "python", "", "fibonacci again"), (3, "b/y.rs", 1, 4, "rust", "fibonacci", "fn other"), (4, "README", 1, 2, "text", "", "prime numbers")]
+    return spark.createDataFrame(rows, "chunk_id long, file string, start int, end int, language string, scope string, content string")
+
+
+def test_search_options(spark):
+    c, o = _small_chunks(spark), retrieve.Options
+
+    def ids(query, **more):
+        return [r.id for r in retrieve.search_chunks(c, query, o=o(mode="lexical", **more)).collect()]
+
+    assert ids("fibonacci")[0] == 3 and set(ids("fibonacci")) <= {1, 2, 3}
+    assert ids("fibonacc") == ids("fibonacci")
+    assert ids("fibonacci", language="RUST") == [3]
+    assert 3 not in ids("fibonacci", excludes=("*.rs",)) and ids("fibonacci", excludes=("*.rs", "a/**")) == []
+    assert len(ids("fibonacci", budget=1)) == 1 and ids(" ") == [] and ids("fibonacci", top_n=0) == []
+    first = retrieve.search_chunks(c, "fibonacci", o=o(mode="lexical")).first()
+    assert first.confidence == 1.0 and first.matched_lines == []
+    with pytest.raises(ValueError):
+        o(threshold=2.0)
+
+
+def test_semantic_weights_and_join(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (4, [0.8, 0.6]), (9, [0.0, 1.0])], "chunk_id long, embedding array<float>")
+    found = retrieve.search_chunks(_small_chunks(spark), "prime", v, [1.0, 0.0], retrieve.Options(mode="semantic", text_weight=0.5)).collect()
+    assert [(r.id, round(r.score, 4), round(r.confidence, 4)) for r in found] == [(1, 1.0, 1.0), (4, 0.4, 0.8)]
+    both = retrieve.search_chunks(_small_chunks(spark), "prime", v, [1.0, 0.0], retrieve.Options(top_n=1)).collect()
+    assert [r.id for r in both] == [4]
+
+
+def test_context(spark):
+    r = _small_chunks(spark).where("chunk_id = 2").withColumnRenamed("chunk_id", "id")
+    files = spark.createDataFrame([("a/x.py", "one\ntwo\nthree\nfour\n")], "file string, content string")
+    got = retrieve.enrich(r, files, 1).first()
+    assert (got.context_before, got.content, got.context_after, got.display_start) == ("one", "two\nthree", "four", 1)
+    lost = retrieve.enrich(r, files.where("false"), 1).first()
+    assert (lost.context_before, lost.content, lost.display_start) == ("", "fibonacci again", 2)
+
+
+def test_diff_text(spark):
+    text = ["+++ b/a.py", "@@ -1,2 +3,4 @@ x", "+code", "@@ -9 +12,0 @@", "+++ /dev/null", "@@ -1 +1 @@", "+++ b/c", "@@ -1 +7 @@"]
+    lines = spark.createDataFrame([("d", i, t) for i, t in enumerate(text)], "source string, line_no int, line string")
+    assert [tuple(r) for r in hunks.parse_diff(lines).orderBy("file").collect()] == [("d", "a.py", 3, 6), ("d", "c", 7, 7)]
+
+
+def test_globs_languages_and_blocks(spark, monkeypatch):
+    cases = [("*.rs", "a/b.rs", True), ("src/**/x?.py", "src/x1.py", True), ("src/**/x?.py", "src/p/q/x1.py", True), ("*.{js,ts}", "m.ts", True), ("[!a]*", "abc", False), ("a.c", "abc", False)]
+    assert [bool(re.search(T.glob_regex(g), p)) for g, p, _ in cases] == [x for *_, x in cases]
+    assert retrieve.globs_valid(["*.rs", "[a", "{b"]) == ["*.rs"]
+    paths = [("a/b.RS", "rust"), ("Makefile", "text"), ("x.kt", "kt"), ("y.webp", None), ("z.zsh", "bash")]
+    assert [r[0] for r in spark.createDataFrame(paths, "p string, w string").select(T.language_of(F.col("p"))).collect()] == [w for _, w in paths]
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    one = rows(search.knn(v, v.where("vec_id % 50 = 0"), 3))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    assert rows(search.knn(v, v.where("vec_id % 50 = 0"), 3)) == one
