@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.functions import text as T
-from loomgrid.operators import chunking, hunks, index, retrieve, search
+from loomgrid.operators import chunking, hunks, index, retrieve, search, symbols
 from loomgrid.plans import catalog
 from loomgrid.streaming.watch import watch
 
@@ -133,3 +133,24 @@ def test_globs_languages_and_blocks(spark, monkeypatch):
     one = rows(search.knn(v, v.where("vec_id % 50 = 0"), 3))
     monkeypatch.setattr(search, "QUERY_BLOCK", 3)
     assert rows(search.knn(v, v.where("vec_id % 50 = 0"), 3)) == one
+
+
+def test_definitions(spark):
+    py = "import os\n\nclass Cart:\n    def total(self):\n        return 1\n\n    async def pay(self):\n        pass\n\ndef main():\n    pass"
+    rs = "pub struct P {\n    x: i32,\n}\n\nimpl P {\n    pub fn get(&self) -> i32 {\n        self.x\n    }\n}"
+    files = spark.createDataFrame([("a.py", "python", py), ("p.rs", "rust", rs), ("n.py", "python", None), ("t", "text", "def x")], "file string, language string, content string")
+    found = symbols.definitions(files)
+    got = [(r.file, r.line, r.depth, r.kind, r.name) for r in found.orderBy("file", "line").collect()]
+    assert got[:4] == [("a.py", 3, 0, "class", "Cart"), ("a.py", 4, 1, "def", "total"), ("a.py", 7, 1, "def", "pay"), ("a.py", 10, 0, "def", "main")]
+    assert got[4:] == [("p.rs", 1, 0, "struct", "P"), ("p.rs", 5, 0, "impl", "P"), ("p.rs", 6, 1, "fn", "get")]
+    assert {r.line: r.end_line for r in found.where("file = 'p.rs'").collect()}[6] >= 7
+    assert symbols.definitions(files, 1).where("depth > 0").count() == 0
+    assert [r["count"] for r in symbols.outline(found).orderBy("file").collect()] == [4, 3]
+
+
+def test_index_equals_scan_and_empty_query(spark, tmp_path):
+    d = spark.createDataFrame([(1, "one two two"), (2, None), (3, "two three"), (4, "")], "doc_id long, text string")
+    index.write_postings(d, str(tmp_path / "i"))
+    key = lambda df: [(r.id, round(r.score, 9)) for r in df.orderBy("id").collect()]
+    assert key(index.bm25_of_postings(spark, str(tmp_path / "i"), ["two", "three", "no"])) == key(search.bm25(d, ["two", "three", "no"]))
+    assert index.bm25_of_postings(spark, str(tmp_path / "i"), ["no"]).isEmpty()
