@@ -17,7 +17,8 @@ Map tasks settle phrases that they have seen before themselves, so that a passag
 reaches its bucket about once for each map task.
 
 Defined results: matches never cross documents; a null text counts as empty; texts shorter than WIDTH keep all. Order
-is by doc_id (null last), then by a hash of the text for rows that share one. Repeated rows (same id, same text) are one document.
+is by doc_id (null last), then by a 64-bit hash of the text, which tells rows that share an id apart. Repeated rows (same
+id, same text) are one document.
 Extra columns are not read; an empty table gives an empty result.
 """
 
@@ -110,13 +111,13 @@ def phrases(texts: list[np.ndarray], width: int = WIDTH) -> tuple[np.ndarray, ..
 
 
 #: A phrase as a bucket gets it. Triggers are cut to 23 bits beside the bucket: phrases that only seem to share one are left open for nothing.
-ROW = np.dtype([("trigger", "<u4"), ("phrase", "<u8"), ("doc", "<i8"), ("first", "<u4"), ("tie", "<u2"), ("count", "u1")])
+ROW = np.dtype([("trigger", "<u4"), ("phrase", "<u8"), ("doc", "<i8"), ("first", "<u4"), ("tie", "<i8"), ("count", "u1")])
 #: Windows known to be repeats: (doc, tie) and a code.
-FOUND = np.dtype([("doc", "<i8"), ("tie", "<i4"), ("code", "<i8")])
+FOUND = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("code", "<i8")])
 #: Phrases whose fate a task remembers for those that follow; others go to their bucket, which settles them all the same.
 MEMORY = 400_000
 SENT = "bucket int, rows binary, extra binary"
-CODES = "doc long, tie int, code long"
+CODES = "doc long, tie long, code long"
 
 
 def _code(first: np.ndarray, count: np.ndarray, trigger: np.ndarray | int = 0, left_open: int = 0) -> np.ndarray:
@@ -337,7 +338,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """One row for each input row: doc_id, n_bytes, kept (binary: the bytes that stay), spans (array of start, end)."""
     prepared(docs)
     body = F.coalesce(F.col(text), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.pmod(F.xxhash64(F.lit(29), body), F.lit(1 << 16)).cast("int").alias("tie")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.lit(29), body).alias("tie")
     rows = docs.select(*key, body.alias("t"))
     total = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total // BUCKET_BYTES)

@@ -214,6 +214,34 @@ def test_repeated_passages(spark, none):
     assert prefix_free.remove_repeats(none).count() == 0
 
 
+def without_repeats(rows):
+    """Brute force: what stays of each (doc_id, text), whose order is by id (null last) and text hash."""
+    seen, told = set(), []
+    for doc_id, x in rows:
+        gone = [False] * len(x)
+        for k in range(len(x) - 99):
+            if x[k : k + 100] in seen:
+                gone[k : k + 100] = [True] * 100
+            seen.add(x[k : k + 100])
+        told.append((doc_id, bytes(b for b, g in zip(x, gone, strict=True) if not g)))
+    return told
+
+
+def test_repeated_passages_of_rows_without_own_ids(spark):
+    """Different texts with null or equal ids, whose hashes agree in their last 16 bits, are documents of their own."""
+    passage = "".join(R.choices("abcdefgh ", k=150))
+    own = F.sha2(F.col("id").cast("string"), 512)
+    made = spark.range(8000).select(F.concat(F.when(F.col("id") % 2 == 0, "").otherwise(own), F.lit(passage), own, F.when(F.col("id") % 3 == 0, own).otherwise("")).alias("t"))
+    by = {}
+    for r in made.select("t", F.xxhash64(F.lit(29), "t").alias("h")).collect():
+        by.setdefault(r.h % (1 << 16), []).append((r.h, r.t))
+    clashing = [x for _, same in sorted(by.items()) if len(same) > 1 for x in same[:2]][:320]
+    assert len(clashing) == 320
+    rows = [(doc_id, t) for doc_id, some in ((7, clashing[:160]), (None, clashing[160:])) for _, t in sorted(some)]
+    got = prefix_free.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, bytes(r.kept)) for r in got) == Counter(without_repeats([(i, t.encode()) for i, t in rows]))
+
+
 def test_nearest_examples_are_exact():
     rng = __import__("numpy").random.default_rng(1)
     n, terms = 300, 40
