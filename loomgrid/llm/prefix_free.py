@@ -16,6 +16,12 @@ that depth. In each class of equal windows all but the earliest start is a repea
 Map tasks settle phrases that they have seen before themselves, so that a passage which a third of all texts share
 reaches its bucket about once for each map task.
 
+A trigger that many different phrases share (more than HOT by a sample of documents) would be one large group. Its
+phrases are cut into parts by the distance of the windows from the trigger, and what all windows of a part have in common
+(WIDTH bytes less the part's length) becomes the part's trigger. Parts whose trigger is still shared so often, at the
+edges of a passage, are cut into single windows, whose trigger is the whole window: equal triggers are then equal
+phrases. Equal windows have equal distances, so they still meet.
+
 Defined results: matches never cross documents; a null text counts as empty; texts shorter than WIDTH keep all. Order
 is by doc_id (null last), then by a 64-bit hash of the text, which tells rows that share an id apart. Repeated rows (same
 id, same text) are one document.
@@ -24,7 +30,7 @@ Extra columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +47,13 @@ BUCKET_BYTES = 4 << 20
 #: Texts that a map task parses at a time, in bytes.
 PARSE_BYTES = 4 << 20
 
+#: Different phrases that may share one trigger: up to 4 MB of their bytes.
+HOT = 20_000
+#: One document in so many is looked at for such triggers.
+SAMPLE = 64
+#: Windows of a part, cut once and once more.
+PARTS = (8, 1)
+
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_B), -1, 1 << 64))
 
@@ -84,10 +97,10 @@ def _sliding(x: np.ndarray, span: int) -> np.ndarray:
     return x
 
 
-def phrases(texts: list[np.ndarray], width: int = WIDTH) -> tuple[np.ndarray, ...]:
+def phrases(texts: list[np.ndarray], width: int = WIDTH, hot: Sequence[np.ndarray] = ()) -> tuple[np.ndarray, ...]:
     """For the joined texts: text number, first window, number of windows, hash of the trigger, hash of the phrase.
 
-    Window places count within their text. Phrases of a text come in order.
+    Window places count within their text. Phrases of a text come in order. hot: triggers to be cut, for each of PARTS.
     """
     grams = width - GRAM + 1
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -105,9 +118,47 @@ def phrases(texts: list[np.ndarray], width: int = WIDTH) -> tuple[np.ndarray, ..
     at = trigger[offsets[text] + window]
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])])) if len(at) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(at)))
+    name = gram[at[first]]
+    for size, known in zip(PARTS, hot, strict=False):
+        hit = np.isin(name, known)
+        if not hit.any():
+            break
+        n = count[hit]
+        who = np.repeat(np.arange(len(n)), n)
+        own = first[hit][who] + np.arange(len(who)) - (np.cumsum(n) - n)[who]
+        apart = (at[own] - offsets[text[own]] - window[own]) // size
+        lead = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (apart[1:] != apart[:-1])]))
+        core = at[own[lead]] - apart[lead] * size
+        parts = _mixed(roller.of(core, core - size + 1 + width) + (apart[lead] + 1).astype(np.uint64) * _B)
+        first = np.concatenate([first[~hit], own[lead]])
+        count = np.concatenate([count[~hit], np.diff(np.append(lead, len(own)))])
+        name = np.concatenate([name[~hit], parts])
+        order = np.argsort(first, kind="stable")
+        first, count, name = first[order], count[order], name[order]
     start = offsets[text[first]] + window[first]
     whole = roller.of(start, start + count - 1 + width)
-    return text[first], window[first], count, gram[at[first]], _mixed(whole + (at[first] - start).astype(np.uint64) * _B)
+    return text[first], window[first], count, name, _mixed(whole + (at[first] - start).astype(np.uint64) * _B)
+
+
+def _hot_triggers(texts: DataFrame, width: int, most: float) -> list[np.ndarray]:
+    """For each of PARTS the triggers that more than ``most`` different phrases of these texts share."""
+    found: list[np.ndarray] = []
+
+    def named(hot: list[np.ndarray]):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                _, _, _, trigger, phrase = phrases([np.frombuffer(x, np.uint8) for x in texts_of(b.column(0))], width, hot)
+                yield pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64))], names=["trigger", "phrase"])
+
+        return run
+
+    for _ in PARTS:
+        counted = texts.mapInArrow(named(list(found)), "trigger long, phrase long").distinct().groupBy("trigger").count()
+        many = [r["trigger"] for r in counted.where(F.col("count") > most).select("trigger").collect()]
+        if not many:
+            break
+        found.append(np.array(many, np.int64).view(np.uint64))
+    return found
 
 
 #: A phrase as a bucket gets it. Triggers are cut to 23 bits beside the bucket: phrases that only seem to share one are left open for nothing.
@@ -142,11 +193,11 @@ def _dealt(bucket: np.ndarray, rows: np.ndarray, extra: list[bytes] | np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(bucket[a], pa.int32()), pa.array([rows[i:j].tobytes() for i, j in zip(a, z, strict=True)], pa.binary()), pa.array(more, pa.binary())], names=["bucket", "rows", "extra"])
 
 
-def _parse(buckets: int, width: int):
+def _parse(buckets: int, width: int, hot: Sequence[np.ndarray]):
     """Texts to phrases by bucket. Phrases seen before in the task are settled at once; they travel as extra."""
 
     def send(docs: np.ndarray, ties: np.ndarray, texts: list[np.ndarray], seen: dict[int, tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
-        text, first, count, trigger, phrase = phrases(texts, width)
+        text, first, count, trigger, phrase = phrases(texts, width, hot)
         if not len(text):
             return
         doc, tie = docs[text], ties[text]
@@ -334,8 +385,11 @@ def _by_bucket(sent: DataFrame, work) -> DataFrame:
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_each_bucket(work), CODES)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row for each input row: doc_id, n_bytes, kept (binary: the bytes that stay), spans (array of start, end)."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
+    """One row for each input row: doc_id, n_bytes, kept (binary: the bytes that stay), spans (array of start, end).
+
+    hot: phrases that may share a trigger before it is cut, as one document in ``sample`` shows. Results are the same.
+    """
     prepared(docs)
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.lit(29), body).alias("tie")
@@ -343,10 +397,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     total = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total // BUCKET_BYTES)
 
+    # so many different phrases take at least as many bytes
+    shared = _hot_triggers(rows.where(F.pmod("tie", F.lit(sample)) == 0).select("t"), width, hot / sample) if total > hot else []
+
     def grouped(codes: DataFrame) -> DataFrame:
         return codes.groupBy("doc", "tie").agg(F.collect_list("code").alias("codes"))
 
-    settled = staged(grouped(_by_bucket(rows.mapInArrow(_parse(buckets, width), SENT), _settle)), "phrases")
+    settled = staged(grouped(_by_bucket(rows.mapInArrow(_parse(buckets, width, shared), SENT), _settle)), "phrases")
     opened = settled.where(F.exists("codes", lambda c: c.bitwiseAND(F.lit(1)) == 1))
     texts = docs.select(F.col(id_col).alias("doc_id"), *key, body.alias("t"))
     late = _by_bucket(texts.join(opened, ["doc", "tie"]).select("doc", "tie", "t", "codes").mapInArrow(_reopen(buckets, width), SENT), _orderer(width))

@@ -242,6 +242,30 @@ def test_repeated_passages_of_rows_without_own_ids(spark):
     assert Counter((r.doc_id, bytes(r.kept)) for r in got) == Counter(without_repeats([(i, t.encode()) for i, t in rows]))
 
 
+def test_hot_triggers_are_cut(spark):
+    """Boilerplate and a passage in all texts, in different contexts: no trigger keeps more phrases than it may, and results are whole."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    boiler, passage = "all rights reserved by the authors", " ".join(rng.choices(words, k=25))
+    texts = []
+    for i in range(300):
+        own = [" ".join(rng.choices(words, k=30)) for _ in range(3)]
+        shown = passage[rng.randint(0, 3) * 9 : len(passage) - rng.randint(0, 3) * 7] if i % 3 else passage[:97]
+        texts.append(own[0] + boiler + own[1] + shown + own[2])
+    texts += [texts[3][40:400], texts[7], passage[5:150]]
+    as_bytes = [__import__("numpy").frombuffer(t.encode(), "uint8") for t in texts]
+
+    def largest(hot):
+        _, _, _, trigger, phrase = prefix_free.phrases(as_bytes, hot=hot)
+        return max(Counter(t for t, _ in set(zip(trigger.tolist(), phrase.tolist(), strict=True))).values())
+
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = prefix_free._hot_triggers(d.select("text"), prefix_free.WIDTH, 20)
+    assert len(found) == 2 and largest(()) > 150 and largest(found[:1]) > 20 >= largest(found)
+    told = dict(without_repeats([(i, t.encode()) for i, t in enumerate(texts)]))
+    assert {r.doc_id: bytes(r.kept) for r in prefix_free.remove_repeats(d, hot=20, sample=1).collect()} == told
+
+
 def test_nearest_examples_are_exact():
     rng = __import__("numpy").random.default_rng(1)
     n, terms = 300, 40
