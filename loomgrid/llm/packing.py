@@ -1,10 +1,11 @@
 """Harmonic packing of tokenised documents into sequences.
 
-A document's ids (and one end id) are cut into pieces whose lengths are the capacity's reciprocal classes C, C/2,
-C/4 ... 1: whole capacities first, then the remainder by its binary digits. A bin of the class C/k takes exactly k
-pieces, so full bins have no padding, and each worker fills the bins of its own partition with no word to others.
-Bins still open at a partition's end (fewer than k pieces a class) are joined from long to short pieces; what is left
-at the end is closed at powers of two, which need no padding either.
+Of a document's ids (and one end id) whole capacities C are cut off first. The remainder, of n ids, is of the harmonic class
+k = floor(C / n), and a bin of class k takes exactly k whole remainders. The gap that they leave is filled by the documents
+that come next; only the last of these is cut, and what stays of it is classed by its own length. So full bins have no
+padding, and each worker fills the bins of its own partition with no word to others. Remainders still waiting at a
+partition's end (fewer than k a class) are joined from long to short and cut at capacities; what is left at the end is
+closed at powers of two, which need no padding either.
 
 Sequence numbers are ``partition << 32 | count``. The input's partitions must not change when a task runs again: read
 it from a table (``staged`` makes one), as the registered queries do.
@@ -77,22 +78,12 @@ def vocabulary_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def cut(n: int, capacity: int) -> Iterator[int]:
-    """Lengths of a document's pieces, long to short."""
-    for _ in range(n // capacity):
-        yield capacity
-    rest, size = n % capacity, capacity >> 1
-    while rest:
-        if rest >= size:
-            yield size
-            rest -= size
-        size >>= 1
-
-
 def fill(documents: Iterable[tuple[int | None, bytes]], capacity: int, first: int) -> Iterator[tuple]:
     """Pieces of (doc_id, ids) in closed sequences, as rows of PIECES. first: number of the first sequence."""
     number = first
-    opened: dict[int, list[tuple]] = {}
+    waiting: dict[int, list[tuple]] = {}
+    #: the bin that has its k remainders and still a gap
+    bin_, gap = [], 0
 
     def close(pieces: list[tuple]) -> Iterator[tuple]:
         nonlocal number
@@ -102,25 +93,47 @@ def fill(documents: Iterable[tuple[int | None, bytes]], capacity: int, first: in
             at += p[2]
         number += 1
 
+    def parted(piece: tuple, n: int) -> tuple[tuple, tuple]:
+        doc_id, start, length, ids, total = piece
+        return (doc_id, start, n, ids[: 4 * n], total), (doc_id, start + n, length - n, ids[4 * n :], total)
+
     for doc_id, ids in documents:
-        total, start = len(ids) // 4, 0
-        for length in cut(total, capacity):
-            waiting = opened.setdefault(length, [])
-            waiting.append((doc_id, start, length, ids[4 * start : 4 * (start + length)], total))
-            start += length
-            if len(waiting) * length == capacity:
-                yield from close(waiting)
-                opened[length] = []
-    rest = [p for length in sorted(opened, reverse=True) for p in opened[length]]
-    left = sum(p[2] for p in rest)
+        total = len(ids) // 4
+        left = (doc_id, 0, total, ids, total)
+        while left[2] >= capacity:
+            whole, left = parted(left, capacity)
+            yield from close([whole])
+        if left[2] and gap:
+            own, left = parted(left, min(gap, left[2]))
+            bin_.append(own)
+            gap -= own[2]
+            if not gap:
+                yield from close(bin_)
+                bin_ = []
+        if left[2]:
+            k = capacity // left[2]
+            same = waiting.setdefault(k, [])
+            same.append(left)
+            if len(same) == k:
+                bin_, gap = same, capacity - sum(p[2] for p in same)
+                waiting[k] = []
+                if not gap:
+                    yield from close(bin_)
+                    bin_ = []
+    rest = sorted((p for same in waiting.values() for p in same), key=lambda p: p[2])
+    rest += bin_[::-1]
+    left_ids = sum(p[2] for p in rest)
     while rest:
-        want = capacity if left >= capacity else 1 << (left.bit_length() - 1)
-        n = got = 0
-        while got < want:
-            got += rest[n][2]
-            n += 1
-        yield from close(rest[:n])
-        rest, left = rest[n:], left - got
+        want = capacity if left_ids >= capacity else 1 << (left_ids.bit_length() - 1)
+        left_ids -= want
+        pieces = []
+        while want:
+            own, after = parted(rest.pop(), want) if rest[-1][2] > want else (rest.pop(), None)
+            if after:
+                rest.append(after)
+            pieces.append(own)
+            want -= own[2]
+        yield from close(pieces)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = END_ID, files: tuple[str, str] | None = None) -> DataFrame:

@@ -141,6 +141,24 @@ def test_packing(docs, none):
         assert special.ids(t) == array("I", tok.encode(t, add_special_tokens=False).ids).tobytes()
 
 
+def test_harmonic_classes():
+    """k remainders of class k stay whole, so a document has few pieces; lengths and orders are kept, without padding."""
+    rng = random.Random(8)
+    for lengths in ([2047] * 50, [683] * 300, [rng.randint(1, 5000) for _ in range(3000)], [1], [2048], []):
+        texts = [array("I", range(n)).tobytes() for n in lengths]
+        pieces, sequences = {}, {}
+        for doc_id, start, length, ids, total, number, at in packing.fill(enumerate(texts), 2048, 5):
+            assert len(ids) == 4 * length > 0 and total == lengths[doc_id]
+            pieces.setdefault(doc_id, []).append((start, ids))
+            assert at == sequences.get(number, 0)
+            sequences[number] = at + length
+        assert all(b"".join(x for _, x in sorted(pieces[i])) == t for i, t in enumerate(texts))
+        assert sorted(sequences) == list(range(5, 5 + len(sequences))) and sum(n < 2048 for n in sequences.values()) <= 11
+        assert all(n <= 2048 and n & (n - 1) == 0 for n in sequences.values())
+        # a bin cuts one document; a partition's end cuts a few more
+        assert sum(map(len, pieces.values())) <= len(lengths) + sum(n // 2048 for n in lengths) + len(sequences)
+
+
 def test_mixing(docs, none):
     found = mixing.mix(docs).collect()
     assert len(found) == len(TEXTS)
