@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty texts, ties and repeated rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -333,6 +334,86 @@ def test_queries_and_pipeline(spark):
     assert {r.doc_id for r in packed} <= {r.doc_id for r in docs.collect()} and all(r.length > 0 for r in packed)
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All five stages once more in plain Python (with the fitted rules and Spark's hash of ids), against run()'s rows."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(500)]
+    texts = ["  ".join(rng.choices(words, k=rng.randint(60, 160))) for _ in range(40)]
+    texts += [t.replace("  ", " ", 1) + f" {words[i]}" for i, t in enumerate(texts[:9])] + texts[5:14]
+    texts += ["too short", None, "", "# $ " * 80, "! ! " + "WORD " * 70, "same line of words\n" * 30, *(" ".join(rng.choices(words, k=k)) for k in (49, 50))]
+    rows = [(i, t, "en", (None, "s1", "s2", "s3")[min(3, i % 7)], len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    model = quality_rules.fit(quality_rules.features(docs))
+    good = []
+    for i, t in enumerate(texts):
+        t = t or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        grams = Counter(zip(w, w[1:], w[2:]))
+        again = len({k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)})
+        n, size, symbols, upper, bangs = len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), sum(c.isupper() for c in t), t.count("!")
+        same = len(lines) - len(set(lines))
+        m, chars, ls = max(1, n), max(1, size), max(1, len(lines))
+        prose = m >= 50 and 3 * m <= size <= 12 * m and 100 * symbols <= chars and 100 * upper <= 15 * chars
+        clean = prose and 10 * same <= ls and 10 * again <= m and 50 * bangs <= m
+        bad = (m >= 50 and not 2 * m <= size <= 20 * m, 20 * symbols > chars, 5 * symbols > m, ls >= 3 and 10 * same > 3 * ls, 10 * again > 3 * m, 2 * upper > chars, 4 * bangs > m, 50 <= m < 2000 and 10 * len(set(w)) < m)
+        odds = math.log(model.prior / (1 - model.prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip([*(-int(b) for b in bad), int(clean), int(prose)], model.accuracy, strict=True))
+        if n >= 50 and 2 * again <= n and odds >= 0:
+            good.append(i)
+    one = sorted({texts[i]: i for i in good}.values())
+    sets = {}
+    for i in one:
+        w = WORD.findall(texts[i].lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    group = {i: i for i in one}
+    for a in one:
+        for b in one:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    near = [i for i in one if group[i] == i]
+    assert len(texts) > len(good) > len(one) > len(near) > 20
+
+    code = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id").alias("h")).collect()}
+    own = {}
+    for i in near:
+        own.setdefault(rows[i][3], []).append(i)
+    count = {i: len(WORD.findall(texts[i])) for i in near}
+    size = {k: sum(count[i] for i in v) for k, v in own.items()}
+    weight = {k: (5, 2, 1)[j % 3] for j, k in enumerate(sorted(own, key=lambda k: (k is None, k)))}
+    free, left, target = set(own), sum(size.values()), {}
+    while free:
+        level = left / sum(weight[k] for k in free)
+        over = [k for k in free if level * weight[k] > 3 * size[k]]
+        target |= {k: 3 * size[k] if over else level * weight[k] for k in (over or free)}
+        free -= set(over or free)
+        left -= sum(3 * size[k] for k in over)
+    tok = Tokenizer.from_file(packing.vocabulary_files()[0])
+    told, copies = {}, Counter()
+    for k, some in own.items():
+        whole, rest = divmod(math.floor(target[k] + 0.5), size[k])
+        for i in sorted(some, key=lambda i: ((code[i] >> 40) % mixing.RANGES, code[i])):
+            part = min(count[i], rest)
+            rest -= part
+            first = "".join(re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", texts[i])[:part])
+            for t in [texts[i]] * (whole + (part == count[i])) + [first] * (0 < part < count[i]):
+                ids = [*tok.encode(t, add_special_tokens=False).ids, 1]
+                told[i, len(ids)] = ids
+                copies[i, len(ids)] += 1
+    covered, got = {}, corpus_pipeline.run(spark, str(tmp_path)).collect()
+    for r in got:
+        ids = told[r.doc_id, r.doc_tokens][r.start : r.start + r.length]
+        assert len(ids) == r.length and r.ids_crc32 == packing.crc_of(ids)
+        at = covered.setdefault((r.doc_id, r.doc_tokens), [0] * r.doc_tokens)
+        for k in range(r.start, r.start + r.length):
+            at[k] += 1
+    assert covered == {k: [n] * k[1] for k, n in copies.items()}
+
+
 def test_held_out_rows(spark):
     d = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", queries._held_out((4, 2)).alias("h"))
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in d.collect())
