@@ -3,15 +3,19 @@
 A rolling hash over GRAM bytes picks triggers: in every window of WIDTH bytes, the place of the smallest hash is one. So
 equal windows have equal triggers at equal places, wherever they lie. Consecutive windows with the same trigger form a
 phrase: the bytes that these windows cover. Phrases overlap by WIDTH - 1 bytes, no window lies in two, and the text is
-its phrases in order: its parse.
+its phrases in order: its parse. Windows that start at two places of equal phrases need no further look.
 
-Two windows are equal exactly if they lie in phrases around equal triggers, at the same distance from them. So phrases
-go, as hashes, to the bucket of their trigger, which holds the part of the dictionary that sorts together. There equal
-phrases settle all their windows at once, and a phrase whose trigger no other phrase has is new. What is left open are
-phrases that agree with others in part, at the ends of passages. Their bytes go to buckets once more, where the phrases'
-suffixes are sorted as far as WIDTH bytes, by a 64-bit hash of these: nothing beyond matters here, and only which
-suffixes are equal does, so this stands for the order that suffix arrays of dictionary and parse would give, cut at
-that depth. In each class of equal windows all but the earliest start is a repeat.
+Two windows are equal exactly if they lie in phrases around equal triggers, at the same distance from them. So the
+dictionary of distinct phrases is parted by trigger: each phrase goes, as hashes, to the bucket of its trigger. There
+equal phrases settle all their windows at once. Every window holds at least half of WIDTH - GRAM bytes on one side of its
+trigger, so a phrase can share single windows only with phrases that agree with it in so many bytes on the left or on
+the right. All others are new; those that have such a neighbour, at the ends of passages, stay open.
+
+The bytes of open phrases go to buckets once more, where the suffix array of this part of the dictionary is built by
+prefix doubling over the bytes (8, 16, 32, 64, then WIDTH). Neighbours in that order with a common prefix of WIDTH bytes
+are equal windows, whose phrases' places in the corpus follow from the parse: in each run all but the earliest start is
+a repeat. The order ends at WIDTH bytes and phrases overlap by WIDTH - 1, so the order of what follows a phrase in the
+parse is never asked for: the parse's own suffix array is needed to the depth of one phrase, which is the phrases' rank.
 
 Map tasks settle phrases that they have seen before themselves, so that a passage which a third of all texts share
 reaches its bucket about once for each map task.
@@ -22,10 +26,13 @@ phrases are cut into parts by the distance of the windows from the trigger, and
 edges of a passage, are cut into single windows, whose trigger is the whole window: equal triggers are then equal
 phrases. Equal windows have equal distances, so they still meet.
 
-Defined results: matches never cross documents; a null text counts as empty; texts shorter than WIDTH keep all. Order
-is by doc_id (null last), then by a 64-bit hash of the text, which tells rows that share an id apart. Repeated rows (same
-id, same text) are one document.
-Extra columns are not read; an empty table gives an empty result.
+Phrases count as equal if their 64-bit hashes, their triggers and the 32-bit hashes of their sides agree. Windows of
+different phrases are compared by their bytes.
+
+Defined results: matches never cross documents; a null text counts as empty; texts shorter than WIDTH keep all; very long
+texts are parsed whole. Order is by doc_id (null last), then by a 64-bit hash of the text, which tells rows that share an
+id apart. Repeated rows (same id, same text) are one document. Extra columns are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -45,7 +52,7 @@ GRAM = 16
 #: Bytes of distinct text that one bucket should stand for.
 BUCKET_BYTES = 4 << 20
 #: Texts that a map task parses at a time, in bytes.
-PARSE_BYTES = 4 << 20
+PARSE_BYTES = 2 << 20
 
 #: Different phrases that may share one trigger: up to 4 MB of their bytes.
 HOT = 20_000
@@ -98,15 +105,18 @@ def _sliding(x: np.ndarray, span: int) -> np.ndarray:
 
 
 def phrases(texts: list[np.ndarray], width: int = WIDTH, hot: Sequence[np.ndarray] = ()) -> tuple[np.ndarray, ...]:
-    """For the joined texts: text number, first window, number of windows, hash of the trigger, hash of the phrase.
+    """For the joined texts: text number, first window, number of windows, hash of the trigger, of the phrase, of its sides.
 
     Window places count within their text. Phrases of a text come in order. hot: triggers to be cut, for each of PARTS.
+    Sides: the trigger with half a window's other bytes on the left (high 32 bits) and on the right, 0 where the phrase
+    has fewer, 1 for all parts of a cut phrase.
     """
     grams = width - GRAM + 1
+    side = (width - GRAM) // 2
     lengths = np.array([len(t) for t in texts], np.int64)
     data = np.concatenate(texts) if len(texts) else np.zeros(0, np.uint8)
     if len(data) < width:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     roller = _Roller(data)
     gram = roller.every(GRAM)
     # the leftmost smallest: hash first, place second
@@ -118,7 +128,7 @@ def phrases(texts: list[np.ndarray], width: int = WIDTH, hot: Sequence[np.ndarra
     at = trigger[offsets[text] + window]
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])])) if len(at) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(at)))
-    name = gram[at[first]]
+    name, cut = gram[at[first]], np.zeros(len(first), bool)
     for size, known in zip(PARTS, hot, strict=False):
         hit = np.isin(name, known)
         if not hit.any():
@@ -133,11 +143,20 @@ def phrases(texts: list[np.ndarray], width: int = WIDTH, hot: Sequence[np.ndarra
         first = np.concatenate([first[~hit], own[lead]])
         count = np.concatenate([count[~hit], np.diff(np.append(lead, len(own)))])
         name = np.concatenate([name[~hit], parts])
+        cut = np.concatenate([cut[~hit], np.ones(len(lead), bool)])
         order = np.argsort(first, kind="stable")
-        first, count, name = first[order], count[order], name[order]
+        first, count, name, cut = first[order], count[order], name[order], cut[order]
     start = offsets[text[first]] + window[first]
-    whole = roller.of(start, start + count - 1 + width)
-    return text[first], window[first], count, name, _mixed(whole + (at[first] - start).astype(np.uint64) * _B)
+    end, mid = start + count - 1 + width, at[first]
+    whole = roller.of(start, end)
+    left = _short(roller.of(np.maximum(mid - side, 0), mid + GRAM), mid - start >= side, cut)
+    right = _short(roller.of(mid, np.minimum(mid + GRAM + side, len(data))), end - mid - GRAM >= side, cut)
+    return text[first], window[first], count, name, _mixed(whole + (mid - start).astype(np.uint64) * _B), (left << np.uint64(32)) | right
+
+
+def _short(h: np.ndarray, present: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """32 bits of a side's hash, over 1."""
+    return np.where(cut, np.uint64(1), np.where(present, np.maximum(h >> np.uint64(32), np.uint64(2)), np.uint64(0)))
 
 
 def _hot_triggers(texts: DataFrame, width: int, most: float) -> list[np.ndarray]:
@@ -147,7 +166,7 @@ def _hot_triggers(texts: DataFrame, width: int, most: float) -> list[np.ndarray]
     def named(hot: list[np.ndarray]):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                _, _, _, trigger, phrase = phrases([np.frombuffer(x, np.uint8) for x in texts_of(b.column(0))], width, hot)
+                _, _, _, trigger, phrase, _ = phrases([np.frombuffer(x, np.uint8) for x in texts_of(b.column(0))], width, hot)
                 yield pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64))], names=["trigger", "phrase"])
 
         return run
@@ -162,11 +181,11 @@ def _hot_triggers(texts: DataFrame, width: int, most: float) -> list[np.ndarray]
 
 
 #: A phrase as a bucket gets it. Triggers are cut to 23 bits beside the bucket: phrases that only seem to share one are left open for nothing.
-ROW = np.dtype([("trigger", "<u4"), ("phrase", "<u8"), ("doc", "<i8"), ("first", "<u4"), ("tie", "<i8"), ("count", "u1")])
+ROW = np.dtype([("trigger", "<u4"), ("phrase", "<u8"), ("doc", "<i8"), ("first", "<u4"), ("tie", "<i8"), ("sides", "<u8"), ("count", "u1")])
 #: Windows known to be repeats: (doc, tie) and a code.
 FOUND = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("code", "<i8")])
 #: Phrases whose fate a task remembers for those that follow; others go to their bucket, which settles them all the same.
-MEMORY = 400_000
+MEMORY = 100_000
 SENT = "bucket int, rows binary, extra binary"
 CODES = "doc long, tie long, code long"
 
@@ -197,12 +216,12 @@ def _parse(buckets: int, width: int, hot: Sequence[np.ndarray]):
     """Texts to phrases by bucket. Phrases seen before in the task are settled at once; they travel as extra."""
 
     def send(docs: np.ndarray, ties: np.ndarray, texts: list[np.ndarray], seen: dict[int, tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
-        text, first, count, trigger, phrase = phrases(texts, width, hot)
+        text, first, count, trigger, phrase, sides = phrases(texts, width, hot)
         if not len(text):
             return
         doc, tie = docs[text], ties[text]
-        order = np.lexsort((first, tie, doc, phrase))
-        lead = np.concatenate([[True], phrase[order][1:] != phrase[order][:-1]])
+        order = np.lexsort((first, tie, doc, sides, phrase))
+        lead = np.concatenate([[True], (phrase[order][1:] != phrase[order][:-1]) | (sides[order][1:] != sides[order][:-1])])
         go = np.zeros(len(text), bool)
         go[order[lead]] = True
         # a row that comes twice is no repeat of itself
@@ -211,7 +230,7 @@ def _parse(buckets: int, width: int, hot: Sequence[np.ndarray]):
         settled = np.zeros(len(text), bool)
         settled[order[~own]] = True
         for i in order[lead].tolist():
-            key, mine = int(phrase[i]), (int(doc[i]), int(tie[i]), int(first[i]))
+            key, mine = (int(phrase[i]) << 64) | int(sides[i]), (int(doc[i]), int(tie[i]), int(first[i]))
             had = seen.get(key)
             if had is not None and had <= mine:
                 go[i] = False
@@ -227,7 +246,7 @@ def _parse(buckets: int, width: int, hot: Sequence[np.ndarray]):
         order = np.argsort(bucket, kind="stable")
         keep, bucket = keep[order], bucket[order]
         rows = np.zeros(len(keep), ROW)
-        for name, x in (("trigger", trigger >> np.uint64(41)), ("phrase", phrase), ("doc", doc), ("tie", tie), ("first", first), ("count", count)):
+        for name, x in (("trigger", trigger >> np.uint64(41)), ("phrase", phrase), ("doc", doc), ("tie", tie), ("first", first), ("sides", sides), ("count", count)):
             rows[name] = x[keep]
         yield from _dealt(bucket, rows, [])
 
@@ -269,17 +288,23 @@ def _each_bucket(work):
 
 
 def _settle(rows: np.ndarray, extra: bytes) -> np.ndarray:
-    """Codes of repeated phrases and of open ones: firsts of a phrase whose trigger has several phrases."""
-    rows = rows[np.lexsort((rows["first"], rows["tie"], rows["doc"], rows["phrase"], rows["trigger"]))]
-    near = rows["trigger"][1:] == rows["trigger"][:-1]
-    same = np.concatenate([[False], near & (rows["phrase"][1:] == rows["phrase"][:-1])])
+    """Codes of repeated phrases and of open ones: firsts of a phrase that agrees with another one on a side of the trigger."""
+    rows = rows[np.lexsort((rows["first"], rows["tie"], rows["doc"], rows["sides"], rows["phrase"], rows["trigger"]))]
+    same = np.zeros(len(rows), bool)
+    same[1:] = True
+    for name in ("trigger", "phrase", "sides"):
+        same[1:] &= rows[name][1:] == rows[name][:-1]
     leader = np.flatnonzero(~same)[np.cumsum(~same) - 1] if len(rows) else np.zeros(0, np.int64)
     later = same & ((rows["doc"] != rows["doc"][leader]) | (rows["tie"] != rows["tie"][leader]) | (rows["first"] != rows["first"][leader]))
     firsts = np.flatnonzero(~same)
-    t = rows["trigger"][firsts]
+    trigger, sides = rows["trigger"][firsts].astype(np.uint64), rows["sides"][firsts]
     shared = np.zeros(len(firsts), bool)
-    shared[1:] |= t[1:] == t[:-1]
-    shared[:-1] |= t[1:] == t[:-1]
+    for half in (sides >> np.uint64(32), sides & np.uint64(0xFFFFFFFF)):
+        key = (trigger << np.uint64(32)) | half
+        order = np.argsort(key, kind="stable")
+        again = (key[order][1:] == key[order][:-1]) & (half[order][1:] > 0)
+        shared[order[1:][again]] = True
+        shared[order[:-1][again]] = True
     opened = firsts[shared]
     out = np.zeros(int(later.sum()) + len(opened), FOUND)
     n = int(later.sum())
@@ -327,6 +352,33 @@ def _reopen(buckets: int, width: int):
     return run
 
 
+def suffix_ranks(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Place of each start among the distinct suffixes of ``data``, cut at ``width`` bytes: equal for equal windows.
+
+    The suffix array by prefix doubling over bytes, from eight on; the last step joins two overlapping halves. Starts lie
+    ``width`` bytes before the end or more.
+    """
+    depth = min(8, width)
+    head = np.zeros(len(data), np.uint64)
+    for k in range(depth):
+        head[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * (7 - k))
+
+    def ranked(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])]) if len(key) else 0
+        return rank
+
+    rank = ranked(head if depth < width else head[starts])
+    del head
+    while depth < width:
+        step = min(depth, width - depth)
+        at = starts if depth + step == width else np.arange(len(data))
+        rank = ranked(rank[at] * (len(data) + 1) + rank[np.minimum(at + step, len(data) - 1)])
+        depth += step
+    return rank
+
+
 def _orderer(width: int):
     """Repeated windows among the open phrases of a bucket."""
 
@@ -340,11 +392,10 @@ def _orderer(width: int):
         for low, high in _lots(rows["trigger"], sizes):
             own, z = rows[low:high], sizes[low:high]
             n = own["count"].astype(np.int64)
-            roller = _Roller(data[np.repeat(start[low:high] - (np.cumsum(z) - z), z) + np.arange(int(z.sum()))])
             who = np.repeat(np.arange(len(own)), n)
             step = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-            at = (np.cumsum(z) - z)[who] + step
-            suffix = roller.of(at, at + width)
+            dictionary = data[np.repeat(start[low:high] - (np.cumsum(z) - z), z) + np.arange(int(z.sum()))]
+            suffix = suffix_ranks(dictionary, (np.cumsum(z) - z)[who] + step, width)
             doc, tie, place = own["doc"][who], own["tie"][who], own["first"][who].astype(np.int64) + step
             rank = np.lexsort((place, tie, doc, suffix))
             lead = np.concatenate([[True], suffix[rank][1:] != suffix[rank][:-1]])
@@ -363,7 +414,7 @@ def _orderer(width: int):
     return work
 
 
-def _lots(trigger: np.ndarray, size: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _lots(trigger: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of about ``most`` bytes that do not part a trigger."""
     ends = np.append(np.flatnonzero(trigger[1:] != trigger[:-1]) + 1, len(trigger)) if len(trigger) else []
     low, held, before = 0, 0, 0

@@ -233,6 +233,20 @@ def test_repeated_passages(spark, none):
     assert prefix_free.remove_repeats(none).count() == 0
 
 
+def test_suffix_ranks():
+    """The order of windows by their bytes; equal ranks for equal windows."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for width in (3, 8, 9, 24, 100):
+        data = rng.integers(97, 100, 900).astype(np.uint8)
+        data[300:500] = data[:200]
+        starts = np.arange(0, len(data) - width + 1, 1 + width % 2)
+        windows = [bytes(data[i : i + width]) for i in starts]
+        place = {w: i for i, w in enumerate(sorted(set(windows)))}
+        assert prefix_free.suffix_ranks(data, starts, width).tolist() == [place[w] for w in windows]
+
+
 def without_repeats(rows):
     """Brute force: what stays of each (doc_id, text), whose order is by id (null last) and text hash."""
     seen, told = set(), []
@@ -275,7 +289,7 @@ def test_hot_triggers_are_cut(spark):
     as_bytes = [__import__("numpy").frombuffer(t.encode(), "uint8") for t in texts]
 
     def largest(hot):
-        _, _, _, trigger, phrase = prefix_free.phrases(as_bytes, hot=hot)
+        _, _, _, trigger, phrase, _ = prefix_free.phrases(as_bytes, hot=hot)
         return max(Counter(t for t, _ in set(zip(trigger.tolist(), phrase.tolist(), strict=True))).values())
 
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
