@@ -29,3 +29,10 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 def own_columns(docs: DataFrame) -> list[str]:
     """Input columns that an operator passes on."""
     return list(docs.columns)
+
+
+def refuse(docs: DataFrame, *prefixes: str) -> None:
+    """Names that an operator needs for itself are an error in its input."""
+    taken = [c for c in docs.columns if c.startswith(prefixes)]
+    if taken:
+        raise ValueError(f"reserved column names: {taken}")

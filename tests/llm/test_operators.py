@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgrid.llm import chat_collapse, cuckoo_dedup, mixing, near_dedup, packing, prefix_free, quality_classifier, quality_rules, queries, secrets, toxicity
+from loomgrid.llm import chat_collapse, cuckoo_dedup, mixing, near_dedup, packing, prefix_free, quality_classifier, quality_rules, queries, secrets, setsketch, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -115,6 +115,52 @@ def test_near_dedup(docs, none, size):
     assert near_dedup.near_groups(none).count() == 0
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    rows = [(2, "alpha beta gamma"), (5, "alpha beta gamma"), (5, "one two three four"), (5, ""), (7, "one two three four"), (8, "far from all others"), (8, "far from all others"), (None, "alpha beta gamma"), (9, "x"), (9, "y"), (3, "y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.id, r.component_id, r.kept) for r in near_dedup.near_groups(d).collect()}
+    assert got == {(2, 2, True), (5, 2, False), (7, 2, False), (8, 8, True), (None, None, True), (9, 3, False), (3, 3, True)}
+    assert sorted((r.doc_id or 0, r.text) for r in near_dedup.keep_one_of_each(d).collect()) == [(0, "alpha beta gamma"), (2, "alpha beta gamma"), (3, "y"), (8, "far from all others"), (8, "far from all others")]
+    with pytest.raises(ValueError):
+        near_dedup.keep_one_of_each(d.withColumn("_nd_id", F.lit(1)))
+
+
+def test_sketches_merge():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    a, b = (np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (150_000, 900))
+    one, two, both = (setsketch.registers([s])[0] for s in (a, b, np.union1d(a, b)))
+    assert (setsketch.merge(one, two) == both).all() and (setsketch.registers([b, a])[1] == one).all()
+
+
+def test_clusters_without_a_hub(spark):
+    """Copies of an absent original that are near the threshold of each other, in several blocks: no link is lost."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
+    origin = rng.choices(words, k=150)
+    texts = []
+    for i in range(140):
+        w = list(origin)
+        for k in rng.sample(range(150), 4 + i % 8):
+            w[k] = f"new{rng.randint(0, 99)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[k : k + 2]) for k in range(len(t.split()) - 1)} for t in texts]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    near_dedup.BLOCK_BYTES, was = 20_000, near_dedup.BLOCK_BYTES
+    try:
+        got = {r.id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    finally:
+        near_dedup.BLOCK_BYTES = was
+    assert got == dict(enumerate(group)) and len(set(group)) > 5
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
     assert {r.id: r.comp for r in near_dedup.components(chain).collect()} == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
