@@ -32,7 +32,7 @@ def own_columns(docs: DataFrame) -> list[str]:
 
 
 def refuse(docs: DataFrame, *prefixes: str) -> None:
-    """Names that an operator needs for itself are an error in its input."""
-    taken = [c for c in docs.columns if c.startswith(prefixes)]
+    """Names that an operator needs for itself are an error in its input: prefixes (with a leading _) and whole names."""
+    taken = [c for c in docs.columns if c.lower().startswith(tuple(x for x in prefixes if x.startswith("_"))) or c.lower() in prefixes]
     if taken:
         raise ValueError(f"reserved column names: {taken}")

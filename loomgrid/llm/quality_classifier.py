@@ -8,8 +8,10 @@ The model is fitted on at most ``LABELLED`` labelled rows, those of smallest see
 loss; its parameters are a few megabytes whatever the corpus's size, and every document is scored where it lies.
 The loss makes the score a probability.
 
-Defined results: null and empty texts get the score of a text without words; repeated rows get equal scores; a label
-table without usable rows gives the score 0.5 to all; an empty table gives an empty result; extra columns pass through.
+Defined results: null and empty texts get the score of a text without words; very long texts and words count whole;
+rows of equal sample hash are ordered by id and features; repeated rows get equal scores; a label table without usable
+rows (or an empty one) gives the score 0.5 to all; an empty table gives an empty result; extra columns pass through, but
+a column named like the score is an error.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import prepared
-from .common import texts_of
+from .common import refuse, texts_of
 
 #: Labelled rows that the fit may use.
 LABELLED = 12_000
@@ -47,9 +49,9 @@ class _Hashed(dict):
     """Word -> (bucket of the word, bucket of its shape). Bounded, as texts hold any number of different words."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        shape = b"".join(CODES.get(m[0][0], m[0][:2]) for m in SHAPE.finditer(word[:64]))[:8]
+        shape = b"".join(CODES.get(m[0][0], m[0]) for m in SHAPE.finditer(word))
         found = (STATS + zlib.crc32(word.lower()) % BUCKETS, STATS + zlib.crc32(b"\x00" + shape) % BUCKETS)
-        if len(self) < 300_000:
+        if len(self) < 100_000 and len(word) < 32:
             self[word] = found
         return found
 
@@ -145,24 +147,28 @@ class Machine:
         return self
 
 
-def sampled(labels: DataFrame, usable: Column, label: str, most: int, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """At most ``most`` usable labelled ids, those of smallest seeded hash; one label an id."""
-    rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & usable).groupBy(id_col).agg(F.max(label).cast("double").alias("_y"))
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(most).withColumnRenamed(id_col, "_id")
+def labelled(docs: DataFrame, labels: DataFrame, usable: Column, label: str, most: int, id_col: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
+    """h, id, y, t: rows of docs with a usable label, of the ``most`` ids of smallest seeded hash h; one label an id.
+
+    Where ids repeat in docs these are more than ``most`` rows: who gathers them takes the ``most`` first by h.
+    """
+    rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & usable).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
+    chosen = rows.withColumn("h", F.xxhash64(F.lit(seed), "id")).orderBy("h", "id").limit(most)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
+    return texts.join(F.broadcast(chosen), "id").select("h", "id", "y", "t")
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", id_col: str = "doc_id", text: str = "text") -> Machine:
     """usable: condition on the label table's rows that may be learnt from."""
     prepared(docs)
-    rows = docs.select(F.col(id_col).alias("_d"), F.col(text).alias("_t")).join(F.broadcast(sampled(labels, usable, label, LABELLED, id_col)), F.col("_d") == F.col("_id")).select("_d", "_t", "_y")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(t) for t in texts_of(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([a.astype(np.int32).tobytes() for a, _ in got], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in got], pa.binary())], names=["id", "y", "at", "x"])
+            got = [features(t) for t in texts_of(b.column(3))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([a.astype(np.int32).tobytes() for a, _ in got], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in got], pa.binary())], names=["h", "id", "y", "at", "x"])
 
-    # ids may repeat in docs; a bounded number of rows goes to the driver all the same
-    got = rows.mapInArrow(run, "id long, y double, at binary, x binary").orderBy("id", "x").limit(2 * LABELLED).toArrow()
+    rows = labelled(docs, labels, usable, label, LABELLED, id_col, text).mapInArrow(run, "h long, id long, y int, at binary, x binary")
+    got = rows.orderBy("h", "id", "at", "x").limit(LABELLED).toArrow()
     examples = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(x, np.float32)) for a, x in zip(got["at"].to_pylist(), got["x"].to_pylist(), strict=True)]
     return Machine().fit(examples, np.array(got["y"].to_pylist(), np.float64))
 
@@ -170,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
     """The input's other columns and ``out``."""
     spark = prepared(docs)
-    rest = [c for c in docs.columns if c not in (text, out)]
+    refuse(docs, out)
+    rest = [c for c in docs.columns if c != text]
     sent = spark.sparkContext.broadcast(machine)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,18 +1,23 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words and word beginnings of 5, 6 and 7 letters. At most ``LABELLED`` labelled rows (smallest
-seeded hash) are examples. Of their terms those count whose presence tells the labels apart (chi-square of ``CHI`` or
-more, at most ``TERMS``); document frequencies for the weights come from all documents. Each term's postings lie in
-blocks of examples with the greatest weight of each block, so a text's blocks are searched in the order of their upper
-bounds and the search ends, exactly, once no block can reach the k-th best similarity.
+seeded hash) are examples. All their terms are in the index; document frequencies come from all documents. A term's
+weight is (1 + log count) * log(N / df), times FLOOR plus the strength of the term's association with the label among the
+examples (phi coefficient), so that words of topics do not drown those that tell the labels apart.
+
+The examples lie in blocks. Postings of a term are kept by block, each with the greatest weight in it. Terms that many
+examples hold are kept as a dense matrix instead, whose product with a batch of texts is a first part of all cosines. A
+block's best first part, and the greatest weights of the text's other terms there, bound what the block can reach: blocks
+that cannot reach the k-th best first part are left out, exactly, and the postings of the others are added.
 
 The neighbours' votes, weighted by squared similarity and smoothed by the examples' base rate, are calibrated by a
 logistic curve fitted to the examples' own leave-one-out votes. The nearest examples are the evidence.
 
-What is sent to executors (index, postings) is bounded by LABELLED and TERMS, not by the corpus. Defined results: null
-and empty texts and texts without a counted term get the calibrated base rate and no evidence; equal similarities are
-ordered by example number; repeated rows get equal scores; without usable labels all scores are 0.5; an empty table
-gives an empty result; extra columns pass through.
+What is sent to executors is bounded by LABELLED, not by the corpus. Defined results: a text's vector has those of its
+terms that an example holds; null and empty texts and texts without such a term get the examples' base rate and no
+evidence; very long texts count whole; similarities are rounded to six places, equal ones are ordered by example number;
+repeated rows get equal scores; without usable labels of both kinds all scores are 0.5; an empty table gives an empty
+result; extra columns pass through, but columns named like the results are an error.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +34,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import prepared
-from .quality_classifier import sampled
+from .common import refuse
+from .quality_classifier import labelled
 
-LABELLED = 5_000
-TERMS = 4_096
-CHI = 25.0
+#: Labelled rows that may be examples.
+LABELLED = 3_000
 NEIGHBOURS = 25
-SMOOTH = 0.5
+SMOOTH = 0.02
+#: Weight of a term without any association with the label.
+FLOOR = 0.05
 BLOCK = 64
+#: Share of the examples from which on a term is common.
+COMMON = 0.1
 STARTS = (5, 6, 7)
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Texts that are scored together.
+BATCH = 64
 
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("example", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("label", T.IntegerType())]))
 
@@ -46,6 +58,14 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:k]}~" for k in STARTS if len(word) > k)]
 
 
+def term_counts(text: str) -> Counter:
+    out: Counter = Counter()
+    for word, n in Counter(LETTERS.findall(text.lower())).items():
+        for t in terms_of(word):
+            out[t] += n
+    return out
+
+
 class Vocabulary(dict):
     """Word -> numbers of its counted terms. Bounded memo: texts hold any number of different words."""
 
@@ -54,82 +74,111 @@ class Vocabulary(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         found = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-        if len(self) < 300_000:
+        if len(self) < 100_000 and len(word) < 32:
             self[word] = found
         return found
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers in ascending order and how often each occurs."""
-        out: dict[int, int] = {}
-        for word, n in Counter(LETTERS.findall(text.lower())).items():
-            for t in self[word]:
-                out[t] = out.get(t, 0) + n
-        at = np.array(sorted(out), np.int64)
-        return at, np.array([out[t] for t in at.tolist()], np.float64)
+        words = Counter(LETTERS.findall(text.lower()))
+        own = [self[w] for w in words]
+        at = np.fromiter(chain.from_iterable(own), np.int64)
+        n = np.repeat(np.fromiter(words.values(), np.float64, len(words)), np.fromiter(map(len, own), np.int64, len(own)))
+        at, back = np.unique(at, return_inverse=True)
+        return at, np.bincount(back, n, len(at))
+
+    def present(self, text: str) -> list[int]:
+        return list({t for w in set(LETTERS.findall(text.lower())) for t in self[w]})
+
+
+def _ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places low, low + 1, ... of each range, one range after another."""
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 class Index:
     """Examples (id, label, term numbers, counts) as an inverted index in blocks, with the calibration of the votes."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], base: float):
-        self.words, self.idf, self.base = Vocabulary(terms), idf, base
+    def __init__(self, terms: list[str], weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], base: float):
+        self.words, self.term_weight, self.base = Vocabulary(terms), weight, base
         vectors = [(i, y, at, self.weights(at, n)) for i, y, at, n in examples if len(at)]
         # examples that share their weightiest term lie in one block, which keeps upper bounds tight
         vectors.sort(key=lambda e: (int(e[2][np.argmax(e[3])]), e[0]))
         self.ids = np.array([e[0] for e in vectors], np.int64)
         self.labels = np.array([e[1] for e in vectors], np.int64)
-        self.blocks = -(-len(vectors) // BLOCK)
+        self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
         at = np.concatenate([e[2] for e in vectors]) if vectors else np.zeros(0, np.int64)
         who = np.repeat(np.arange(len(vectors)), [len(e[2]) for e in vectors])
-        weight = np.concatenate([e[3] for e in vectors]) if vectors else np.zeros(0)
+        value = np.concatenate([e[3] for e in vectors]) if vectors else np.zeros(0)
+        df = np.bincount(at, minlength=len(terms))
+        common = np.flatnonzero(df > max(BLOCK, COMMON * len(vectors)))
+        self.column = np.full(len(terms), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), max(1, self.blocks) * BLOCK), np.float32)
+        often = self.column[at] >= 0
+        self.dense[self.column[at[often]], who[often]] = value[often]
+        at, who, value = at[~often], who[~often], value[~often]
         order = np.lexsort((who, at))
-        self.who, self.weight, at = who[order], weight[order], at[order]
+        self.who, self.value, at = who[order].astype(np.int32), value[order].astype(np.float32), at[order]
+        # a cell holds a term's postings in a block
         cell = at * max(1, self.blocks) + self.who // BLOCK
-        self.bounds = np.searchsorted(cell, np.arange(len(terms) * max(1, self.blocks) + 1))
-        self.most = np.zeros(len(terms) * max(1, self.blocks))
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(terms), max(1, self.blocks))
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        self.cell_low, self.cell_n = first.astype(np.int32), np.diff(np.append(first, len(cell))).astype(np.int32)
+        self.cell_block = (self.who[first] // BLOCK).astype(np.int32)
+        self.cell_most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0, np.float32)
+        self.term_cells = np.searchsorted(at[first], np.arange(len(terms) + 1)).astype(np.int32)
         self.slope, self.shift = 1.0, 0.0
         if vectors:
-            self._calibrate([e[2] for e in vectors], [e[3] for e in vectors], sum(1 for e in examples if not len(e[2])))
+            self._calibrate([(e[2], e[3]) for e in vectors])
 
     def weights(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(n)) * self.idf[at]
+        w = (1 + np.log(n)) * self.term_weight[at]
         return w / max(1e-12, float(np.sqrt((w**2).sum())))
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar examples and their cosines, most similar first, ties by number. Exact."""
-        if not len(at) or not self.blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
-        upper = w @ self.most[at]
-        order = np.argsort(-upper, kind="stable")
-        found, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if upper[b] <= 0 or (len(found) == k and upper[b] < least - 1e-12):
-                break
-            own = np.zeros(BLOCK)
-            for t, q in zip((at * self.blocks + b).tolist(), w.tolist(), strict=True):
-                low, high = self.bounds[t], self.bounds[t + 1]
-                if low < high:
-                    own[self.who[low:high] - b * BLOCK] += q * self.weight[low:high]
-            hit = np.flatnonzero(own > 0)
-            hit = hit[hit + b * BLOCK != without]
-            found, scores = np.concatenate([found, hit + b * BLOCK]), np.concatenate([scores, own[hit]])
-            if len(found) > k:
-                best = np.lexsort((found, -scores))[:k]
-                found, scores = found[best], scores[best]
-            least = scores.min() if len(found) == k else 0.0
-        best = np.lexsort((found, -scores))
-        return found[best], scores[best]
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k most similar examples and their cosines, most similar first, ties by number. Exact."""
+        if not self.size:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        often = np.zeros((len(queries), len(self.dense)), np.float32)
+        for i, (at, w) in enumerate(queries):
+            c = self.column[at]
+            often[i, c[c >= 0]] = w[c >= 0]
+        firsts = (often @ self.dense)[:, : self.size]
+        return [self._finish(at[self.column[at] < 0], w[self.column[at] < 0], part, k) for (at, w), part in zip(queries, firsts, strict=True)]
+
+    def _finish(self, at: np.ndarray, w: np.ndarray, part: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        low, n = self.term_cells[at].astype(np.int64), (self.term_cells[at + 1] - self.term_cells[at]).astype(np.int64)
+        cells, weight = _ranges(low, n), np.repeat(w, n)
+        least = np.partition(part, -k)[-k] if len(part) > k else 0.0
+        best = np.maximum.reduceat(part, np.arange(0, self.size, BLOCK))
+        reach = best + np.bincount(self.cell_block[cells], weight * self.cell_most[cells], self.blocks)
+        open_ = reach >= least - 1e-5
+        ask = open_[self.cell_block[cells]]
+        cells, weight = cells[ask], weight[ask]
+        n = self.cell_n[cells].astype(np.int64)
+        at = _ranges(self.cell_low[cells].astype(np.int64), n)
+        score = np.round(part + np.bincount(self.who[at], np.repeat(weight, n) * self.value[at], self.size), 6)
+        score[~np.repeat(open_, BLOCK)[: self.size]] = 0
+        if len(score) > k:
+            found = np.flatnonzero((score >= np.partition(score, -k)[-k]) & (score > 0))
+        else:
+            found = np.flatnonzero(score > 0)
+        found = found[np.lexsort((found, -score[found]))][:k]
+        return found, score[found]
 
     def vote(self, who: np.ndarray, s: np.ndarray) -> float:
         w = s**2
         return float(((w * self.labels[who]).sum() + SMOOTH * self.base) / (w.sum() + SMOOTH))
 
-    def _calibrate(self, ats: list[np.ndarray], ws: list[np.ndarray], without_terms: int) -> None:
+    def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Logistic curve from leave-one-out votes, held near the identity by a weak penalty; Newton's steps."""
-        votes = np.array([self.vote(*self.nearest(a, w, NEIGHBOURS, i)) for i, (a, w) in enumerate(zip(ats, ws, strict=True))])
-        x, y = np.log(votes / (1 - votes)), self.labels.astype(float)
+        votes = []
+        for low in range(0, len(vectors), BATCH):
+            for i, (who, s) in enumerate(self.nearest(vectors[low : low + BATCH], NEIGHBOURS + 1), low):
+                others = who != i
+                votes.append(self.vote(who[others][:NEIGHBOURS], s[others][:NEIGHBOURS]))
+        v = np.clip(np.array(votes), 1e-4, 1 - 1e-4)
+        x, y = np.log(v / (1 - v)), self.labels.astype(float)
         theta = np.array([0.0, 1.0])
         z = np.column_stack([np.ones(len(x)), x])
         for _ in range(25):
@@ -139,70 +188,91 @@ class Index:
         if np.isfinite(theta).all() and theta[1] > 0.1:
             self.shift, self.slope = float(theta[0]), float(theta[1])
 
-    def score(self, text: str) -> tuple[float, list[dict]]:
-        at, n = self.words.counts(text)
-        if not len(at):
-            return self.base, []
-        who, s = self.nearest(at, self.weights(at, n), NEIGHBOURS)
-        v = self.vote(who, s)
-        x = self.shift + self.slope * np.log(v / (1 - v)) if len(who) else np.log(self.base / (1 - self.base))
-        return float(1 / (1 + np.exp(-np.clip(x, -30, 30)))), [{"example": int(self.ids[j]), "similarity": float(c), "label": int(self.labels[j])} for j, c in zip(who[:3].tolist(), s[:3].tolist(), strict=True)]
+    def score(self, texts: list[str]) -> list[tuple[float, list[dict]]]:
+        counted = [self.words.counts(t) for t in texts]
+        out = []
+        for (at, _), (who, s) in zip(counted, self.nearest([(at, self.weights(at, n)) for at, n in counted], NEIGHBOURS), strict=True):
+            if not len(at) or not len(who):
+                out.append((self.base, []))
+                continue
+            v = min(max(self.vote(who, s), 1e-4), 1 - 1e-4)
+            p = 1 / (1 + np.exp(-np.clip(self.shift + self.slope * np.log(v / (1 - v)), -30, 30)))
+            out.append((float(p), [{"example": int(self.ids[j]), "similarity": float(c), "label": int(self.labels[j])} for j, c in zip(who[:3].tolist(), s[:3].tolist(), strict=True)]))
+        return out
+
+
+def association(terms: list[str], examples: list[tuple[int, dict[str, int]]]) -> np.ndarray:
+    """FLOOR plus the phi coefficient of each term's presence and the label, 0 to 1."""
+    number = {t: i for i, t in enumerate(terms)}
+    with_term = np.zeros((2, len(terms)))
+    for y, counts in examples:
+        with_term[y, [number[t] for t in counts]] += 1
+    n1 = sum(y for y, _ in examples)
+    n0, n = len(examples) - n1, len(examples)
+    b, a = with_term
+    chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum((a + b) * (n - a - b) * n0 * n1, 1e-9)
+    return FLOOR + np.sqrt(np.where(a + b < n, chi, 0) / n)
+
+
+def document_frequencies(docs: DataFrame, text: str, terms: list[str]) -> tuple[np.ndarray, int]:
+    """In how many documents each term occurs, and the number of documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary(sent.value)
+        df, rows = np.zeros(len(sent.value), np.int64), 0
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                rows += 1
+                df[known.present(x or "")] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], rows), pa.int64())], names=["t", "n"])
 
-def _all_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        own = [sorted({t for w in set(LETTERS.findall((x or "").lower())) for t in terms_of(w)}) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.string()))], names=["y", "terms"])
+    got = docs.select(F.col(f"`{text}`")).mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    at, n = got["t"].to_numpy(), got["n"].to_numpy()
+    df = np.zeros(len(terms), np.int64)
+    df[at[at >= 0]] = n[at >= 0]
+    return df, int(n[at < 0].sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", id_col: str = "doc_id", text: str = "text") -> Index | None:
     """usable: condition on the label table's rows that may be learnt from. None without both labels."""
     prepared(docs)
-    chosen = F.broadcast(sampled(labels, usable, label, LABELLED, id_col))
-    mine = docs.select(F.col(id_col).alias("_d"), F.col(text).alias("_t")).join(chosen, F.col("_d") == F.col("_id"))
-    counted = mine.groupBy("_y").count().collect()
-    n = {int(r["_y"]): r["count"] for r in counted}
-    if not n.get(0) or not n.get(1):
-        return None
-    n0, n1 = float(n[0]), float(n[1])
-    seen = mine.select("_y", "_t").mapInArrow(_all_terms, "y double, terms array<string>").select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    chi = (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n0 + n1 - a - b) * n0 * n1)
-    told = seen.where(a + b < n0 + n1).withColumn("chi", chi).where(F.col("chi") >= CHI).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    terms = sorted(r["term"] for r in told)
-    words = Vocabulary(terms)
-
-    def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, df, rows = Vocabulary(list(words.number)), np.zeros(len(words.number), np.int64), 0
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                rows += 1
-                df[list({t for w in set(LETTERS.findall((x or "").lower())) for t in known[w]})] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(df))], pa.int32()), pa.array([rows, *df.tolist()], pa.int64())], names=["t", "n"])
-
-    totals = {r["t"]: r["n"] for r in docs.select(text).mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log(1 + totals[-1] / max(1, totals[i])) for i in range(len(terms))])
 
-    def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary(list(words.number))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [known.counts(x or "") for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[1].tolist() for g in got], pa.list_(pa.float64()))], names=["id", "y", "at", "n"])
+            got = [term_counts(x or "") for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], names=["h", "id", "y", "terms", "n"])
 
-    got = mine.select("_d", "_y", "_t").mapInArrow(vectors, "id long, y double, at array<long>, n array<double>").orderBy("id", F.col("at").cast("string")).limit(2 * LABELLED).collect()
-    return Index(terms, idf, [(r["id"], int(r["y"]), np.array(r["at"], np.int64), np.array(r["n"], np.float64)) for r in got], n1 / (n0 + n1))
+    rows = labelled(docs, labels, usable, label, LABELLED, id_col, text).mapInArrow(run, "h long, id long, y int, terms array<string>, n array<int>")
+    got = [(r["id"], r["y"], dict(zip(r["terms"], r["n"], strict=True))) for r in rows.orderBy("h", "id", F.xxhash64("terms", "n")).limit(LABELLED).collect()]
+    positive = sum(y for _, y, _ in got)
+    if positive in (0, len(got)):
+        return None
+    terms = sorted(set(chain.from_iterable(c for _, _, c in got)))
+    df, n = document_frequencies(docs, text, terms)
+    number = {t: i for i, t in enumerate(terms)}
+    examples = []
+    for i, y, c in got:
+        at = np.fromiter((number[t] for t in c), np.int64, len(c))
+        order = np.argsort(at)
+        examples.append((i, y, at[order], np.fromiter(c.values(), np.float64, len(c))[order]))
+    weight = np.log((n + 1) / np.maximum(df, 1)) * association(terms, [(y, c) for _, y, c in got])
+    return Index(terms, weight, examples, positive / len(got))
 
 
 def score(docs: DataFrame, index: Index | None, text: str = "text") -> DataFrame:
     """The input's other columns, score and evidence (nearest examples)."""
     spark = prepared(docs)
-    rest = [c for c in docs.columns if c not in (text, "score", "evidence")]
+    refuse(docs, "score", "evidence")
+    rest = [c for c in docs.columns if c != text]
     sent = spark.sparkContext.broadcast(index)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
         for b in batches:
-            got = [sent.value.score(x or "") if sent.value else (0.5, []) for x in b.column(0).to_pylist()]
+            texts = [x or "" for x in b.column(0).to_pylist()]
+            got = [s for low in range(0, len(texts), BATCH) for s in (sent.value.score(texts[low : low + BATCH]) if sent.value else [(0.5, [])] * len(texts[low : low + BATCH]))]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], kind)], names=[*rest, "score", "evidence"])
 
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("score", T.DoubleType()), T.StructField("evidence", EVIDENCE)])

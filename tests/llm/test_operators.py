@@ -346,19 +346,37 @@ def test_hot_triggers_are_cut(spark):
 
 
 def test_nearest_examples_are_exact():
-    rng = __import__("numpy").random.default_rng(1)
-    n, terms = 300, 40
-    examples = [(i, int(i % 3 == 0), a := rng.choice(terms, rng.integers(1, 9), False), rng.integers(1, 5, len(a)).astype(float)) for i in range(n)]
-    examples = [(i, y, a[o := a.argsort()], c[o]) for i, y, a, c in examples]
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n, terms = 900, 300
+    examples = [(i, int(i % 3 == 0), a := np.unique(np.append(rng.choice(terms, rng.integers(1, 9), False), rng.choice(6, 2))), rng.integers(1, 5, len(a)).astype(float)) for i in range(n)]
     index = toxicity.Index([f"t{i}" for i in range(terms)], rng.uniform(1, 5, terms), examples, 0.3)
-    dense = __import__("numpy").zeros((n, terms))
+    assert 0 < len(index.dense) < 10 and len(index.cell_low) > 1000
+    dense = np.zeros((n, terms))
     where = {int(i): k for k, i in enumerate(index.ids)}
     for i, _, a, c in examples:
         dense[where[i], a] = index.weights(a, c)
-    for i, _, a, c in examples[:60]:
+    found = index.nearest([(a, index.weights(a, c)) for _, _, a, c in examples[:80]], 25)
+    for (i, _, _, _), (who, s) in zip(examples[:80], found, strict=True):
         sims = dense @ dense[where[i]]
-        who, s = index.nearest(a, index.weights(a, c), 25)
-        assert abs(s - sorted(sims, reverse=True)[: len(s)]).max() < 1e-9 and abs(sims[who] - s).max() < 1e-9
+        assert len(s) == 25 and abs(s - np.sort(sims)[::-1][:25]).max() < 1e-5 and abs(sims[who] - s).max() < 1e-5
+
+
+def test_terms_and_votes(spark):
+    """Document frequencies, association with the label, weights and votes once more by hand."""
+    assert toxicity.term_counts("Abcdefgh abcdefgh x1 é") == {"abcdefgh": 2, "abcde~": 2, "abcdef~": 2, "abcdefg~": 2, "x": 1, "é": 1}
+    d = spark.createDataFrame([("aa bb",), ("aa aa",), (None,), ("cc",)], "text string")
+    df, n = toxicity.document_frequencies(d, "text", ["aa", "bb", "zz"])
+    assert (df.tolist(), n) == ([2, 1, 0], 4)
+    told = toxicity.association(["a", "b", "c"], [(1, {"a": 1, "c": 1}), (1, {"a": 2, "c": 1}), (0, {"c": 1}), (0, {"b": 1, "c": 3})])
+    assert abs(told[0] - 1.05) < 1e-9 and abs(told[1] - 0.05 - math.sqrt(1 / 3)) < 1e-9 and abs(told[2] - 0.05) < 1e-9
+    import numpy as np
+
+    index = toxicity.Index(["a", "b"], np.array([1.0, 1.0]), [(5, 1, np.array([0]), np.array([1.0])), (6, 0, np.array([1]), np.array([1.0]))], 0.5)
+    who, s = index.nearest([(np.array([0, 1]), np.array([0.8, 0.6]))], 2)[0]
+    assert index.ids[who].tolist() == [5, 6] and np.allclose(s, [0.8, 0.6])
+    assert abs(index.vote(who, s) - (0.64 + 0.01) / 1.02) < 1e-6
 
 
 def test_classifiers(spark, none):
@@ -382,6 +400,23 @@ def test_classifiers(spark, none):
     assert {r.score for r in toxicity.score(d, None).collect()} == {0.5}
 
 
+def test_classifiers_on_odd_tables(spark):
+    """No documents, no labels, equal ids, clashing columns, words over any length."""
+    d = spark.createDataFrame([(1, "good words"), (1, "good words"), (2, "bad words"), (None, "x"), (3, "A" * 70 + "1")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    no_labels = labels.where("false")
+    for some in (d, d.where("false")):
+        machine = quality_classifier.fit(some, labels, F.lit(True))
+        assert quality_classifier.score(d, machine).count() == 5 and quality_classifier.score(d.where("false"), machine).count() == 0
+    assert {r.score for r in quality_classifier.score(d, quality_classifier.fit(d, no_labels, F.lit(True))).collect()} == {0.5}
+    assert toxicity.fit(d, no_labels, F.lit(True)) is None
+    for f, model in ((quality_classifier.score, quality_classifier.Machine()), (toxicity.score, None)):
+        with pytest.raises(ValueError):
+            f(d.withColumn("score", F.lit(1)), model)
+    long, longer = (quality_classifier.features(b"a1" * k + b"-")[0] for k in (40, 41))
+    assert set(long) != set(longer)
+
+
 def test_queries_and_pipeline(spark):
     named = queries.queries()
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in named) == list(range(1, 11))
