@@ -8,11 +8,13 @@ the stored keys. Deletion removes the slot of a digest whose last live copy went
 
 Work is spread in two levels, so that no group of copies meets in one task: each map task folds its own rows into a
 filter and passes on one row for each digest it has seen; shards of the digest space then fold those rows. A group of
-any size reaches its shard as one row for each map task at most.
+any size reaches its shard as a few rows for each map task at most. A map task passes its rows on and starts anew once its
+filter holds FLUSH keys. A shard works in PARTS, one after another, so its memory is a small part of its keys.
 
 Defined results: a null text counts as empty. Of equal texts the largest doc_id stays; null ids lose to any id, and a
-group of null ids alone keeps one of its rows. Repeated rows (same id, same text): one of them stays. Extra columns
-pass through ``keep_one_copy``; names starting with ``_cx_`` are reserved. Empty tables give empty results.
+group of null ids alone keeps one of its rows. Repeated rows (same id, same text): one of them stays. Very long texts are
+hashed whole. Extra columns pass through ``keep_one_copy``; columns named ``_cx_*`` are an error. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -22,14 +24,18 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepared, staged
+from .common import refuse
 
 SLOTS = 4
 MAX_MOVES = 200
 LOAD = 0.9
+#: Keys that a map task holds before it passes them on; parts of a shard, each with an index of its own.
+FLUSH = 100_000
+PARTS = 64
 
 PARTIAL = "_cx_digest binary, _cx_octets long, _cx_keep long, _cx_copies long, _cx_top long"
 
@@ -119,30 +125,58 @@ class CuckooIndex:
         return False
 
 
+class _Groups:
+    """Copy groups of the keys of one index."""
+
+    def __init__(self):
+        self.index, self.keep, self.copies, self.top = CuckooIndex(), [], [], []
+
+    def add(self, digest: bytes, octets: int, one: int | None, n: int, t: int) -> None:
+        ref = self.index.find((digest, octets))
+        if ref < 0:
+            self.index.insert((digest, octets))
+            self.keep.append(one)
+            self.copies.append(n)
+            self.top.append(t)
+            return
+        self.copies[ref] += n
+        if self.keep[ref] == one:
+            self.top[ref] += t
+        elif self.keep[ref] is None or (one is not None and one > self.keep[ref]):
+            self.keep[ref], self.top[ref] = one, t
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(self.keep), 20_000):
+            part = slice(low, low + 20_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in self.index.keys[part]], pa.binary()), pa.array([k[1] for k in self.index.keys[part]], pa.int64())]
+                + [pa.array(x[part], pa.int64()) for x in (self.keep, self.copies, self.top)],
+                names=["_cx_digest", "_cx_octets", "_cx_keep", "_cx_copies", "_cx_top"],
+            )
+
+
 def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of PARTIAL in, one row for each distinct key out; keys meet through a cuckoo index."""
-    index, keep, copies, top = CuckooIndex(), [], [], []
+    """Rows of PARTIAL in, one row for each distinct key out (or a few, beyond FLUSH); keys meet through a cuckoo index."""
+    groups = _Groups()
     for batch in batches:
-        for digest, octets, one, n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ref = index.find((digest, octets))
-            if ref < 0:
-                index.insert((digest, octets))
-                keep.append(one)
-                copies.append(n)
-                top.append(t)
-                continue
-            copies[ref] += n
-            if keep[ref] == one:
-                top[ref] += t
-            elif keep[ref] is None or (one is not None and one > keep[ref]):
-                keep[ref], top[ref] = one, t
-    for lo in range(0, len(keep), 20_000):
-        part = slice(lo, lo + 20_000)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in index.keys[part]], pa.binary()), pa.array([k[1] for k in index.keys[part]], pa.int64())]
-            + [pa.array(x[part], pa.int64()) for x in (keep, copies, top)],
-            names=["_cx_digest", "_cx_octets", "_cx_keep", "_cx_copies", "_cx_top"],
-        )
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            groups.add(*row)
+        if groups.index.live >= FLUSH:
+            yield from groups.rows()
+            groups = _Groups()
+    yield from groups.rows()
+
+
+def fold_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of PARTIAL with their part, part by part; exactly one row for each distinct key."""
+    at, groups = None, _Groups()
+    for batch in batches:
+        for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != at:
+                yield from groups.rows()
+                at, groups = part, _Groups()
+            groups.add(*row)
+    yield from groups.rows()
 
 
 def with_digest(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -155,29 +189,30 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     prepared(docs)
     rows = with_digest(docs, text).select("_cx_digest", "_cx_octets", F.col(id_col).cast("long").alias("_cx_keep"), F.lit(1).cast("long").alias("_cx_copies"), F.lit(1).cast("long").alias("_cx_top"))
     local = rows.mapInArrow(fold, PARTIAL)
-    return staged(local.repartition("_cx_digest").mapInArrow(fold, PARTIAL), "copy-groups")
-
-
-def _marked(rows: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    """Rows with their group and ``_cx_kept``. Identical rows are told apart only where a group has some."""
-    joined = rows.join(groups.drop("_cx_octets"), "_cx_digest").withColumn("_cx_kept", F.col(id_col).eqNullSafe(F.col("_cx_keep")))
-    if groups.where("_cx_top > 1").isEmpty():
-        return joined
-    single = joined.where("_cx_top = 1 or not _cx_kept")
-    several = joined.where("_cx_top > 1 and _cx_kept").withColumn("_cx_kept", F.row_number().over(Window.partitionBy("_cx_digest").orderBy("_cx_octets")) == 1)
-    return single.unionByName(several)
+    part = F.pmod(F.xxhash64(F.lit(7), "_cx_digest"), F.lit(PARTS)).cast("int").alias("_cx_part")
+    shards = local.select(part, "*").repartition("_cx_digest").sortWithinPartitions("_cx_part")
+    return staged(shards.mapInArrow(fold_parts, PARTIAL), "copy-groups")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = with_digest(docs, text).select(id_col, "_cx_digest", "_cx_octets")
-    marked = _marked(rows, copy_groups(docs, id_col, text), id_col)
-    return marked.select(F.col(id_col).alias("doc_id"), F.col("_cx_keep").alias("keep_id"), F.col("_cx_copies").alias("group_size"), F.col("_cx_kept").alias("kept"), F.lower(F.hex("_cx_digest")).alias("text_sha256"))
+    groups = copy_groups(docs, id_col, text)
+    rows = with_digest(docs, text).select(F.col(f"`{id_col}`").alias("doc_id"), "_cx_digest")
+    marked = rows.join(groups, "_cx_digest").withColumn("_cx_kept", F.col("doc_id").eqNullSafe(F.col("_cx_keep")))
+    if not groups.where("_cx_top > 1").isEmpty():
+        # rows that agree in all that is returned: one for each group, and the others by number
+        several = groups.where("_cx_top > 1").withColumn("doc_id", F.col("_cx_keep")).withColumn("_cx_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_cx_top")))).withColumn("_cx_kept", F.col("_cx_n") == 1)
+        marked = marked.where("_cx_top = 1 or not _cx_kept").unionByName(several.select(marked.columns))
+    return marked.select("doc_id", F.col("_cx_keep").alias("keep_id"), F.col("_cx_copies").alias("group_size"), F.col("_cx_kept").alias("kept"), F.lower(F.hex("_cx_digest")).alias("text_sha256"))
 
 
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The input rows that stay, with all their columns."""
-    return _marked(with_digest(docs, text), copy_groups(docs, id_col, text), id_col).where("_cx_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    refuse(docs, "_cx_")
+    groups = copy_groups(docs, id_col, text)
+    joined = with_digest(docs, text).join(groups.drop("_cx_octets"), "_cx_digest").where(F.col(f"`{id_col}`").eqNullSafe(F.col("_cx_keep")))
+    stay = joined if groups.where("_cx_top > 1").isEmpty() else joined.where("_cx_top = 1").unionByName(joined.where("_cx_top > 1").dropDuplicates(["_cx_digest"]))
+    return stay.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def apply_changes(live: DataFrame, changes: DataFrame, shards: int = 64) -> DataFrame:
@@ -185,8 +220,9 @@ def apply_changes(live: DataFrame, changes: DataFrame, shards: int = 64) -> Data
 
     live: digest binary, octets long, copies long. changes: seq long, text string, change string ('insert' or
     'delete'). Returns the live digests after all changes, applied in the order of seq: digest, octets, copies.
-    Deleting an absent text changes nothing. Shards work on their own; a digest's changes are first summed up to
-    their order-free net effect where none of them is a deletion.
+    Deleting an absent text changes nothing; null texts count as empty; changes of equal seq are ordered insertions first;
+    empty changes give the live digests. Shards work on their own; a digest's changes are first summed up to their
+    order-free net effect where none of them is a deletion.
     """
     prepared(live)
 
@@ -214,7 +250,7 @@ def apply_changes(live: DataFrame, changes: DataFrame, shards: int = 64) -> Data
         found = [(index.keys[r], n) for r, n in count.items()]
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in found], pa.binary()), pa.array([k[1] for k, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["digest", "octets", "copies"])
 
-    return rows.repartition("shard").sortWithinPartitions("seq").mapInArrow(replay, "digest binary, octets long, copies long")
+    return rows.repartition("shard").sortWithinPartitions("seq", F.desc("n")).mapInArrow(replay, "digest binary, octets long, copies long")
 
 
 def digest_of(text: str | None) -> bytes:

@@ -1,19 +1,20 @@
 """Mixing sources to target weights by capped water-filling.
 
 Sources share the corpus's size by weight. A source is clamped once its share exceeds ``max_epochs`` times its own
-size; what it cannot take goes to the others by weight, until none is above its cap. The fixed point has a closed
-form: with sources sorted by cap per weight, those whose cap per weight lies below the water level are clamped and
-the rest stand at the level, so windows over the (one row a source) table find it without iteration.
+size; what it cannot take goes to the others by weight, round by round, until none is above its cap. Each round is one
+aggregate over the table of sources (a row each); a round that clamps no further source is the last.
 
 Each source then takes every document ``floor(target / size)`` times whole, and a seeded sample of its documents once
 more for the fraction. The sample is a prefix of the source's documents in the order of a seeded hash. To find where
 the prefix ends, sizes are summed over hash ranges; only the one range of a source in which it ends is sorted (ranges
-are ``1 / RANGES`` of a source, so a source with a third of all rows does not meet in one task). The document on the
-boundary is taken in part, so that the taken size meets the target to the word.
-
-Defined results: a null text has size 0 and takes 0; a null source is a source of its own, sorted last; equal sizes,
-null ids and repeated rows are ordered by hash of id and text, and rows that agree in both are interchangeable. A
-source without words has target 0. An empty table gives an empty result. Columns named ``_mx_*`` are reserved.
+are ``1 / RANGES`` of a source, so a source with a third of all rows does not meet in one task). ``mix`` takes the
+document on the boundary in part, so that the taken size meets the target to the word; ``repeated``, which makes the
+mixed corpus, takes it whole or not at all, whichever is nearer, since no text is cut.
+
+Defined results: a null text has size 0 and takes 0; very long texts count whole; a null source is a source of its own,
+sorted last; equal sizes, null ids and repeated rows are ordered by hash of id and text, and rows that agree in both are
+interchangeable. A source without words has target 0. An empty table gives an empty result. Extra columns pass through;
+columns named ``_mx_*`` are an error.
 """
 
 from __future__ import annotations
@@ -22,34 +23,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import SPACES, WORD, n_words
+from .common import n_words, refuse
 
-RANGES = 1024
+RANGES = 1 << 18
 SEED = 20_011
 
 
 def _sized(docs: DataFrame, id_col: str, text: str, source: str, seed: int) -> DataFrame:
+    refuse(docs, "_mx_")
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text))))
     return docs.withColumns({"_mx_size": n_words(F.col(text)), "_mx_hash": order, "_mx_source": F.col(source)}).withColumn("_mx_range", F.pmod(F.shiftright("_mx_hash", 40), F.lit(RANGES)).cast("int"))
 
 
+def _with_weights(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """Adds _mx_weight by the place of each source in code point order, null last: place in its range plus the range's offset."""
+    name = F.col("_mx_source").cast("binary").asc_nulls_last()
+    ranged = staged(sizes.orderBy(name).withColumn("_mx_part", F.spark_partition_id()), "mix-sources")
+    before = Window.orderBy("_mx_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = ranged.groupBy("_mx_part").agg(F.count(F.lit(1)).alias("n")).select("_mx_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_mx_off"))
+    place = F.row_number().over(Window.partitionBy("_mx_part").orderBy(name)) - 1 + F.col("_mx_off")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (place % len(weights) + 1).cast("int"))
+    return ranged.join(offset, "_mx_part").withColumn("_mx_weight", weight).drop("_mx_part", "_mx_off")
+
+
 def water_fill(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3.0) -> DataFrame:
-    """sizes: _mx_source, _mx_source_size, a row a source. Adds _mx_target, the capped share of the total.
-
-    The windows hold one row for each source, not for each document.
-    """
-    by_name = Window.orderBy(F.col("_mx_source").cast("binary").asc_nulls_last())
-    everything = Window.partitionBy()
-    from_lowest = Window.orderBy("_mx_per_weight", F.col("_mx_source").cast("binary").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))).cast("int") + 1)
-    t = sizes.withColumn("_mx_weight", weight).withColumn("_mx_cap", max_epochs * F.col("_mx_source_size"))
-    t = t.withColumn("_mx_per_weight", F.col("_mx_cap") / F.col("_mx_weight")).withColumn("_mx_total", F.sum("_mx_source_size").over(everything).cast("double"))
-    before = F.sum("_mx_cap").over(from_lowest) - F.col("_mx_cap")
-    weight_left = F.sum("_mx_weight").over(everything) - F.sum("_mx_weight").over(from_lowest) + F.col("_mx_weight")
-    # the level if exactly the sources below this one are clamped
-    t = t.withColumn("_mx_level", (F.col("_mx_total") - before) / weight_left)
-    level = F.max(F.when(F.col("_mx_per_weight") >= F.col("_mx_level"), F.col("_mx_level"))).over(everything)
-    return t.withColumn("_mx_water", level).withColumn("_mx_target", F.when(F.col("_mx_water").isNull(), F.col("_mx_cap")).otherwise(F.least("_mx_cap", F.col("_mx_weight") * F.col("_mx_water")))).select("_mx_source", "_mx_source_size", "_mx_target")
+    """sizes: _mx_source, _mx_source_size, a row a source. Adds _mx_target, the capped share of the total."""
+    t = staged(_with_weights(sizes, weights).withColumn("_mx_cap", max_epochs * F.col("_mx_source_size")), "mix-weights")
+    # the water a unit of weight stands at; sources below it are clamped
+    level, clamped = 0.0, -1
+    while True:
+        over = F.col("_mx_cap") < F.col("_mx_weight") * level
+        r = t.agg(F.sum("_mx_source_size").alias("total"), F.count_if(over).alias("n"), F.sum(F.when(over, F.col("_mx_cap"))).alias("held"), F.sum(F.when(~over, F.col("_mx_weight"))).alias("free")).first()
+        if r["n"] == clamped or not r["free"]:
+            break
+        clamped, level = r["n"], (r["total"] - (r["held"] or 0.0)) / r["free"]
+    target = F.col("_mx_cap") if not r["free"] else F.least("_mx_cap", F.col("_mx_weight") * level)
+    return t.select("_mx_source", "_mx_source_size", target.cast("double").alias("_mx_target"))
 
 
 def _plan(sized: DataFrame, weights, max_epochs) -> DataFrame:
@@ -81,11 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     return off.unionByName(on)
 
 
-def repeated(mixed: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    """The mixed corpus: whole repetitions as rows of their own, and the part as a row with the text's first words."""
-    words = F.regexp_extract_all(F.col(text), F.lit(rf"[{SPACES}]*{WORD}"), F.lit(0))
-    part = F.when((F.col("_mx_part") > 0) & (F.col("_mx_part") < F.col("_mx_size")), F.array_join(F.slice(words, 1, F.col("_mx_part").cast("int")), ""))
-    copies = F.expr("_mx_whole + if(_mx_part > 0 and _mx_part = _mx_size, 1, 0)").cast("int")
-    whole = F.when(copies > 0, F.array_repeat(F.col(text), copies)).otherwise(F.array().cast("array<string>"))
-    texts = F.concat(whole, F.when(part.isNotNull(), F.array(part)).otherwise(F.array().cast("array<string>")))
-    return mixed.withColumn("_mx_texts", texts).select(*(F.col(f"`{c}`") for c in columns if c != text), F.explode("_mx_texts").alias(text)).select(*(F.col(f"`{c}`") for c in columns))
+def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The mixed corpus: each row as often as the mix takes it, always whole."""
+    copies = F.expr("_mx_whole + if(_mx_part > 0 and 2 * _mx_part >= _mx_size, 1, 0)").cast("int")
+    return mixed.withColumn("_mx_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(F.col(f"`{c}`") for c in columns))

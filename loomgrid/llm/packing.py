@@ -10,8 +10,8 @@ closed at powers of two, which need no padding either.
 Sequence numbers are ``partition << 32 | count``. The input's partitions must not change when a task runs again: read
 it from a table (``staged`` makes one), as the registered queries do.
 
-Defined results: a null text counts as empty and still has its end id; a null doc_id stays null; repeated rows are
-documents of their own; an empty table gives an empty result; extra columns are not read.
+Defined results: a null text counts as empty and still has its end id; very long texts are tokenised whole; a null
+doc_id stays null; repeated rows are documents of their own; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import prepared
 
 END_ID = 1
-CACHE_UNITS = 600_000
+CACHE_UNITS = 150_000
 #: Fixed value: the characters of the pre-tokeniser's \s.
 WHITE = "\t-\r \x85\xa0  -     　"
 UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -56,7 +56,7 @@ class _Units(dict):
 
     def __missing__(self, unit: str) -> bytes:
         ids = array("I", self.encode(unit)).tobytes()
-        if len(self) < CACHE_UNITS:
+        if len(self) < CACHE_UNITS and len(unit) < 32:
             self[unit] = ids
         return ids
 

@@ -1,16 +1,17 @@
 """Quality rules as weak supervision, with DataFrame functions only.
 
-Every rule looks at a text's statistics and votes good (1), bad (-1) or abstains (0): a rule for one defect says nothing
-of texts without it. How far a rule can be trusted is estimated, not set: expectation-maximisation over the table of
-vote patterns finds each rule's accuracy and the share of good texts. A text's verdict is its posterior probability.
-Only vote patterns with their counts (at most 3 to the number of rules, whatever the corpus's size) are gathered, into
-one row; the iterations run inside one SQL expression over that row.
+Every rule looks at one property of a text and votes good (1) well inside its usual range, bad (-1) far outside, or
+abstains (0). How far a rule can be trusted is estimated, not set: expectation-maximisation over the table of vote
+patterns finds each rule's accuracy (the share of its votes that are right) and the share of good texts; a few
+pseudo-votes keep rules that hardly vote near their starting value. A text's verdict is its posterior probability, so one
+bad vote can be outweighed. Only vote patterns with their counts (at most 3 to the number of rules, whatever the corpus's
+size) are gathered, into one row; the iterations run inside one SQL expression over that row.
 
 Words are maximal runs of other than ASCII white space. Repeated three-word windows are found by 64-bit hash within
-one text. Defined results: a null text has no words; texts under ``min_words`` words or with more than
-``max_repeat_percent`` % of repeated words fail the base test and are never kept; repeated rows get equal results; an
-empty table gives an empty result and the prior model. Input columns pass through; names starting with ``_qr_`` are
-reserved.
+one text. Defined results: a null text has no words; very long texts are counted whole; texts under ``min_words`` words
+or with more than ``max_repeat_percent`` % of repeated words fail the base test and are never kept; repeated rows get
+equal results; an empty table gives an empty result and the prior model. Input columns pass through; columns named
+``_qr_*`` are an error.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let
+from ..session import staged
+from .common import SPACES, let, refuse
 
 ROUNDS = 40
-#: Pseudo-counts, as a share of all texts, that hold each rule near its starting accuracy.
-HOLD = 0.1
-START = 0.9
+#: Pseudo-votes that hold each rule, and the share of good texts, near the start.
+HOLD = 10.0
+START = 0.8
 PRIOR = 0.8
 
 
@@ -86,29 +88,28 @@ def statistics(text: Column) -> Column:
     )
 
 
-RULES = ("word_length", "symbols", "symbols_per_word", "duplicate_lines", "repeated_words", "capitals", "bangs", "distinct_words", "clean", "prose")
+RULES = ("word_length", "symbols", "duplicate_lines", "repeated_words", "capitals", "bangs", "distinct_words")
 
 
 def votes(s: Column) -> Column:
-    """One vote a rule, as an array in the order of ``RULES``."""
+    """One vote a rule, as an array in the order of ``RULES``. Texts under 50 words, or 3 lines, tell a rule of shares nothing good."""
     n, chars, lines = (F.greatest(s[c], F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
-    prose = (n >= 50) & (s["word_chars"] >= 3 * n) & (s["word_chars"] <= 12 * n) & (100 * s["n_symbols"] <= chars) & (100 * s["n_upper"] <= 15 * chars)
-    clean = prose & (10 * s["n_dup_lines"] <= lines) & (10 * s["n_repeat_words"] <= n) & (50 * s["n_bangs"] <= n)
-    bad = (
-        (n >= 50) & ((s["word_chars"] < 2 * n) | (s["word_chars"] > 20 * n)),
-        20 * s["n_symbols"] > chars,
-        5 * s["n_symbols"] > n,
-        (lines >= 3) & (10 * s["n_dup_lines"] > 3 * lines),
-        10 * s["n_repeat_words"] > 3 * n,
-        2 * s["n_upper"] > chars,
-        4 * s["n_bangs"] > n,
-        (n >= 50) & (n < 2000) & (10 * s["n_distinct"] < n),
+    long = n >= 50
+    good_and_bad = (
+        (long & (s["word_chars"] >= 3 * n) & (s["word_chars"] <= 12 * n), long & ((s["word_chars"] < 2 * n) | (s["word_chars"] > 20 * n))),
+        (long & (100 * s["n_symbols"] <= chars), (20 * s["n_symbols"] > chars) | (5 * s["n_symbols"] > n)),
+        ((lines >= 3) & (10 * s["n_dup_lines"] <= lines), (lines >= 3) & (10 * s["n_dup_lines"] > 3 * lines)),
+        (long & (10 * s["n_repeat_words"] <= n), 10 * s["n_repeat_words"] > 3 * n),
+        (long & (100 * s["n_upper"] <= 15 * chars), 2 * s["n_upper"] > chars),
+        (long & (50 * s["n_bangs"] <= n), 4 * s["n_bangs"] > n),
+        (long & (n < 2000) & (10 * s["n_distinct"] >= 3 * n), long & (n < 2000) & (10 * s["n_distinct"] < n)),
     )
-    return F.array(*(F.when(c, F.lit(-1)).otherwise(F.lit(0)) for c in bad), *(F.when(c, F.lit(1)).otherwise(F.lit(0)) for c in (clean, prose)))
+    return F.array(*(F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0)) for good, bad in good_and_bad))
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input with _qr_s (struct of counts) and _qr_votes."""
+    refuse(docs, "_qr_")
     return docs.withColumn("_qr_s", statistics(F.col(f"`{text}`"))).withColumn("_qr_votes", votes(F.col("_qr_s")))
 
 
@@ -131,14 +132,12 @@ def fit(featured: DataFrame, rounds: int = ROUNDS) -> Model:
         good_share = F.transform(ps, lambda p: F.struct(p["v"].alias("v"), p["n"].alias("n"), _posterior(p["v"], state["prior"], state["accuracy"]).alias("q")))
 
         def again(pq: Column) -> Column:
-            hold = HOLD * total + 1.0
-
             def rate(j: Column) -> Column:
                 hit = total_of(F.transform(pq, lambda p: F.when(p["v"][j] > 0, p["n"] * p["q"]).when(p["v"][j] < 0, p["n"] * (1 - p["q"])).otherwise(F.lit(0.0))))
                 cast = total_of(F.transform(pq, lambda p: p["n"] * F.abs(p["v"][j])))
-                return (hit + hold * START) / (cast + hold)
+                return (hit + HOLD * START) / (cast + HOLD)
 
-            prior = (total_of(F.transform(pq, lambda p: p["n"] * p["q"])) + hold * PRIOR) / (total + hold)
+            prior = (total_of(F.transform(pq, lambda p: p["n"] * p["q"])) + HOLD * PRIOR) / (total + HOLD)
             return F.struct(prior.alias("prior"), F.transform(F.sequence(F.lit(0), F.lit(m - 1)), rate).alias("accuracy"))
 
         return let(good_share, again)
@@ -158,6 +157,6 @@ def judged(featured: DataFrame, model: Model, threshold: float = 0.5, min_words:
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that stay, with the input's columns. The text is read twice: for the model, then for the verdicts."""
-    model = fit(features(docs, text))
-    return judged(features(docs, text), model).where("_qr_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows that stay, with the input's columns. Texts are counted once: rows are written with their votes and read again."""
+    counted = staged(features(docs, text), "quality-counts")
+    return judged(counted, fit(counted)).where("_qr_kept").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -96,10 +96,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op9_chat_collapse": """
-            WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS r,
-                              count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
-            p AS (SELECT conv_id, r, n, string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '')
-                         OVER (PARTITION BY conv_id ORDER BY r ROWS UNBOUNDED PRECEDING) AS rendered FROM t),
+            WITH c AS (SELECT *, coalesce('c' || conv_id, 'r' || row_number() OVER ()) AS own FROM conversations),
+            t AS (SELECT own, conv_id, role, text, row_number() OVER (PARTITION BY own ORDER BY turn, role, text) AS r,
+                              count(*) OVER (PARTITION BY own) AS n FROM c),
+            p AS (SELECT own, conv_id, r, n, string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '')
+                         OVER (PARTITION BY own ORDER BY r ROWS UNBOUNDED PRECEDING) AS rendered FROM t),
             k AS (SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_copies, rendered FROM p WHERE r = n GROUP BY n, rendered)
             SELECT conv_id, n_turns, n_copies, rendered FROM k
             WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT r, rendered FROM p WHERE r < n) q WHERE q.r = k.n_turns AND q.rendered = k.rendered)""",

@@ -10,7 +10,8 @@ a forward one extends it to the longest end, and the next match of the rule begi
 (its last group) can have a least length, tested on the match found.
 
 Defined results: a null text counts as empty, an empty text has no spans; offsets are code points; repeated rows and
-null ids are rows like others; the input's other columns pass through; an empty table gives an empty result.
+null ids are rows like others; very long texts are scanned whole; the input's other columns pass through, but one named
+like the result is an error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import prepared
-from .common import texts_of
+from .common import refuse, texts_of
 
 
 @dataclass(frozen=True)
 class Rule:
-    """kind; pattern of literals, classes, groups, ``|`` and ``? * + {m} {m,} {m,n}``; least length of the last group and of the match.
+    """One kind of secret. No match of a rule may start before and end after another match of the same rule begins and
+    ends (a match is found by the first end that is reported).
+
+    kind; pattern of literals, classes, groups, ``|`` and ``? * + {m} {m,} {m,n}``; least length of the last group and of the match.
 
     Lengths are tested on matches, as counters in the pattern multiply the automaton's states. A pattern that nearly
     any text matches for a few bytes should count itself all the same.
@@ -355,7 +359,8 @@ class Scanner:
 def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE + MORE, out: str = "spans") -> DataFrame:
     """The input's other columns and ``out``: array of (kind, start, end) by start, then by the rules' order."""
     prepared(docs)
-    rest = [c for c in docs.columns if c not in (text, out)]
+    refuse(docs, out)
+    rest = [c for c in docs.columns if c != text]
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(out, SPAN)])
     scanner = Scanner(rules)
 

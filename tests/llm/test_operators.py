@@ -59,6 +59,20 @@ def test_rules(docs, none):
     assert quality_rules.keep_good(none).count() == 0
 
 
+def test_rules_learn_known_accuracies(spark):
+    """Votes drawn from known accuracies: the fit finds them, for any size of the corpus; a rule without votes stays at its start."""
+    rng = random.Random(6)
+    truth, prior, cast = (0.95, 0.9, 0.85, 0.75, 0.8, 0.65, None), 0.7, (0.9, 0.8, 0.9, 0.7, 0.5, 0.9, 0)
+    assert len(truth) == len(quality_rules.RULES)
+    drawn = Counter()
+    for _ in range(40_000):
+        y = 1 if rng.random() < prior else -1
+        drawn[tuple((y if rng.random() < a else -y) if rng.random() < c else 0 for a, c in zip(truth, cast, strict=True))] += 1
+    rows = spark.createDataFrame([(list(v), n) for v, n in drawn.items()], "_qr_votes array<int>, n int").selectExpr("_qr_votes", "explode(sequence(1, n)) as one")
+    model = quality_rules.fit(rows)
+    assert abs(model.prior - prior) < 0.02 and all(abs(a - (quality_rules.START if t is None else t)) < 0.02 for a, t in zip(model.accuracy, truth, strict=True))
+
+
 def test_exact_dedup(spark, docs, none):
     groups = {}
     for i, t in enumerate(TEXTS):
@@ -71,7 +85,16 @@ def test_exact_dedup(spark, docs, none):
     assert cuckoo_dedup.keep_one_copy(docs).count() == len(groups)
     same = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b")], "doc_id long, text string")
     assert sorted((r.text, r.doc_id) for r in cuckoo_dedup.keep_one_copy(same).collect()) == [("a", 1), ("b", None)]
+    got = Counter(tuple(r) for r in cuckoo_dedup.exact_duplicates(same).select("doc_id", "keep_id", "group_size", "kept").collect())
+    assert got == {(1, 1, 3, True): 1, (1, 1, 3, False): 1, (None, 1, 3, False): 1, (None, None, 2, True): 1, (None, None, 2, False): 1}
     assert cuckoo_dedup.exact_duplicates(none).count() == 0
+    with pytest.raises(ValueError):
+        cuckoo_dedup.keep_one_copy(docs.withColumn("_cx_keep", F.lit(1)))
+    cuckoo_dedup.FLUSH, was = 10, cuckoo_dedup.FLUSH
+    try:
+        assert {(r.doc_id, r.keep_id, r.group_size) for r in cuckoo_dedup.exact_duplicates(docs).collect()} == {(r.doc_id, r.keep_id, r.group_size) for r in found}
+    finally:
+        cuckoo_dedup.FLUSH = was
 
 
 def test_cuckoo_index_grows_and_forgets():
@@ -88,7 +111,11 @@ def test_cuckoo_index_grows_and_forgets():
 def test_index_changes(spark):
     none = spark.createDataFrame([], "digest binary, octets long, copies long")
     changes = spark.createDataFrame([(1, "a", "insert"), (2, "a", "insert"), (3, "b", "insert"), (4, "b", "delete"), (5, "c", "delete")], "seq long, text string, change string")
-    assert [(r.octets, r.copies) for r in cuckoo_dedup.apply_changes(none, changes).collect()] == [(1, 2)]
+    live = cuckoo_dedup.apply_changes(none, changes)
+    assert [(r.octets, r.copies) for r in live.collect()] == [(1, 2)]
+    more = spark.createDataFrame([(1, None, "insert"), (1, "", "insert"), (2, "d", "delete"), (2, "d", "insert"), (3, "a", "delete")], "seq long, text string, change string")
+    assert sorted((r.octets, r.copies) for r in cuckoo_dedup.apply_changes(live, more).collect()) == [(0, 2), (1, 1)]
+    assert cuckoo_dedup.apply_changes(live, more.where("false")).collect() == live.collect()
 
 
 @pytest.mark.parametrize("size", [2, 5])
@@ -227,15 +254,15 @@ def test_mixing(docs, none):
         left -= sum(3 * by[k][0] for k in over)
     for k, (_, taken, t) in by.items():
         assert abs(t - target[k]) < 1e-6 and abs(taken - t) <= 1
-    texts = Counter()
-    for r in mixing.repeated(mixing.mix(docs), docs.columns).collect():
-        texts[r.doc_id] += len(WORD.findall(r.text or ""))
-    assert all(texts[r.doc_id] == r._mx_whole * r._mx_size + r._mx_part for r in found)
+    copies = Counter((r.doc_id, r.text) for r in mixing.repeated(mixing.mix(docs), docs.columns).collect())
+    assert copies == Counter({(r.doc_id, r.text): n for r in found if (n := r._mx_whole + (r._mx_part > 0 and 2 * r._mx_part >= r._mx_size))})
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("_mx_size", F.lit(1)))
     assert mixing.mix(none).count() == 0
 
 
 def test_secrets(spark, none):
-    bits = ["token", "TOKEN", "pass", "wd", "secret", "api_key", "=", ":", " ", '"', "abc", "AKIA", "ABCDEF0123", "0123456789abcdef", "deadbeef", "é", "\n", "-", "s"]
+    bits = ["token", "TOKEN", "pass", "wd", "secret", "api_key", "=", ":", " ", '"', "abc", "AKIA", "ABCDEF0123", "0123456789abcdef", "deadbeef", "é", "\n", "-", "s", "ghp_", "gho_", "xoxb-", "-----BEGIN ", "RSA ", "PRIVATE KEY-----"]
     texts = ["".join(R.choices(bits, k=R.randint(0, 40))) for _ in range(1500)] + [None, "", "x" * 9000, "token=" + "a1" * 5000, "ghp_" + "a" * 36]
     base = {
         "assign": re.compile(r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
@@ -250,13 +277,23 @@ def test_secrets(spark, none):
                 if len(m[2]) >= 6 if k == "assign" else len(m[0]) >= (20 if k == "access" else 24):
                     told.append((m.start(), list(base).index(k), k, m.end()))
         assert [(s.start, s.kind, s.end) for s in r.spans if s.kind in base] == [(a, k, z) for a, _, k, z in sorted(told)]
-    assert secrets.scan(none).count() == 0
+        for kind, p, least in (("forge", "gh[pousr]_[A-Za-z0-9]+", 24), ("chat", "xox[abprs]-[A-Za-z0-9-]+", 15), ("private_key", "-----BEGIN ([A-Z]+ )?PRIVATE KEY-----", 0)):
+            assert [(s.start, s.end) for s in r.spans if s.kind == kind] == [m.span() for m in re.finditer(p, texts[r.doc_id] or "") if len(m[0]) >= least]
+    assert secrets.scan(none.drop("spans")).count() == 0
+    with pytest.raises(ValueError):
+        secrets.scan(none)
 
 
 def test_chat(spark):
     c = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (4, 0, "user", "hi"), (4, 1, "bot", None), (5, 0, None, "hi")]
     got = {r.conv_id: (r.n_turns, r.n_copies) for r in chat_collapse.collapse(spark.createDataFrame(c, "conv_id long, turn long, role string, text string")).collect()}
     assert got == {1: (2, 2), 4: (2, 1), 5: (1, 1)}
+    odd = [(None, 0, "user", "hi"), (None, 5, "bot", "alone"), (None, 6, "bot", "alone"), (6, 1, "a", "x"), (6, 1, "a", "x"), (6, None, "b", None), (7, None, None, None), (8, 0, "user", "hi"), (8, 1, "bot", "yo"), (None, 0, None, "")]
+    table = spark.createDataFrame([(*r, "extra") for r in odd], "conv_id long, turn long, role string, text string, rendered string")
+    got = Counter((r.conv_id, r.n_turns, r.n_copies, r.rendered) for r in chat_collapse.collapse(table).collect())
+    alone = "<|bot|>\nalone<|end|>\n"
+    assert got == {(None, 1, 2, alone): 1, (6, 3, 1, "<|b|>\n<|end|>\n" + "<|a|>\nx<|end|>\n" * 2): 1, (7, 1, 1, "<||>\n<|end|>\n"): 1, (8, 2, 1, "<|user|>\nhi<|end|>\n<|bot|>\nyo<|end|>\n"): 1, (None, 1, 1, "<||>\n<|end|>\n"): 1}
+    assert chat_collapse.collapse(table.where("false")).count() == 0
 
 
 def test_repeated_passages(spark, none):
@@ -452,10 +489,17 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         n, size, symbols, upper, bangs = len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), sum(c.isupper() for c in t), t.count("!")
         same = len(lines) - len(set(lines))
         m, chars, ls = max(1, n), max(1, size), max(1, len(lines))
-        prose = m >= 50 and 3 * m <= size <= 12 * m and 100 * symbols <= chars and 100 * upper <= 15 * chars
-        clean = prose and 10 * same <= ls and 10 * again <= m and 50 * bangs <= m
-        bad = (m >= 50 and not 2 * m <= size <= 20 * m, 20 * symbols > chars, 5 * symbols > m, ls >= 3 and 10 * same > 3 * ls, 10 * again > 3 * m, 2 * upper > chars, 4 * bangs > m, 50 <= m < 2000 and 10 * len(set(w)) < m)
-        odds = math.log(model.prior / (1 - model.prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip([*(-int(b) for b in bad), int(clean), int(prose)], model.accuracy, strict=True))
+        long = m >= 50
+        both = (
+            (long and 3 * m <= size <= 12 * m, long and not 2 * m <= size <= 20 * m),
+            (long and 100 * symbols <= chars, 20 * symbols > chars or 5 * symbols > m),
+            (ls >= 3 and 10 * same <= ls, ls >= 3 and 10 * same > 3 * ls),
+            (long and 10 * again <= m, 10 * again > 3 * m),
+            (long and 100 * upper <= 15 * chars, 2 * upper > chars),
+            (long and 50 * bangs <= m, 4 * bangs > m),
+            (50 <= m < 2000 and 10 * len(set(w)) >= 3 * m, 50 <= m < 2000 and 10 * len(set(w)) < m),
+        )
+        odds = math.log(model.prior / (1 - model.prior)) + sum((-1 if bad else int(fine)) * math.log(a / (1 - a)) for (fine, bad), a in zip(both, model.accuracy, strict=True))
         if n >= 50 and 2 * again <= n and odds >= 0:
             good.append(i)
     one = sorted({texts[i]: i for i in good}.values())
@@ -494,8 +538,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         for i in sorted(some, key=lambda i: ((code[i] >> 40) % mixing.RANGES, code[i])):
             part = min(count[i], rest)
             rest -= part
-            first = "".join(re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", texts[i])[:part])
-            for t in [texts[i]] * (whole + (part == count[i])) + [first] * (0 < part < count[i]):
+            for t in [texts[i]] * (whole + (part > 0 and 2 * part >= count[i])):
                 ids = [*tok.encode(t, add_special_tokens=False).ids, 1]
                 told[i, len(ids)] = ids
                 copies[i, len(ids)] += 1
