@@ -11,7 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW_ROWS = 2000
-ARROW_BYTES = "8m"
+ARROW_BYTES = "4m"
+#: Bytes of a Parquet row group of a staged table: what a task that writes one holds in memory.
+ROW_GROUP = 16 << 20
 
 
 def build_session(app: str = "loomgrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,11 +45,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table stays until ``discard`` or ``clear_staged``: a lazy result may still read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomgrid_path = path
+    _staged.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return out
+
+
+_staged: dict[str, set[str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; other DataFrames are left alone."""
+    for t in tables:
+        path = getattr(t, "_loomgrid_path", None)
+        if path and path in _staged.get(t.sparkSession.sparkContext.applicationId, ()):
+            _delete(t.sparkSession, path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all staged tables of this application. Results that were not yet read or written are lost with them."""
+    for path in list(_staged.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _staged[spark.sparkContext.applicationId].discard(path)
 
 
 def prepared(df: DataFrame) -> SparkSession:

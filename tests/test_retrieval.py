@@ -154,3 +154,17 @@ def test_index_equals_scan_and_empty_query(spark, tmp_path):
     key = lambda df: [(r.id, round(r.score, 9)) for r in df.orderBy("id").collect()]
     assert key(index.bm25_of_postings(spark, str(tmp_path / "i"), ["two", "three", "no"])) == key(search.bm25(d, ["two", "three", "no"]))
     assert index.bm25_of_postings(spark, str(tmp_path / "i"), ["no"]).isEmpty()
+
+
+def test_staged_tables_can_be_deleted(spark):
+    from pathlib import Path
+
+    from loomgrid.session import clear_staged, discard, staged
+
+    one, two = (staged(spark.range(3), "some") for _ in range(2))
+    paths = [Path(x._loomgrid_path.removeprefix("file://")) for x in (one, two)]
+    assert two.count() == 3 and all(p.is_dir() for p in paths)
+    discard(one, spark.range(1))
+    assert [p.is_dir() for p in paths] == [False, True]
+    clear_staged(spark)
+    assert not paths[1].exists()
