@@ -16,6 +16,7 @@ doc_id stays null; repeated rows are documents of their own; an empty table give
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -41,18 +42,16 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 class _Units(dict):
     """Ids (little-endian unsigned 32-bit) of text units that tokenise on their own: a blank and what follows, or white space."""
 
-    def __init__(self, json_path: str, ranks_path: str):
+    def __init__(self, json_path: str, ranks_path: str, special: tuple[str, ...]):
         import base64
 
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.whole = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.special, self.json_path, self.whole = special, json_path, None
 
     def __missing__(self, unit: str) -> bytes:
         ids = array("I", self.encode(unit)).tobytes()
@@ -62,14 +61,25 @@ class _Units(dict):
 
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
+            if self.whole is None:
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.json_path)
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, UNIT.findall(text)))
 
 
 @lru_cache(maxsize=2)
-def units(json_path: str, ranks_path: str) -> _Units:
+def units(json_path: str, ranks_path: str, special: tuple[str, ...]) -> _Units:
     """One for each Python worker; workers serve many tasks."""
-    return _Units(json_path, ranks_path)
+    return _Units(json_path, ranks_path, special)
+
+
+@lru_cache(maxsize=2)
+def special_tokens(json_path: str) -> tuple[str, ...]:
+    """Strings that the tokenizer takes as one token wherever they occur."""
+    with open(json_path, "rb") as f:
+        return tuple(t["content"] for t in json.load(f)["added_tokens"])
 
 
 def vocabulary_files() -> tuple[str, str]:
@@ -143,9 +153,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity:
     prepared(docs)
     files = files or vocabulary_files()
     end = array("I", [end_id]).tobytes()
+    special = special_tokens(files[0])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = units(*files)
+        known = units(*files, special)
 
         def documents():
             for b in batches:

@@ -210,7 +210,9 @@ def test_packing(docs, none):
         n = sum(r.length for r in own)
         assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))] and n <= 64 and n & (n - 1) == 0
     assert packing.pack(none).count() == 0
-    special = packing.units(*packing.vocabulary_files())
+    files = packing.vocabulary_files()
+    special = packing.units(*files, packing.special_tokens(files[0]))
+    assert "<|endoftext|>" in special.special
     for t in ("a  <|endoftext|> b", "x  y  z\n\n w", "don't  stop\t\tnow "):
         assert special.ids(t) == array("I", tok.encode(t, add_special_tokens=False).ids).tobytes()
 
