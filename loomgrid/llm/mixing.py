@@ -26,6 +26,8 @@ from ..session import staged
 from .common import n_words, refuse
 
 RANGES = 1 << 18
+#: Fine ranges in a coarse one.
+STEP = 1 << 9
 SEED = 20_011
 
 
@@ -67,10 +69,20 @@ def _plan(sized: DataFrame, weights, max_epochs) -> DataFrame:
     targets = water_fill(ranges.groupBy("_mx_source").agg(F.sum("_mx_words").alias("_mx_source_size")), weights, max_epochs)
     whole = F.when(F.col("_mx_source_size") > 0, F.floor(F.round("_mx_target") / F.col("_mx_source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("_mx_whole", whole).withColumn("_mx_rest", F.round("_mx_target").cast("long") - F.col("_mx_whole") * F.col("_mx_source_size"))
-    upto = F.sum("_mx_words").over(Window.partitionBy("_mx_source").orderBy("_mx_range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cut = ranges.withColumn("_mx_upto", upto).withColumnRenamed("_mx_source", "_mx_s").join(targets, F.col("_mx_s").eqNullSafe(F.col("_mx_source"))).where("_mx_upto > _mx_rest")
-    first = cut.groupBy("_mx_s").agg(F.min_by(F.struct("_mx_range", (F.col("_mx_rest") - F.col("_mx_upto") + F.col("_mx_words")).alias("want")), "_mx_range").alias("c"))
-    return staged(targets.join(first, F.col("_mx_s").eqNullSafe(F.col("_mx_source")), "left").select("_mx_source", "_mx_source_size", "_mx_target", "_mx_whole", F.coalesce("c._mx_range", F.lit(RANGES)).alias("_mx_end"), F.coalesce("c.want", F.lit(0)).cast("long").alias("_mx_want")), "mix-plan")
+
+    def reached(sums: DataFrame, at: str, wanted: DataFrame) -> DataFrame:
+        """Per source the first ``at`` at which the words so far exceed ``want``, and what is wanted from it."""
+        upto = F.sum("_mx_words").over(Window.partitionBy("_mx_source").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        met = sums.withColumn("_mx_upto", upto).join(wanted, F.col("_mx_source").eqNullSafe(F.col("_mx_s"))).where("_mx_upto > want")
+        return met.groupBy("_mx_s").agg(F.min_by(F.struct(F.col(at).alias("at"), (F.col("want") - F.col("_mx_upto") + F.col("_mx_words")).alias("want")), at).alias("c")).select("_mx_s", "c.*")
+
+    # coarse ranges first, then the fine ones of the coarse range where the sample ends: no window holds more than STEP rows
+    step = F.floor(F.col("_mx_range") / STEP).cast("int")
+    coarse = ranges.groupBy("_mx_source", step.alias("_mx_step")).agg(F.sum("_mx_words").alias("_mx_words"))
+    end = staged(reached(coarse, "_mx_step", targets.select(F.col("_mx_source").alias("_mx_s"), F.col("_mx_rest").alias("want"))), "mix-ends")
+    inside = ranges.withColumn("_mx_step", step).join(end.select(F.col("_mx_s").alias("_mx_own"), F.col("at").alias("_mx_at")), F.col("_mx_source").eqNullSafe(F.col("_mx_own")) & (F.col("_mx_step") == F.col("_mx_at")))
+    first = reached(inside.select("_mx_source", "_mx_range", "_mx_words"), "_mx_range", end.select("_mx_s", "want"))
+    return staged(targets.join(first, F.col("_mx_s").eqNullSafe(F.col("_mx_source")), "left").select("_mx_source", "_mx_source_size", "_mx_target", "_mx_whole", F.coalesce("at", F.lit(RANGES)).alias("_mx_end"), F.coalesce("want", F.lit(0)).cast("long").alias("_mx_want")), "mix-plan")
 
 
 #: Sources up to which the plan (under 100 bytes a source) is sent to every executor.
