@@ -201,15 +201,10 @@ class Index:
         return out
 
 
-def association(terms: list[str], examples: list[tuple[int, dict[str, int]]]) -> np.ndarray:
-    """FLOOR plus the phi coefficient of each term's presence and the label, 0 to 1."""
-    number = {t: i for i, t in enumerate(terms)}
-    with_term = np.zeros((2, len(terms)))
-    for y, counts in examples:
-        with_term[y, [number[t] for t in counts]] += 1
-    n1 = sum(y for y, _ in examples)
-    n0, n = len(examples) - n1, len(examples)
-    b, a = with_term
+def association(size: int, at: np.ndarray, y: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """FLOOR plus the phi coefficient of each term's presence and the label, 0 to 1. at, y: terms of the examples and their labels."""
+    a, b = np.bincount(at[y == 1], minlength=size).astype(float), np.bincount(at[y == 0], minlength=size).astype(float)
+    n = n0 + n1
     chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum((a + b) * (n - a - b) * n0 * n1, 1e-9)
     return FLOOR + np.sqrt(np.where(a + b < n, chi, 0) / n)
 
@@ -245,20 +240,24 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], names=["h", "id", "y", "terms", "n"])
 
     rows = labelled(docs, labels, usable, label, LABELLED, id_col, text).mapInArrow(run, "h long, id long, y int, terms array<string>, n array<int>")
-    got = [(r["id"], r["y"], dict(zip(r["terms"], r["n"], strict=True))) for r in rows.orderBy("h", "id", F.xxhash64("terms", "n")).limit(LABELLED).collect()]
-    positive = sum(y for _, y, _ in got)
-    if positive in (0, len(got)):
+    got = rows.orderBy("h", "id", F.xxhash64("terms", "n")).limit(LABELLED).toArrow().combine_chunks()
+    ids, y = got["id"].to_numpy(), got["y"].to_numpy()
+    positive = int(y.sum())
+    if positive in (0, len(y)):
         return None
-    terms = sorted(set(chain.from_iterable(c for _, _, c in got)))
+    every = pa.concat_arrays(got["terms"].chunks).flatten().dictionary_encode()
+    terms, at = every.dictionary.to_pylist(), every.indices.to_numpy().astype(np.int64)
+    counts = pa.concat_arrays(got["n"].chunks).flatten().to_numpy().astype(np.float64)
+    lengths = pa.concat_arrays(got["terms"].chunks).value_lengths().to_numpy()
+    del got, every
     df, n = document_frequencies(docs, text, terms)
-    number = {t: i for i, t in enumerate(terms)}
+    weight = np.log((n + 1) / np.maximum(df, 1)) * association(len(terms), at, np.repeat(y, lengths), positive, len(y) - positive)
+    stop = np.cumsum(lengths)
     examples = []
-    for i, y, c in got:
-        at = np.fromiter((number[t] for t in c), np.int64, len(c))
-        order = np.argsort(at)
-        examples.append((i, y, at[order], np.fromiter(c.values(), np.float64, len(c))[order]))
-    weight = np.log((n + 1) / np.maximum(df, 1)) * association(terms, [(y, c) for _, y, c in got])
-    return Index(terms, weight, examples, positive / len(got))
+    for i, label_, low, high in zip(ids.tolist(), y.tolist(), (stop - lengths).tolist(), stop.tolist(), strict=True):
+        order = low + np.argsort(at[low:high])
+        examples.append((i, label_, at[order], counts[order]))
+    return Index(terms, weight, examples, positive / len(y))
 
 
 def score(docs: DataFrame, index: Index | None, text: str = "text") -> DataFrame:

@@ -408,10 +408,10 @@ def test_terms_and_votes(spark):
     d = spark.createDataFrame([("aa bb",), ("aa aa",), (None,), ("cc",)], "text string")
     df, n = toxicity.document_frequencies(d, "text", ["aa", "bb", "zz"])
     assert (df.tolist(), n) == ([2, 1, 0], 4)
-    told = toxicity.association(["a", "b", "c"], [(1, {"a": 1, "c": 1}), (1, {"a": 2, "c": 1}), (0, {"c": 1}), (0, {"b": 1, "c": 3})])
-    assert abs(told[0] - 1.05) < 1e-9 and abs(told[1] - 0.05 - math.sqrt(1 / 3)) < 1e-9 and abs(told[2] - 0.05) < 1e-9
     import numpy as np
 
+    told = toxicity.association(3, np.array([0, 2, 0, 2, 2, 1, 2]), np.array([1, 1, 1, 1, 0, 0, 0]), 2, 2)
+    assert abs(told[0] - 1.05) < 1e-9 and abs(told[1] - 0.05 - math.sqrt(1 / 3)) < 1e-9 and abs(told[2] - 0.05) < 1e-9
     index = toxicity.Index(["a", "b"], np.array([1.0, 1.0]), [(5, 1, np.array([0]), np.array([1.0])), (6, 0, np.array([1]), np.array([1.0]))], 0.5)
     who, s = index.nearest([(np.array([0, 1]), np.array([0.8, 0.6]))], 2)[0]
     assert index.ids[who].tolist() == [5, 6] and np.allclose(s, [0.8, 0.6])
