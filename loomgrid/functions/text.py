@@ -34,12 +34,58 @@ def split_camel(word: Column) -> Column:
 def analyse(text: Column) -> Column:
     """Index terms in order: each run of letters and digits, followed by its camel-case parts if it has several, lower-cased."""
     runs = F.array_remove(F.split(text, LETTER_OR_DIGIT), "")
-    return F.transform(F.flatten(F.transform(runs, lambda w: F.when(F.size(split_camel(w)) > 1, F.concat(F.array(w), split_camel(w))).otherwise(F.array(w)))), F.lower)
+    several = r"\p{Ll}\p{Lu}|[\p{Lu}\p{N}]\p{Lu}\p{Ll}"
+    return F.transform(F.flatten(F.transform(runs, lambda w: F.when(w.rlike(several), F.concat(F.array(w), split_camel(w))).otherwise(F.array(w)))), F.lower)
 
 
 def plain_terms(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits."""
-    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+    """Lower-cased runs of letters and digits of any script."""
+    return F.array_remove(F.split(F.lower(text), LETTER_OR_DIGIT), "")
+
+
+#: Other names of languages.
+LANGUAGE_OF_NAME = {
+    "rs": "rust", "py": "python", "ts": "typescript", "js": "javascript", "c++": "cpp", "cxx": "cpp", "c#": "csharp",
+    "cs": "csharp", "rb": "ruby", "sh": "bash", "zsh": "bash",
+}
+
+
+def language_named(name: str) -> str:
+    """The canonical name of a language; other names stand for themselves, in lower case."""
+    return LANGUAGE_OF_NAME.get(name.lower(), name.lower())
+
+
+def normal_path(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
+def joined_scope(parent: Column, name: Column) -> Column:
+    """parent.name, without the dot where either is empty or null."""
+    return F.concat_ws(".", F.nullif(parent, F.lit("")), F.nullif(name, F.lit("")))
+
+
+def embedding_text(file: Column, language: Column, scope: Column, content: Column) -> Column:
+    """What an embedder reads of a chunk: its place in comment lines, then its content."""
+    place = F.concat(F.lit("// File: "), file, F.lit("\n// Language: "), language)
+    return F.concat(place, F.when(F.coalesce(scope, F.lit("")) != "", F.concat(F.lit("\n// Scope: "), scope)).otherwise(F.lit("")), F.lit("\n\n"), content)
+
+
+def index_name(root: Column) -> Column:
+    """A folder name for the index of a tree: 16 hexadecimal digits."""
+    return F.substring(F.sha2(root.cast("binary"), 256), 1, 16)
+
+
+def valid_globs(globs: list[str] | tuple[str, ...]) -> list[str]:
+    """The globs that can be compiled; others are ignored in searches."""
+
+    def ok(g: str) -> bool:
+        try:
+            re.compile(glob_regex(g))
+        except (re.error, ValueError):
+            return False
+        return True
+
+    return [g for g in globs if ok(g)]
 
 
 def non_white_bytes(text: Column) -> Column:

@@ -6,7 +6,6 @@ candidates, at most four times ``top_n`` rows, are ordered in one task or broadc
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,11 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import staged
 from . import search as S
 from .chunking import context
+from .store import Store, bm25_of
 
 #: Boost of a match in the scope, and of one in the content.
 BOOSTS = {"content": 1.0, "scope": 3.0}
+#: Terms near one word of a query: a word of 30 letters has about 2,000 neighbours of one letter.
+MOST_NEAR = 4096
 RESULT = "id long, file string, start int, end int, language string, scope string, content string, score double, confidence double, tokens int, matched_lines array<int>"
 
 
@@ -33,10 +36,10 @@ class Options:
     weight: float | None = None
     language: str | None = None
     excludes: tuple[str, ...] = ()
-    threshold: float = 0.0
+    threshold: float = 0.3
     budget: int | None = None
     rerank: bool = False
-    text_weight: float = 1.0
+    text_weight: float = 0.5
     analyse: Callable[[Column], Column] = T.analyse
 
     def __post_init__(self) -> None:
@@ -48,16 +51,28 @@ class Options:
                 raise ValueError(f"{name} {v}: not between 0 and 1")
 
 
-def lexical(chunks: DataFrame, query: str, o: Options) -> DataFrame:
-    """id, score by BM25 over content and scope. Where no term of the query occurs, terms at edit distance 1 stand in."""
+def lexical(chunks: DataFrame, query: str, o: Options, index: Store | None = None) -> DataFrame:
+    """id, score by BM25 over content and scope. Where no term of the query occurs, terms at edit distance 1 stand in.
+
+    index: a stored version with the same chunks and analyser; then no text is read.
+    """
     terms = chunks.sparkSession.range(1).select(o.analyse(F.lit(query))).first()[0]
+    if index is not None:
+        found = bm25_of(index, terms, BOOSTS)
+        long = sorted({t for t in terms if len(t.encode()) > 2})
+        if not long or not found.isEmpty():
+            return found
+        dictionary = index.table("terms").select("term").distinct()
+        near = [r[0] for t in long for r in S.fuzzy_terms(dictionary, t).limit(MOST_NEAR).collect()]
+        return bm25_of(index, near, BOOSTS) if near else found
     found = S.bm25(chunks, terms, "chunk_id", BOOSTS, o.analyse)
     long = sorted({t for t in terms if len(t.encode()) > 2})
     if not long or not found.isEmpty():
         return found
+    # one pass for all terms of the query
     words = [chunks.select(F.explode(o.analyse(F.coalesce(f, F.lit("")))).alias("term")) for f in BOOSTS]
-    dictionary = words[0].unionByName(words[1])
-    near = [r[0] for t in long for r in S.fuzzy_terms(dictionary, t).distinct().collect()]
+    dictionary = staged(words[0].unionByName(words[1]).distinct(), "dictionary")
+    near = [r[0] for t in long for r in S.fuzzy_terms(dictionary, t).limit(MOST_NEAR).collect()]
     return S.bm25(chunks, near, "chunk_id", BOOSTS, o.analyse) if near else found
 
 
@@ -68,20 +83,21 @@ def _weighted(scored: DataFrame, chunks: DataFrame, weight: float) -> DataFrame:
     return rows.select("id", (F.col("score") * F.when(F.col("_l") == "text", weight).otherwise(1.0)).alias("score"))
 
 
-def search_chunks(chunks: DataFrame, query: str, vectors: DataFrame | None = None, vector: list[float] | None = None, o: Options = Options()) -> DataFrame:
-    """Rows of RESULT for one query, best first. A blank query or ``top_n`` 0 gives none."""
+def search_chunks(chunks: DataFrame, query: str, vectors: DataFrame | None = None, vector: list[float] | None = None, o: Options = Options(), index: Store | None = None) -> DataFrame:
+    """Rows of RESULT for one query, best first. A blank query or ``top_n`` 0 gives none; exclude globs that cannot be read
+    are ignored. index: as in ``lexical``."""
     if not query.strip() or o.top_n < 1:
         return chunks.sparkSession.createDataFrame([], RESULT)
     n, cosines = 2 * o.top_n, None
     if o.mode != "lexical":
         cosines = S.vector_scores(vectors, vector, "chunk_id")
     if o.mode == "lexical":
-        found = S.top_k(lexical(chunks, query, o), n)
+        found = S.top_k(lexical(chunks, query, o, index), n)
     elif o.mode == "semantic":
         found = _weighted(S.top_k(cosines, n), chunks, o.text_weight)
     else:
-        weight = S.SEMANTIC_WEIGHT[S.class_of(query)] if o.weight is None else o.weight
-        found = _weighted(S.fuse(S.top_k(cosines, n), S.top_k(lexical(chunks, query, o), n), o.rrf_k, weight), chunks, o.text_weight)
+        weight = S.SEMANTIC_WEIGHT[S.class_of(chunks.sparkSession, query)] if o.weight is None else o.weight
+        found = _weighted(S.fuse(S.top_k(cosines, n), S.top_k(lexical(chunks, query, o, index), n), o.rrf_k, weight), chunks, o.text_weight)
     columns = [F.col("chunk_id").alias("id"), "file", "start", "end", "language", "scope", "content"]
     rows = chunks.select(*columns).join(F.broadcast(found), "id")
     ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
@@ -94,8 +110,8 @@ def search_chunks(chunks: DataFrame, query: str, vectors: DataFrame | None = Non
         kept = kept.join(F.broadcast(near), "id", "left").withColumn("confidence", F.coalesce("cosine", "score")).drop("cosine")
     kept = kept.where(F.col("confidence") >= o.threshold)
     if o.language is not None:
-        kept = kept.where(F.lower("language") == o.language.lower())
-    for glob in o.excludes:
+        kept = kept.where(F.lower("language") == T.language_named(o.language))
+    for glob in T.valid_globs(o.excludes):
         kept = kept.where(~(F.col("file").rlike(T.glob_regex(glob)) | F.element_at(F.split("file", "/"), -1).rlike(T.glob_regex(glob))))
     kept = kept.orderBy("rank").limit(o.top_n).withColumn("tokens", T.n_tokens(F.col("content")))
     if o.budget is not None:
@@ -129,22 +145,17 @@ def as_json_lines(results: DataFrame) -> DataFrame:
     return results.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def ad_hoc_chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of texts that have no index (file, content), with ids from 0 and an empty scope where none is known."""
-    from .chunking import chunked
-    from .index import with_ids
-
-    return with_ids(chunked(docs).withColumn("language", T.language_of(F.col("file"))), 0)
+def with_meta(results: DataFrame) -> DataFrame:
+    """``as_json_lines`` in order of rank, then one line with the number of results and the sum of their tokens."""
+    rows = results.coalesce(1).select(F.monotonically_increasing_id().alias("place"), F.to_json(F.struct("*")).alias("value"))
+    told = results.agg(F.count(F.lit(1)).alias("total_results"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"))
+    meta = told.select(F.lit((1 << 63) - 1).alias("place"), F.to_json(F.struct(F.struct("*").alias("_meta"))).alias("value"))
+    return rows.unionByName(meta).orderBy("place").select("value")
 
 
-def globs_valid(globs: list[str]) -> list[str]:
-    """The globs that can be compiled; others are ignored in searches."""
-
-    def ok(g: str) -> bool:
-        try:
-            re.compile(T.glob_regex(g))
-        except (re.error, ValueError):
-            return False
-        return True
+def ad_hoc_chunks(docs: DataFrame) -> DataFrame:
+    """Chunks of texts that have no index (file, content), with ids from 0."""
+    from .code_chunks import chunk_files
+    from .index import with_ids
 
-    return [g for g in globs if ok(g)]
+    return with_ids(chunk_files(docs.select("file", "content", T.language_of(F.col("file")).alias("language"))), 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, overlap, plain_terms
@@ -149,12 +149,9 @@ def overlaps_hunk(chunks: DataFrame, hunks: DataFrame) -> DataFrame:
     return chunks.join(h, (F.col("file") == F.col("hf")) & (F.col("start") <= F.col("he")) & (F.col("end") >= F.col("hs")), "left_semi")
 
 
-def class_of(query: str) -> str:
+def class_of(spark: SparkSession, query: str) -> str:
     """``query_class`` of one query that the caller holds."""
-    words = query.lower().split()
-    if len(words) <= 1 or words[0] in CODE_WORDS:
-        return "identifier"
-    return "prose" if len(words) > 3 or set(words) & set(PROSE_WORDS) else "phrase"
+    return spark.range(1).select(query_class(F.lit(query))).first()[0]
 
 
 def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float], top_n: int = 10, k: int = RRF_K, weight: float | None = None) -> DataFrame:
@@ -162,7 +159,7 @@ def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float],
     words = query.lower().split()
     semantic = vector_scores(vectors, vector)
     lexical = bm25(docs, words)
-    fused = fuse(top_k(semantic, 2 * top_n), top_k(lexical, 2 * top_n), k, SEMANTIC_WEIGHT[class_of(query)] if weight is None else weight)
+    fused = fuse(top_k(semantic, 2 * top_n), top_k(lexical, 2 * top_n), k, SEMANTIC_WEIGHT[class_of(docs.sparkSession, query)] if weight is None else weight)
     best = F.broadcast(top_k(fused, top_n))
     scored = best.join(semantic.select(F.col("id").alias("v"), F.col("score").alias("confidence")), F.col("id") == F.col("v"), "left").drop("v")
     return docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(scored), "id")

@@ -6,7 +6,7 @@ text inside strings or comments that looks like a definition counts as one. A ta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that open a named definition, by language.
@@ -26,31 +26,51 @@ DEFINED_BY = {
 MODIFIERS = r"(?:(?:pub(?:\([a-z]+\))?|public|private|protected|internal|static|final|abstract|async|export|default|unsafe|override|case|sealed|open|const)\s+)*"
 
 
-def definitions(files: DataFrame, max_depth: int = 3) -> DataFrame:
+def definition_part(language: Column, line: Column, group: int) -> Column:
+    """The keyword (1) or the name (2) of a line's definition; null without one. A constant pattern a language, so each is compiled once."""
+    tries = (F.when(F.lower(language) == k, F.regexp_extract(line, rf"^\s*{MODIFIERS}({'|'.join(v)})\s+(?:\([^)]*\)\s*|<[^>]*>\s*)?([\p{{L}}_$][\p{{L}}\p{{N}}_$]*)", group)) for k, v in DEFINED_BY.items())
+    return F.nullif(F.coalesce(*tries), F.lit(""))
+
+
+def definitions(files: DataFrame, max_depth: int = 3, language: str | None = None) -> DataFrame:
     """file, line, end_line, depth (from 0), kind, name for files (file, language, content), to ``max_depth`` levels.
 
-    A definition ends before the next line that is indented no deeper and holds more than a closing bracket. One file's
-    lines meet in one task, files being of bounded size by their scan.
+    A definition ends before the next line that is indented no deeper and holds more than a closing bracket. The lines
+    are folded once in order, with a stack of the definitions still open, so the work grows with the lines. language: of
+    these files alone.
     """
-    def part(group: int) -> Column:
-        """The keyword or the name of the line's definition; null without one. A constant pattern a language, so each is compiled once."""
-        tries = (F.when(F.lower("language") == k, F.regexp_extract("text", rf"^\s*{MODIFIERS}({'|'.join(v)})\s+(?:\([^)]*\)\s*|<[^>]*>\s*)?([\p{{L}}_$][\p{{L}}\p{{N}}_$]*)", group)) for k, v in DEFINED_BY.items())
-        return F.nullif(F.coalesce(*tries), F.lit(""))
-
-    lines = files.where(F.lower("language").isin(*DEFINED_BY)).select("file", "language", F.posexplode(F.split("content", "\n")).alias("at", "text")).where(F.col("text").rlike(r"\S"))
-    wide = F.length(F.replace(F.regexp_extract("text", r"^(\s*)", 1), F.lit("\t"), F.lit("    ")))
-    rows = lines.select("file", (F.col("at") + 1).alias("line"), wide.alias("wide"), part(1).alias("kind"), part(2).alias("name"), F.col("text").rlike(r"^\s*[})\]]+[;,]?\s*$").alias("closing"))
-    last = F.max("line").over(Window.partitionBy("file"))
-    marked = rows.withColumn("last", last)
-    found = marked.where("kind is not null").select("file", "line", "wide", "kind", "name", "last")
-    stops = marked.where("not closing").select(F.col("file").alias("f"), F.col("line").alias("l"), F.col("wide").alias("w"))
-    c = F.col
-    ended = found.join(stops, (c("file") == c("f")) & (c("l") > c("line")) & (c("w") <= c("wide")), "left").groupBy("file", "line", "wide", "kind", "name", "last").agg((F.coalesce(F.min("l") - 1, c("last"))).alias("end_line"))
-    outer = ended.select(c("file").alias("f"), c("line").alias("l"), c("end_line").alias("e"))
-    nested = ended.join(outer, (c("file") == c("f")) & (c("l") < c("line")) & (c("end_line") <= c("e")), "left").groupBy("file", "line", "end_line", "kind", "name").agg(F.count("f").cast("int").alias("depth"))
-    return nested.where(c("depth") < max_depth).select("file", "line", "end_line", "depth", "kind", "name")
+    known = files.where(F.lower("language").isin(*([language.lower()] if language else DEFINED_BY)) & F.lower("language").isin(*DEFINED_BY))
+    numbered = F.transform(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x, i: F.struct((i + 1).alias("at"), x.alias("text")))
+    lines = F.filter(numbered, lambda x: x["text"].rlike(r"\S"))
+    one = "struct<line:int,end_line:int,depth:int,wide:int,text:string>"
+    state = f"struct<last:int,open:array<{one}>,out:array<{one}>>"
+
+    def put(kind: str, **fields: Column) -> Column:
+        return F.struct(*(v.alias(k) for k, v in fields.items())).cast(kind)
+
+    def ended(xs: Column, at: Column) -> Column:
+        return F.transform(xs, lambda d: put(one, line=d["line"], end_line=at, depth=d["depth"], wide=d["wide"], text=d["text"]))
+
+    def step(a: Column, x: Column) -> Column:
+        wide = F.length(F.replace(F.regexp_extract(x["text"], r"^(\s*)", 1), F.lit("\t"), F.lit("    ")))
+        closing = x["text"].rlike(r"^\s*[})\]]+[;,]?\s*$")
+        still = F.filter(a["open"], lambda d: closing | (d["wide"] < wide))
+        gone = F.filter(a["open"], lambda d: ~closing & (d["wide"] >= wide))
+        opens = F.coalesce(definition_part(F.col("language"), x["text"], 1), F.lit("")) != ""
+        new = F.when(opens, F.array(put(one, line=x["at"], end_line=x["at"], depth=F.size(still), wide=wide, text=x["text"]))).otherwise(F.array().cast(f"array<{one}>"))
+        return put(state, last=x["at"], open=F.concat(still, new), out=F.concat(a["out"], ended(gone, x["at"] - 1)))
+
+    none = F.array().cast(f"array<{one}>")
+    found = F.aggregate(lines, put(state, last=F.lit(0), open=none, out=none), step, lambda a: F.concat(a["out"], ended(a["open"], a["last"])))
+    rows = known.select("file", "language", F.explode(found).alias("d")).where(F.col("d.depth") < max_depth)
+    return rows.select("file", "d.line", "d.end_line", "d.depth", definition_part(F.col("language"), F.col("d.text"), 1).alias("kind"), definition_part(F.col("language"), F.col("d.text"), 2).alias("name"))
 
 
 def outline(symbols: DataFrame) -> DataFrame:
     """file, symbols (in the order of lines), count: one row a file."""
     return symbols.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "end_line", "depth", "kind", "name"))).alias("symbols"), F.count(F.lit(1)).alias("count"))
+
+
+def omitted_files(files: DataFrame, symbols: DataFrame) -> int:
+    """Number of files without any symbol."""
+    return files.select("file").distinct().join(symbols.select("file").distinct(), "file", "left_anti").count()

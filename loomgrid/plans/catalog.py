@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, hunks, index, retrieve, search
+from ..operators import changes, chunking, code_chunks, hunks, index, retrieve, search, store
 from ..session import shared_dir
 
 WORDS = ["the", "token", "ication"]
@@ -29,10 +29,17 @@ def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``search_bm25`` from an inverted index that is written first."""
-    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    index.write_postings(_table(spark, sf_dir, "documents"), path)
-    return search.top_k(index.bm25_of_postings(spark, path, WORDS), 20).select("id", F.round("score", 6).alias("score"))
+    """``search_bm25`` from an index that is stored first."""
+    return search.top_k(store.bm25_of(_stored(spark, sf_dir), WORDS, {"content": 1.0}), 20).select("id", F.round("score", 6).alias("score"))
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> store.Store:
+    """The documents as a stored index with plain terms."""
+    return store.save(_chunks(spark, sf_dir), _folder(spark), analyse=T.plain_terms)
 
 
 def search_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +59,7 @@ def vector_knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = search.postings(_table(spark, sf_dir, "documents"))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).where("df > 1")
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +119,12 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(*columns)
 
 
-def _searched(o: retrieve.Options, query: str):
+def _searched(o: retrieve.Options, query: str, stored: bool = False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         vectors = _table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
         vector = None if o.mode == "lexical" else _vector(spark, sf_dir)
-        found = retrieve.search_chunks(_chunks(spark, sf_dir), query, vectors, vector, o)
+        chunks, kept = _chunks(spark, sf_dir), _stored(spark, sf_dir) if stored else None
+        found = retrieve.search_chunks(kept.chunks if kept else chunks, query, vectors, vector, o, kept)
         return found.select("id", "file", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), "tokens", F.size("matched_lines").alias("n_matched"))
 
     return run
@@ -125,9 +133,10 @@ def _searched(o: retrieve.Options, query: str):
 #: Searches that use the options.
 SEARCHES = {
     "search_lexical_options": (retrieve.Options(mode="lexical", top_n=30, language="EN", excludes=("src7/*", "*9"), threshold=0.3, budget=4000, analyse=T.plain_terms), "token src3 ication"),
-    "search_semantic_options": (retrieve.Options(mode="semantic", top_n=12, language="en", rerank=True), "the token ication"),
-    "search_fuzzy": (retrieve.Options(mode="lexical", top_n=10, analyse=T.plain_terms), "tokne"),
+    "search_semantic_options": (retrieve.Options(mode="semantic", top_n=12, language="en", rerank=True, threshold=0.0), "the token ication"),
+    "search_fuzzy": (retrieve.Options(mode="lexical", top_n=10, threshold=0.0, analyse=T.plain_terms), "tokne"),
 }
+SEARCHES |= {"search_stored_options": (*SEARCHES["search_lexical_options"], True), "search_stored_fuzzy": (*SEARCHES["search_fuzzy"], True)}
 
 
 def matched_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,13 +185,69 @@ def vector_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.reuse_vectors(d.where("chunk_id % 2 = 0"), d.where("chunk_id % 2 = 1"), vectors).select("chunk_id", F.col("embedding").isNotNull().alias("reused"))
 
 
+def _files(docs: DataFrame) -> DataFrame:
+    """Documents as files doc/doc_id."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("file"), F.col("lang").alias("language"), F.octet_length(text).cast("long").alias("length"), F.lit(100).cast("long").alias("mtime"), text.alias("content"), F.sha2(text, 256).alias("content_hash"))
+
+
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, chunked and stored: what each file's chunks hold."""
+    kept, _ = store.build(_files(_table(spark, sf_dir, "documents")), _folder(spark))
+    chunks = kept.chunks.groupBy("file").agg(F.sum(T.non_white_bytes(F.col("content"))).cast("long").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    return kept.manifest.join(chunks, "file", "left").select("file", "size", "content_hash", F.coalesce("bytes", F.lit(0)).alias("bytes"), (F.size("chunk_ids") == F.coalesce("n", F.lit(0))).alias("listed"))
+
+
+def index_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An older state of the documents is stored, then brought to a newer one: which files kept their chunks."""
+    path, docs = _folder(spark), _table(spark, sf_dir, "documents").where("text is not null")
+    before = docs.where("doc_id % 13 <> 0").withColumn("text", F.expr("if(doc_id % 14 = 0, concat(text, 'x'), text)"))
+    first, _ = store.build(_files(before), path)
+    now = _files(docs.where("doc_id % 11 <> 0")).withColumn("mtime", F.expr("if(substr(file, 5) % 7 = 0, 200, 100)").cast("long"))
+    kept, _ = store.build(now, path)
+    return kept.manifest.where("size(chunk_ids) > 0").select("file", "content_hash", (F.get("chunk_ids", F.lit(0)) < first.meta["next_id"]).alias("old"))
+
+
+def index_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that still have a chunk, where chunks of two tables count."""
+    chunks = _chunks(spark, sf_dir)
+    vectors = _table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    return store.prune_vectors(vectors, chunks.where("chunk_id % 3 = 0"), chunks.where("chunk_id % 5 = 0")).select("chunk_id")
+
+
+def changed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/doc_id, touched by hunks that name them by doc_id or by root/source/doc_id."""
+    chunks = _chunks(spark, sf_dir)
+    named = F.expr("if(chunk_id % 2 = 0, cast(chunk_id as string), concat('root/', file))")
+    changed = chunks.where("chunk_id % 3 = 0").select(named.alias("file"), F.lit(2).alias("start"), (F.lit(2) + F.col("chunk_id") % 4).cast("int").alias("end"))
+    return changes.touched(chunks, changed).select("file", "start", "end")
+
+
+def changed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hunks of ``diff_hunks`` by file."""
+    return changes.hunks_by_file(diff_hunks(spark, sf_dir)).select("file", F.size("ranges").alias("n"), F.get("ranges", F.lit(0))["start"].alias("first"), F.element_at("ranges", -1)["start"].alias("last"))
+
+
+def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an embedder would read of each document."""
+    told = T.embedding_text(F.col("file"), F.col("language"), F.col("scope"), F.col("content"))
+    return _chunks(spark, sf_dir).select("chunk_id", F.sha2(told, 256).alias("hash"))
+
+
+def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages cut as if their markup were source code: blocks, merged ones and gaps."""
+    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), F.col("page_id")).alias("file"), F.lit("php").alias("language"), F.col("html").alias("content"))
+    return code_chunks.chunk_files(pages).select("file", "start", "end", "kind", T.non_white_bytes(F.col("content")).alias("bytes"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (search_bm25, search_bm25_index, search_vector, search_hybrid, vector_knn_batch, index_terms, chunk_text, camel_parts, language_counts, query_classes, snapshot_changes, snapshot_counts, contained_ranges, fuzzy_dictionary, keyword_overlap)
     named += (matched_lines, diff_hunks, diff_scope, index_ids, index_status, index_update, vector_reuse)
+    named += (index_build, index_incremental, index_prune, changed_chunks, changed_ranges, embedding_texts, code_blocks)
     return {f.__name__: f for f in named} | {k: _searched(*v) for k, v in SEARCHES.items()}
 
 
-_TERMS = "SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM documents"
+_TERMS = r"SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents"
 _BM25 = f"""
     w AS ({_TERMS}), q AS (SELECT unnest(['ication', 'the', 'token']) AS term),
     s AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM w),
@@ -199,17 +264,27 @@ _SNAP = """
           WHEN a.h = b.h THEN 'mtime_only' ELSE 'changed' END AS change_type FROM a FULL JOIN b ON a.file = b.file)"""
 
 
-_FIELD = """
-    w{f} AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM documents),
+_FIELD = r"""
+    w{f} AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM documents),
     s{f} AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM w{f}),
     tf{f} AS (SELECT id, len(ws) AS dl, term, len(list_filter(ws, lambda x: x = term)) AS tf FROM w{f}, q),
     df{f} AS (SELECT term, count(*) AS df FROM tf{f} WHERE tf > 0 GROUP BY term),
     p{f} AS (SELECT id, {boost} * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM tf{f} JOIN df{f} USING (term), s{f} WHERE tf > 0)"""
+
+
+def _near(word: str) -> str:
+    """A pattern of the words at edit distance 1 at most (letters, not bytes; an exchange of neighbours counts 1)."""
+    n = len(word)
+    added = [f"{word[:i]}.{word[i:]}" for i in range(n + 1)]
+    other = [f"{word[:i]}.?{word[i + 1 :]}" for i in range(n)]
+    return "|".join([word, *added, *other, *(word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(n - 1))])
+
+
 _LOW = "lower(coalesce(text, ''))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return _more_sql() | {
+    return _more_sql() | _store_sql() | {
         "search_bm25_index": f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20",
         "search_bm25": f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20",
         "search_vector": f"WITH {_KNN} SELECT id, round(score, 6) AS score FROM vs ORDER BY vs.score DESC, id LIMIT 20",
@@ -220,7 +295,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT t.id, round(t.score, 8) AS score, round(vs.score, 6) AS confidence, length(text) AS n_chars FROM t JOIN documents ON doc_id = t.id LEFT JOIN vs ON vs.id = t.id""",
         "vector_knn_batch": f"""SELECT query, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank
             FROM (SELECT q.vec_id AS query, v.vec_id AS id, {_DOT.format(a="v.embedding", b="q.embedding")} AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)) WHERE rank <= 5""",
-        "index_terms": f"SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT id, unnest(ws) AS term FROM ({_TERMS})) GROUP BY term HAVING count(DISTINCT id) > 1",
+        "index_terms": f"SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT id, unnest(ws) AS term FROM ({_TERMS})) GROUP BY term",
         "query_classes": f"""SELECT conv_id, turn, CASE WHEN len(w) <= 1 OR w[1] IN ({", ".join(f"'{x}'" for x in search.CODE_WORDS)}) THEN 'identifier'
             WHEN len(w) > 3 OR len(list_intersect(w, [{", ".join(f"'{x}'" for x in search.PROSE_WORDS)}])) > 0 THEN 'prose' ELSE 'phrase' END AS kind
             FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '') AS w FROM conversations)""",
@@ -228,7 +303,7 @@ def oracle_sql() -> dict[str, str]:
         "snapshot_counts": f"WITH {_SNAP} SELECT change_type, count(*) AS n FROM d GROUP BY change_type",
         "contained_ranges": """WITH l AS (SELECT l_orderkey AS file, l_linenumber AS start, l_linenumber + (l_partkey % 3)::INT AS "end", l_suppkey * 10 + l_linenumber AS rank FROM lineitem)
             SELECT file, start, "end", rank FROM l WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.file = l.file AND b.rank < l.rank AND b.start <= l.start AND l."end" <= b."end")""",
-        "fuzzy_dictionary": f"SELECT DISTINCT term FROM (SELECT unnest(ws) AS term FROM ({_TERMS})) WHERE damerau_levenshtein(term, 'tion') <= 1",
+        "fuzzy_dictionary": f"SELECT DISTINCT term FROM (SELECT unnest(ws) AS term FROM ({_TERMS})) WHERE regexp_full_match(term, '{_near('tion')}')",
         "keyword_overlap": "SELECT doc_id, round((" + " + ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{t}') THEN 1.0::DOUBLE ELSE 0 END" for t in ("the", "der", "los", "que")) + ") / 4, 6) AS share FROM documents",
     }
 
@@ -249,8 +324,8 @@ def _more_sql() -> dict[str, str]:
             r AS (SELECT c.*, text, source || '/' || doc_id AS file FROM c JOIN documents ON doc_id = id WHERE lang = 'en' ORDER BY c.score DESC, id LIMIT 12)
             SELECT id, file, round(score, 6) AS score, round(0.75::DOUBLE * score + 0.25::DOUBLE * ((CASE WHEN contains({_LOW}, 'the') THEN 1 ELSE 0 END + CASE WHEN contains({_LOW}, 'token') THEN 1 ELSE 0 END + CASE WHEN contains({_LOW}, 'ication') THEN 1 ELSE 0 END) / 3.0::DOUBLE), 6) AS confidence,
             {tokens}::INT AS tokens, len(list_filter(string_split({_LOW}, chr(10)), lambda x: contains(x, 'the') OR contains(x, 'token') OR contains(x, 'ication')))::INT AS n_matched FROM r""",
-        "search_fuzzy": f"""WITH ws AS (SELECT unnest(regexp_split_to_array(lower(coalesce(text, '') || ' ' || source), '[^a-z0-9]+')) AS term FROM documents),
-            q AS (SELECT DISTINCT term FROM ws WHERE damerau_levenshtein(term, 'tokne') <= 1), {fields},
+        "search_fuzzy": rf"""WITH ws AS (SELECT unnest(regexp_split_to_array(lower(coalesce(text, '') || ' ' || source), '[^\p{{L}}\p{{N}}]+')) AS term FROM documents),
+            q AS (SELECT DISTINCT term FROM ws WHERE regexp_full_match(term, '{_near('tokne')}')), {fields},
             bm AS (SELECT id, sum(s) AS score FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY id)
             SELECT id, source || '/' || doc_id AS file, round(score, 6) AS score, round(score / max(score) OVER (), 6) AS confidence, {tokens}::INT AS tokens,
             len(list_filter(string_split({_LOW}, chr(10)), lambda x: contains(x, 'tokne')))::INT AS n_matched FROM (SELECT * FROM bm ORDER BY bm.score DESC, id LIMIT 10) JOIN documents ON doc_id = id""",
@@ -266,3 +341,29 @@ def _more_sql() -> dict[str, str]:
         "vector_reuse": """WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), o AS (SELECT h, max(doc_id) AS old FROM h WHERE doc_id % 2 = 1 GROUP BY h)
             SELECT doc_id AS chunk_id, vec_id IS NOT NULL AS reused FROM h LEFT JOIN o USING (h) LEFT JOIN embeddings ON vec_id = old WHERE doc_id % 2 = 0""",
     }
+
+
+def _store_sql() -> dict[str, str]:
+    white = r"regexp_replace({}, '[ \t\n\f\r]', '', 'g')"
+    camel = r"regexp_replace(regexp_replace(regexp_replace(url, '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '([\p{Lu}\p{N}]\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g')"
+    named = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGE_OF_ENDING.items())
+    binary = ", ".join(f"'{x}'" for x in T.BINARY_ENDINGS)
+    more = _more_sql()
+    return {
+        "search_stored_options": more["search_lexical_options"],
+        "search_stored_fuzzy": more["search_fuzzy"],
+        "index_build": f"""SELECT 'doc/' || doc_id AS file, strlen(t)::BIGINT AS size, sha256(t) AS content_hash, strlen({white.format("t")})::BIGINT AS bytes, true AS listed
+            FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+        "index_incremental": r"""WITH d AS (SELECT * FROM documents WHERE regexp_matches(text, '\S')), b AS (SELECT doc_id FROM d WHERE doc_id % 13 <> 0 AND doc_id % 14 <> 0)
+            SELECT 'doc/' || doc_id AS file, sha256(text) AS content_hash, doc_id IN (SELECT doc_id FROM b) AS old FROM d WHERE doc_id % 11 <> 0""",
+        "index_prune": "SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0)",
+        "changed_chunks": """WITH c AS (SELECT doc_id, source || '/' || doc_id AS file, len(string_split(coalesce(text, ''), chr(10)))::INT AS n FROM documents),
+            h AS (SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE 'root/' || file END AS hf, 2 AS s, 2 + doc_id % 4 AS e FROM c WHERE doc_id % 3 = 0)
+            SELECT file, 1 AS start, n AS "end" FROM c WHERE EXISTS (SELECT 1 FROM h WHERE (file = hf OR suffix(file, '/' || hf) OR suffix(hf, '/' || file)) AND 1 <= e AND n >= s)""",
+        "changed_ranges": """SELECT 'line/' || l_linenumber AS file, count(*)::INT AS n, min(l_partkey)::INT AS first, max(l_partkey)::INT AS last FROM lineitem WHERE l_suppkey % 4 > 0 GROUP BY l_linenumber""",
+        "embedding_texts": """SELECT doc_id AS chunk_id, sha256('// File: ' || source || '/' || doc_id || chr(10) || '// Language: ' || lang || chr(10) || '// Scope: ' || source || chr(10) || chr(10) || coalesce(text, '')) AS hash FROM documents""",
+        "camel_parts": rf"""SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS place, part FROM (SELECT page_id, unnest(p) AS part, generate_subscripts(p, 1) AS i
+            FROM (SELECT page_id, list_filter(regexp_split_to_array({camel}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS p FROM pages))""",
+        "language_counts": rf"""WITH e AS (SELECT lower(regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$'), '\.([^.]+)$', 1)) AS e FROM pages)
+            SELECT CASE WHEN e = '' THEN 'text' WHEN e IN ({binary}) THEN NULL ELSE CASE e {named} ELSE e END END AS language, count(*) AS files FROM e GROUP BY 1""",
+    }

@@ -1,18 +1,105 @@
-"""File trees and text tables as rows of (file, language, length, mtime, content)."""
+"""File trees as rows of (file, language, length, mtime, content, content_hash); lists and diffs of git work trees.
+
+Defined results: a missing root is an error; an empty tree gives no rows; file names are relative to the root, with '/'.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import subprocess
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import language_of
+from ..functions.text import glob_regex, language_of, normal_path
 
 MAX_LENGTH = 1 << 20
+#: Ignore rules that one tree may have; each becomes a part of one filter expression.
+MAX_RULES = 2_000
+
+
+def _relative(root: str) -> Column:
+    """The path without root, whatever scheme Spark puts before it."""
+    where = re.sub(r"^[a-z0-9]+:/+", "/", root).rstrip("/")
+    return normal_path(F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:(?://[^/]*)?" + re.escape(where) + "/", ""))
+
+
+def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(folder, line) of the tree's .gitignore and .ignore files, outer folders first. At most MAX_RULES lines.
+
+    The driver lists the tree's names and reads these files alone, since Spark's readers skip hidden ones.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top, found = fs.makeQualified(where).toString().rstrip("/") + "/", []
+    names = fs.listFiles(where, True)
+    while names.hasNext():
+        path = names.next().getPath()
+        if path.getName() not in (".gitignore", ".ignore"):
+            continue
+        with_bytes = fs.open(path)
+        lines = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(with_bytes)).decode("utf-8", "replace").splitlines()
+        with_bytes.close()
+        folder = path.toString()[len(top) : -len(path.getName())]
+        found += [(folder, line.rstrip()) for line in lines if line.strip() and not line.startswith("#")]
+        if len(found) > MAX_RULES:
+            raise ValueError(f"more than {MAX_RULES} ignore rules under {root}")
+    return sorted(found, key=lambda r: (r[0].count("/"), r[0]))
+
+
+def ignored(file: Column, rules: list[tuple[str, str]]) -> Column:
+    """Whether the last rule that fits a file, or a folder on its way, ignores it. ``!`` takes a file back."""
+    out = F.lit(False)
+    for folder, line in rules:
+        back, body = line.startswith("!"), line.removeprefix("!")
+        only_folder, body = body.endswith("/"), body.rstrip("/")
+        anchored, body = "/" in body, body.lstrip("/")
+        regex = "".join({"**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part if part.startswith("[") else re.escape(part)) for part in re.findall(r"\*\*/|/\*\*|\*|\?|\[[^\]]*\]|.", body))
+        pattern = "^" + re.escape(folder) + ("" if anchored else "(?:.*/)?") + regex + ("/.*$" if only_folder else "(?:/.*)?$")
+        out = F.when(file.rlike(pattern), F.lit(not back)).otherwise(out)
+    return out
 
 
-def source_files(spark: SparkSession, root: str, max_length: int = MAX_LENGTH) -> DataFrame:
-    """Text files under ``root``: not over ``max_length`` bytes, no zero byte in the first 8192, of a known language."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_length)
+def source_files(spark: SparkSession, root: str, max_length: int = MAX_LENGTH, excludes: tuple[str, ...] = (), use_ignore_files: bool = True) -> DataFrame:
+    """Text files under ``root``: not over ``max_length`` bytes, no zero byte in the first 8192, of a known language.
+
+    excludes: globs on the relative path; one that cannot be read is an error. Files that ignore files name are left out
+    unless asked for. Spark's readers skip files whose name begins with '.' or '_'; those of hidden folders go too.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_length).withColumn("file", _relative(root))
+    for glob in excludes:
+        raw = raw.where(~F.col("file").rlike(glob_regex(glob)))
+    raw = raw.where(~F.col("file").rlike(r"(^|/)\."))
+    if use_ignore_files:
+        raw = raw.where(~ignored(F.col("file"), ignore_rules(spark, root)))
     binary = F.hex(F.substring("content", 1, 8192)).rlike("^(?:..)*?00")
     text = F.replace(F.col("content").cast("string"), F.lit("\r"), F.lit(""))
-    return raw.where(~binary).select(F.col("path").alias("file"), language_of(F.col("path")).alias("language"), "length", F.unix_timestamp("modificationTime").alias("mtime"), text.alias("content"), F.sha2("content", 256).alias("content_hash")).where("language is not null")
+    return raw.where(~binary).select("file", language_of(F.col("file")).alias("language"), "length", F.unix_timestamp("modificationTime").alias("mtime"), text.alias("content"), F.sha2("content", 256).alias("content_hash")).where("language is not null")
+
+
+def _git(root: str, *args: str) -> list[str]:
+    """Lines of a git command's answer; those of names end with a zero byte."""
+    out = subprocess.run(["git", "-C", root, *args], capture_output=True, check=True).stdout.decode("utf-8", "replace")
+    return [x for x in out.split("\0" if "-z" in args else "\n") if x]
+
+
+def git_files(spark: SparkSession, root: str) -> DataFrame:
+    """file: the tracked and the untracked files of a work tree that are not ignored, without the deleted ones."""
+    listed = {k: spark.createDataFrame([(x,) for x in _git(root, "ls-files", "-z", *v)], "file string") for k, v in (("tracked", ()), ("untracked", ("--others", "--exclude-standard")), ("deleted", ("--deleted",)))}
+    return listed["tracked"].union(listed["untracked"]).distinct().join(listed["deleted"], "file", "left_anti")
+
+
+def git_diff_lines(spark: SparkSession, root: str, base: str | None = None, staged: bool = False) -> DataFrame:
+    """source, line_no, line of a diff without context: against ``base``, or of unstaged changes, with the staged ones if asked for."""
+    asked = [("unstaged", ["diff", "-U0", *([base] if base else [])])]
+    if staged and not base:
+        asked.append(("staged", ["diff", "-U0", "--cached"]))
+    rows = [(name, i, line) for name, args in asked for i, line in enumerate(_git(root, *args))]
+    return spark.createDataFrame(rows, "source string, line_no int, line string")
+
+
+def tree_size(spark: SparkSession, root: str) -> DataFrame:
+    """files, bytes of all files under ``root``; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return found.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
