@@ -557,3 +557,71 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 def test_held_out_rows(spark):
     d = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", queries._held_out((4, 2)).alias("h"))
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in d.collect())
+
+
+def odd_table(spark, folder):
+    """A small table with what may go wrong: nulls, empty and long texts, ties, repeated rows, equal ids, clashing names."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(900)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 200))) for _ in range(60)]
+    texts += texts[:6] + [t + " end" for t in texts[6:12]] + [None, "", " \t\n", "Token = abcdef12 x", "AKIA" + "B" * 20 + "\n" * 3 + "c0ffee" * 5, "# $ | same\n" * 40, "é" * 150]
+    texts.append(" ".join(rng.choices(words, k=60_000)))
+    rows = [(i, t, "en", (None, "s1", "s2", "s3", "s4")[i % 5], 7, 1, "x") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n long, rank string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, (i // 2) % 2) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return texts
+
+
+def test_registered_queries_against_brute_force(spark, tmp_path):
+    """Every column that the contracts name, of the queries themselves."""
+    texts = odd_table(spark, tmp_path)
+    told = {n: queries.queries()[n](spark, str(tmp_path)).collect() for n in queries.queries() if n != "op9_chat_collapse"}
+    by = {n: {r.doc_id: r for r in rows} for n, rows in told.items()}
+    for n, rows in by.items():
+        assert sorted(rows) == list(range(len(texts))) and (n == "op4_packing" or len(told[n]) == len(texts)), n
+    sha = lambda x: hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+    whole = dict(without_repeats([(i, (t or "").encode()) for i, t in enumerate(texts)]))
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(t or "", []).append(i)
+    size = {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = WORD.findall(t)
+        r = by["op1_quality_rules"][i]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(map(len, w)), sum(len(re.findall(r"[#*$%&|<>]", x)) for x in [t])) and not (r.base_failed and r.kept)
+        assert r.base_failed == (len(w) < 50 or 100 * r.n_repeat_words > 50 * len(w))
+        for n, m, held in (("op2_quality_classifier", 4, 2), ("op5_toxicity", 3, 1)):
+            r = by[n][i]
+            assert r.held_out == (zlib.crc32(str(i).encode()) % m == held) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+        r = by["op6_exact_dedup"][i]
+        assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(groups[t]), len(groups[t]), i == max(groups[t]), sha(t))
+        r = by["op10_repeated_passages"][i]
+        assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(t.encode()), len(t.encode()) - len(whole[i]), sha(whole[i])) and (r.n_spans > 0) == (r.n_removed > 0)
+        r = by["op8_source_mix"][i]
+        own = sum(n for j, n in size.items() if j % 5 == i % 5)
+        assert (r.size, r.source_size) == (size[i], own) and 0 <= r.taken <= 3 * r.size and r.target <= 3 * own + 1e-6
+        found = [(m.start(), "assign", m.end()) for m in re.finditer(r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+        found += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        found += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        found.sort(key=lambda x: (x[0], ("assign", "access", "hex").index(x[1])))
+        r = by["op7_secret_scan"][i]
+        joined = ",".join(f"{k}:{a}:{z}" for a, k, z in found)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(f[1] == k for f in found) for k in ("assign", "access", "hex")) and r.base_sha256 == sha(joined) and r.spans == joined
+    taken = Counter()
+    for i, r in by["op8_source_mix"].items():
+        taken[i % 5] += r.taken
+    assert all(abs(taken[i % 5] - r.target) <= 1 for i, r in by["op8_source_mix"].items())
+    pieces = {}
+    for r in told["op4_packing"]:
+        pieces.setdefault(r.doc_id, []).append(r)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.vocabulary_files()[0])
+    for i, t in enumerate(texts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), packing.crc_of(ids[at : at + r.length]))
+            at += r.length
+        assert at == len(ids)
