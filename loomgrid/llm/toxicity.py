@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words and word beginnings of 5, 6 and 7 letters. At most ``LABELLED`` labelled rows (smallest
+Terms are lower-cased words and word beginnings of 5 letters. At most ``LABELLED`` labelled rows (smallest
 seeded hash) are examples. All their terms are in the index; document frequencies come from all documents. A term's
 weight is (1 + log count) * log(N / df), times FLOOR plus the strength of the term's association with the label among the
 examples (phi coefficient), so that words of topics do not drown those that tell the labels apart.
@@ -25,7 +25,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +37,15 @@ from .common import refuse
 from .quality_classifier import labelled
 
 #: Labelled rows that may be examples.
-LABELLED = 3_000
+LABELLED = 2_000
 NEIGHBOURS = 25
 SMOOTH = 0.02
 #: Weight of a term without any association with the label.
 FLOOR = 0.05
 BLOCK = 64
 #: Share of the examples from which on a term is common.
-COMMON = 0.1
-STARTS = (5, 6, 7)
+COMMON = 0.03
+START = 5
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Texts that are scored together.
 BATCH = 64
@@ -55,40 +54,53 @@ EVIDENCE = T.ArrayType(T.StructType([T.StructField("example", T.LongType()), T.S
 
 
 def terms_of(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}~" for k in STARTS if len(word) > k)]
+    return [word, f"{word[:START]}~"] if len(word) > START else [word]
+
+
+def words_of(text: str) -> Counter:
+    """How often each run of letters occurs; only what holds other characters needs the pattern."""
+    out = Counter(text.lower().split())
+    for mixed in [w for w in out if not w.isalpha()]:
+        n = out.pop(mixed)
+        for w in LETTERS.findall(mixed):
+            out[w] += n
+    return out
 
 
 def term_counts(text: str) -> Counter:
     out: Counter = Counter()
-    for word, n in Counter(LETTERS.findall(text.lower())).items():
+    for word, n in words_of(text).items():
         for t in terms_of(word):
             out[t] += n
     return out
 
 
-class Vocabulary(dict):
-    """Word -> numbers of its counted terms. Bounded memo: texts hold any number of different words."""
+class Vocabulary:
+    """Numbers of the counted terms: words, and word beginnings by their letters."""
 
     def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
+        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("~")}
+        self.starts = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("~")}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-        if len(self) < 100_000 and len(word) < 32:
-            self[word] = found
-        return found
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each word, then that of its beginning; -1 where it has none."""
+        word, start = self.words.get, self.starts.get
+        own = [word(w, -1) for w in words]
+        own += [start(w[:START], -1) if len(w) > START else -1 for w in words]
+        return np.array(own, np.int64)
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers in ascending order and how often each occurs."""
-        words = Counter(LETTERS.findall(text.lower()))
-        own = [self[w] for w in words]
-        at = np.fromiter(chain.from_iterable(own), np.int64)
-        n = np.repeat(np.fromiter(words.values(), np.float64, len(words)), np.fromiter(map(len, own), np.int64, len(own)))
-        at, back = np.unique(at, return_inverse=True)
-        return at, np.bincount(back, n, len(at))
-
-    def present(self, text: str) -> list[int]:
-        return list({t for w in set(LETTERS.findall(text.lower())) for t in self[w]})
+        words = words_of(text)
+        at = self._numbers(list(words))
+        n = np.fromiter(words.values(), np.float64, len(words))
+        known = at >= 0
+        at, back = np.unique(at[known], return_inverse=True)
+        return at, np.bincount(back, np.concatenate([n, n])[known], len(at))
+
+    def present(self, text: str) -> np.ndarray:
+        at = np.unique(self._numbers(list(words_of(text))))
+        return at[at >= 0]
 
 
 def _ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
