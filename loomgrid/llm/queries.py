@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from . import chat_collapse, cuckoo_dedup, mixing, near_dedup, packing, prefix_free, quality_classifier, quality_rules, secrets, toxicity
+from . import chat_collapse, cuckoo_dedup, mixing, near_dedup, packing, prefix_free, quality_classifier, quality_rules, runs, secrets, toxicity
+from .common import SPACES, let
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +90,30 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents whose hash ends in 0 repeat from one of their words on; the others stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split("text", rf"[{SPACES}]+"), "")
+
+    def rebuilt(w: Column) -> Column:
+        g, n = F.floor(h / 10), F.size(w)
+        at = F.pmod(g, n).cast("int")
+        period = 1 + F.floor((n - at) / (3 + F.pmod(g, F.lit(8)))).cast("int")
+        return let(F.struct(at.alias("at"), period.alias("p")), lambda x: F.array_join(F.transform(w, lambda _, i: w[F.when(i < x["at"], i).otherwise(x["at"] + F.pmod(i - x["at"], x["p"]))]), " "))
+
+    text = F.when(F.pmod(h, F.lit(10)) == 0, let(words, lambda w: F.when(F.size(w) > 0, rebuilt(w)).otherwise(F.lit("")))).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_with_planted_runs(_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    named = found.withColumn("best", best).withColumns({"length": F.col("best.length"), "start": -F.col("best.start"), "period": -F.col("best.period")})
+    exponent = F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli")
+    return named.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", exponent, F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
