@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from . import chat_collapse, cuckoo_dedup, mixing, near_dedup, packing, prefix_free, quality_classifier, quality_rules, runs, secrets, toxicity
+from . import chat_collapse, cuckoo_dedup, mixing, near_dedup, packing, prefix_free, prefix_trie, quality_classifier, quality_rules, runs, secrets, toxicity
 from .common import SPACES, let
 
 
@@ -114,6 +114,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", exponent, F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digests = staged(prefix_trie.digested(_table(spark, sf_dir, "conversations")), "trie-turns")
+    group = F.col("conv_id") - F.col("conv_id") % 20
+    taken = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4))
+    return prefix_trie.trie(prefix_trie.shared_beginnings(digests, group, taken, 3), digests.select("conv_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -129,6 +136,25 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_copies, rendered FROM p WHERE r = n GROUP BY n, rendered)
             SELECT conv_id, n_turns, n_copies, rendered FROM k
             WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT r, rendered FROM p WHERE r < n) q WHERE q.r = k.n_turns AND q.rendered = k.rendered)""",
+        "op13_prefix_trie": """
+            WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS r
+                       FROM conversations WHERE conv_id IS NOT NULL),
+            s AS (SELECT DISTINCT c, c::VARCHAR AS s FROM t),
+            h AS (SELECT c, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT),
+                         lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h FROM s),
+            b AS (SELECT h.c, t.r AS o, role, text FROM h JOIN t ON t.c = h.c - h.c % 20 AND t.r <= h.h
+                  UNION ALL SELECT h.c, t.r, role, text FROM h JOIN t ON t.c = h.c AND t.r > h.h),
+            p AS (SELECT h.c, coalesce(list({'role': role, 'text': text} ORDER BY o) FILTER (o IS NOT NULL), []) AS path FROM h LEFT JOIN b ON b.c = h.c GROUP BY h.c),
+            n AS (SELECT c, u.d, path[1:u.d] AS node FROM p, LATERAL (SELECT unnest(range(0, len(path) + 1)) AS d) u),
+            g AS (SELECT d, node, min(c) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(node[d].text, '[^\\x20\\x09-\\x0D]+')) END AS words FROM n GROUP BY d, node),
+            k AS (SELECT g.*, (SELECT count(*) FROM g x WHERE x.d = g.d + 1 AND x.node[1:g.d] = g.node) AS n_children FROM g),
+            e AS (SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM p GROUP BY path)
+            SELECT k.conv_id, k.d AS depth, (SELECT x.conv_id FROM g x WHERE x.d = k.d - 1 AND x.node = k.node[1:k.d - 1]) AS parent_conv_id, k.n_convs, k.n_children,
+                   (SELECT count(*) FROM k x WHERE x.d >= k.d AND x.n_children = 0 AND x.node[1:k.d] = k.node) AS n_leaves,
+                   (SELECT sum((x.n_convs - 1) * x.words)::BIGINT FROM k x WHERE x.d >= k.d AND x.node[1:k.d] = k.node) AS saved_tokens,
+                   sha256(coalesce((SELECT ids FROM e WHERE len(e.path) = k.d AND e.path = k.node), '')) AS ends_sha256
+            FROM k""",
         "op6_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
