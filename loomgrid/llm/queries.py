@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from . import chat_collapse, cuckoo_dedup, mixing, near_dedup, packing, prefix_free, prefix_trie, quality_classifier, quality_rules, runs, secrets, toxicity
+from . import chat_collapse, cuckoo_dedup, mixing, near_dedup, packing, prefix_free, prefix_trie, quality_classifier, quality_rules, runs, secrets, toxicity, url_rules
 from .common import SPACES, let
 
 
@@ -90,6 +90,17 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The given list of op11.
+LISTED = [url_rules.Listed(v, r) for v, r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
+
+
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of URLs are the verdicts of the listed rules; what they do not decide is judged by mined rules."""
+    judged = url_rules.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), LISTED)
+    names = {"host": "_ur_host", "path": "_ur_path", "rule": "_ur_rule", "verdict": "_ur_verdict"}
+    return judged.select("page_id", *(F.col(c).alias(n) for n, c in names.items()), F.array_join("_ur_mined.tokens", " ").alias("mined_rule"))
+
+
 def _with_planted_runs(docs: DataFrame) -> DataFrame:
     """The documents whose hash ends in 0 repeat from one of their words on; the others stay as they are."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -136,6 +147,31 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_copies, rendered FROM p WHERE r = n GROUP BY n, rendered)
             SELECT conv_id, n_turns, n_copies, rendered FROM k
             WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT r, rendered FROM p WHERE r < n) q WHERE q.r = k.n_turns AND q.rendered = k.rendered)""",
+        "op11_url_rules": """
+            WITH u AS (SELECT page_id, row_number() OVER () AS own, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+            a AS (SELECT page_id, own, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                         coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '') AS path, coalesce(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '') AS query FROM u),
+            l(verdict, rule, host, path) AS (VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
+                                                    ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),
+            f AS (SELECT own, max_by({'rule': l.rule, 'verdict': l.verdict}, length(l.rule)) AS listed FROM a JOIN l ON (a.host = l.host OR ends_with(a.host, '.' || l.host)) AND starts_with(a.path, l.path) GROUP BY own),
+            p AS (SELECT a.*, f.listed.rule AS rule, f.listed.verdict AS label,
+                         list_distinct(list_transform(list_filter(string_split(a.host, '.'), lambda x: x <> ''), lambda x: 'h=' || x)
+                           || list_transform(list_filter(string_split(translate(a.path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '/'), lambda x: x <> ''), lambda x: 's=' || x)
+                           || list_transform(list_filter(list_transform(string_split(translate(query, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '&'), lambda x: string_split(x, '=')[1]), lambda x: x <> ''), lambda x: 'q=' || x)) AS tokens
+                  FROM a LEFT JOIN f USING (own)),
+            z AS (SELECT count(*) AS total, count(*) FILTER (label = 'block') AS blocked, greatest(5, ceil(count(*) * 0.005)) AS need FROM p WHERE label IS NOT NULL),
+            e AS (SELECT own, label, unnest(tokens) AS token FROM p WHERE label IS NOT NULL),
+            q AS (SELECT token, abs(count(*) FILTER (label = 'block') * any_value(total) - count(*) * any_value(blocked)) AS uneven FROM e, z GROUP BY token HAVING count(*) >= any_value(need)),
+            b AS (SELECT own, label, token, row_number() OVER (PARTITION BY own ORDER BY uneven DESC, token) AS r FROM e JOIN q USING (token)),
+            i AS (SELECT p.own, p.label, coalesce(list(b.token ORDER BY b.token) FILTER (b.token IS NOT NULL), []) AS items FROM p LEFT JOIN b ON b.own = p.own AND b.r <= 12 WHERE p.label IS NOT NULL GROUP BY p.own, p.label),
+            s AS (SELECT label, list_filter(items, lambda x, k: (m.m >> (k - 1)) & 1 = 1) AS tokens FROM i, LATERAL (SELECT unnest(range(0, 1 << len(items))) AS m) m),
+            c AS (SELECT tokens, label, n, n_tokens, n / n_tokens AS confidence FROM (SELECT tokens, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY tokens) AS n_tokens FROM s GROUP BY tokens, label), z WHERE n >= need),
+            d AS (SELECT tokens AS whole, label, tokens[1:k - 1] || tokens[k + 1:] AS tokens FROM c, LATERAL (SELECT unnest(range(1, len(tokens) + 1)) AS k) k),
+            v AS (SELECT d.whole, d.label, max(confidence) AS rival FROM d JOIN c ON c.tokens = d.tokens AND c.label = d.label GROUP BY d.whole, d.label),
+            r AS (SELECT c.* FROM c LEFT JOIN v ON v.whole = c.tokens AND v.label = c.label WHERE len(c.tokens) > 0 AND confidence >= 0.9 AND confidence > coalesce(rival, 0)),
+            m AS (SELECT own, r.label AS verdict, r.tokens, row_number() OVER (PARTITION BY own ORDER BY confidence DESC, n DESC, len(r.tokens), r.tokens) AS k
+                  FROM p JOIN r ON list_has_all(p.tokens, r.tokens) WHERE p.rule IS NULL)
+            SELECT page_id, host, path, rule, coalesce(p.label, m.verdict, 'allow') AS verdict, array_to_string(m.tokens, ' ') AS mined_rule FROM p LEFT JOIN m ON m.own = p.own AND m.k = 1""",
         "op13_prefix_trie": """
             WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
                               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS r
