@@ -1,11 +1,15 @@
 """Quality rules as weak supervision, with DataFrame functions only.
 
 Every rule looks at one property of a text and votes good (1) well inside its usual range, bad (-1) far outside, or
-abstains (0). How far a rule can be trusted is estimated, not set: expectation-maximisation over the table of vote
-patterns finds each rule's accuracy (the share of its votes that are right) and the share of good texts; a few
-pseudo-votes keep rules that hardly vote near their starting value. A text's verdict is its posterior probability, so one
-bad vote can be outweighed. Only vote patterns with their counts (at most 3 to the number of rules, whatever the corpus's
-size) are gathered, into one row; the iterations run inside one SQL expression over that row.
+abstains (0). Texts are bad in ways that have little to do with each other: a text full of symbols has normal words, lines and
+capitals. Rules that look at a normal text would all vote good together, so counted as independent they drown the one that
+sees the fault. So the rules are grouped by fault (``FAMILIES``, three rules each, which see one fault from three sides), and
+each fault has a hidden state of its own. How far a rule can be trusted is estimated, not set: expectation-maximisation
+over a family's vote patterns finds the share of texts without the fault and, for each rule, the share of its votes that are
+right among texts without the fault and among those with it. A few pseudo-votes keep rules that hardly vote near their
+starting values. A text's quality is the probability that it has none of the faults, the product over the families; one bad
+vote is outweighed where the others of its family see nothing. Only vote patterns of a family with their counts (at most 27,
+whatever the corpus's size) are gathered, into one row a family; the iterations run inside one SQL expression over it.
 
 Words are maximal runs of other than ASCII white space. Repeated three-word windows are found by 64-bit hash within
 one text. Defined results: a null text has no words; very long texts are counted whole; texts under ``min_words`` words
@@ -34,10 +38,15 @@ PRIOR = 0.8
 
 @dataclass(frozen=True)
 class Model:
-    """prior: share of good texts. accuracy[j]: share of rule j's votes that are right."""
+    """One entry a family. prior: share of texts without the fault. fine[j], faulty[j]: share of rule j's votes that are right among texts without and with it."""
 
-    prior: float
-    accuracy: tuple[float, ...]
+    prior: tuple[float, ...]
+    fine: tuple[tuple[float, ...], ...]
+    faulty: tuple[tuple[float, ...], ...]
+
+
+#: Words whose distinct ones are counted together.
+BLOCK = 50
 
 
 def _repeat_words(w: Column) -> Column:
@@ -80,80 +89,126 @@ def statistics(text: Column) -> Column:
                 (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
                 _repeat_words(w).cast("long").alias("n_repeat_words"),
                 F.size(ls).cast("long").alias("n_lines"),
-                F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+                _block_distinct(w).cast("long").alias("n_block_distinct"),
+                F.regexp_count(t, F.lit(rf"[#*$%&|<>][^{SPACES}]*")).cast("long").alias("n_symbol_words"),
                 count(r"\p{Lu}+").cast("long").alias("n_upper"),
                 count(r"!+").cast("long").alias("n_bangs"),
+                F.regexp_count(t, F.lit(r"(?<!\p{L})\p{Lu}{2,}(?!\p{L})")).cast("long").alias("n_upper_words"),
+                F.regexp_count(t, F.lit(rf"(?<![^{SPACES}])[^\p{{L}}{SPACES}]+(?![^{SPACES}])")).cast("long").alias("n_no_letter"),
+                F.regexp_count(t, F.lit(rf"[^{SPACES}]{{31,}}")).cast("long").alias("n_long_words"),
             ),
         ),
     )
 
 
-RULES = ("word_length", "symbols", "duplicate_lines", "repeated_words", "capitals", "bangs", "distinct_words")
+def _block_distinct(w: Column) -> Column:
+    """Distinct words in each whole block of ``BLOCK`` words, added up."""
+    blocks = F.floor(F.size(w) / BLOCK).cast("int")
+    each = F.transform(F.sequence(F.lit(1), F.greatest(blocks, F.lit(1))), lambda k: F.size(F.array_distinct(F.slice(w, (k - 1) * BLOCK + 1, F.lit(BLOCK)))))
+    return F.when(blocks < 1, F.lit(0)).otherwise(F.aggregate(each, F.lit(0), lambda a, x: a + x))
+
+
+#: Rules by the fault they look for.
+FAMILIES = {
+    "symbols": ("symbols_by_characters", "symbols_by_words", "words_with_symbols"),
+    "repeats": ("duplicate_lines", "repeated_words", "distinct_words"),
+    "shouting": ("capitals", "bangs", "upper_words"),
+    "words": ("word_length", "words_without_letters", "very_long_words"),
+}
 
 
 def votes(s: Column) -> Column:
-    """One vote a rule, as an array in the order of ``RULES``. Texts under 50 words, or 3 lines, tell a rule of shares nothing good."""
+    """One array of votes a family, in the order of ``FAMILIES``. Texts under 50 words, or 3 lines, tell a rule of shares nothing good."""
     n, chars, lines = (F.greatest(s[c], F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
     long = n >= 50
+    in_blocks = F.floor(n / BLOCK) * BLOCK
     good_and_bad = (
-        (long & (s["word_chars"] >= 3 * n) & (s["word_chars"] <= 12 * n), long & ((s["word_chars"] < 2 * n) | (s["word_chars"] > 20 * n))),
-        (long & (100 * s["n_symbols"] <= chars), (20 * s["n_symbols"] > chars) | (5 * s["n_symbols"] > n)),
-        ((lines >= 3) & (10 * s["n_dup_lines"] <= lines), (lines >= 3) & (10 * s["n_dup_lines"] > 3 * lines)),
-        (long & (10 * s["n_repeat_words"] <= n), 10 * s["n_repeat_words"] > 3 * n),
-        (long & (100 * s["n_upper"] <= 15 * chars), 2 * s["n_upper"] > chars),
-        (long & (50 * s["n_bangs"] <= n), 4 * s["n_bangs"] > n),
-        (long & (n < 2000) & (10 * s["n_distinct"] >= 3 * n), long & (n < 2000) & (10 * s["n_distinct"] < n)),
+        (
+            (long & (100 * s["n_symbols"] <= chars), 20 * s["n_symbols"] > chars),
+            (long & (20 * s["n_symbols"] <= n), 5 * s["n_symbols"] > n),
+            (long & (20 * s["n_symbol_words"] <= n), 5 * s["n_symbol_words"] > n),
+        ),
+        (
+            ((lines >= 3) & (10 * s["n_dup_lines"] <= lines), (lines >= 3) & (10 * s["n_dup_lines"] > 3 * lines)),
+            (long & (10 * s["n_repeat_words"] <= n), 10 * s["n_repeat_words"] > 3 * n),
+            (long & (2 * s["n_block_distinct"] >= in_blocks), long & (10 * s["n_block_distinct"] < 3 * in_blocks)),
+        ),
+        (
+            (long & (100 * s["n_upper"] <= 15 * chars), 2 * s["n_upper"] > chars),
+            (long & (50 * s["n_bangs"] <= n), 4 * s["n_bangs"] > n),
+            (long & (10 * s["n_upper_words"] <= n), 2 * s["n_upper_words"] > n),
+        ),
+        (
+            (long & (s["word_chars"] >= 3 * n) & (s["word_chars"] <= 12 * n), long & ((s["word_chars"] < 2 * n) | (s["word_chars"] > 20 * n))),
+            (long & (5 * s["n_no_letter"] <= n), 2 * s["n_no_letter"] > n),
+            (long & (50 * s["n_long_words"] <= n), 10 * s["n_long_words"] > n),
+        ),
     )
-    return F.array(*(F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0)) for good, bad in good_and_bad))
+    return F.array(*(F.array(*(F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0)) for good, bad in f)) for f in good_and_bad))
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input with _qr_s (struct of counts) and _qr_votes."""
+    """The input with _qr_s (struct of counts) and _qr_votes (by family)."""
     refuse(docs, "_qr_")
     return docs.withColumn("_qr_s", statistics(F.col(f"`{text}`"))).withColumn("_qr_votes", votes(F.col("_qr_s")))
 
 
-def _posterior(vote: Column, prior: Column, accuracy: Column) -> Column:
-    odds = F.aggregate(F.transform(vote, lambda v, j: v * F.ln(accuracy[j] / (1 - accuracy[j]))), F.ln(prior / (1 - prior)), lambda a, x: a + x)
+def _fine(vote: Column, m: Column) -> Column:
+    """Probability that a text has not the fault of a family, from its votes and the family's estimates."""
+
+    def weight(v: Column, j: Column) -> Column:
+        good, bad = m["fine"][j] / (1 - m["faulty"][j]), (1 - m["fine"][j]) / m["faulty"][j]
+        return F.when(v > 0, F.ln(good)).when(v < 0, F.ln(bad)).otherwise(F.lit(0.0))
+
+    odds = F.aggregate(F.transform(vote, weight), F.ln(m["prior"] / (1 - m["prior"])), lambda a, x: a + x)
     return 1 / (1 + F.exp(-odds))
 
 
 def fit(featured: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Accuracies by expectation-maximisation over the vote patterns of all rows."""
-    patterns = featured.groupBy("_qr_votes").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    one = patterns.agg(F.collect_list(F.struct(F.col("_qr_votes").alias("v"), "n")).alias("ps"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("total"))
-    m = len(RULES)
+    """Estimates by expectation-maximisation over the vote patterns of all rows, for all families at once."""
+    patterns = featured.select(F.posexplode("_qr_votes").alias("family", "v")).groupBy("family", "v").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    families = patterns.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("ps"), F.sum("n").alias("total"))
     ps, total = F.col("ps"), F.col("total")
 
     def total_of(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
     def improve(state: Column, _: Column) -> Column:
-        good_share = F.transform(ps, lambda p: F.struct(p["v"].alias("v"), p["n"].alias("n"), _posterior(p["v"], state["prior"], state["accuracy"]).alias("q")))
+        shares = F.transform(ps, lambda p: F.struct(p["v"].alias("v"), p["n"].alias("n"), _fine(p["v"], state).alias("q")))
 
         def again(pq: Column) -> Column:
-            def rate(j: Column) -> Column:
-                hit = total_of(F.transform(pq, lambda p: F.when(p["v"][j] > 0, p["n"] * p["q"]).when(p["v"][j] < 0, p["n"] * (1 - p["q"])).otherwise(F.lit(0.0))))
-                cast = total_of(F.transform(pq, lambda p: p["n"] * F.abs(p["v"][j])))
+            def right(j: Column, vote: int, mass) -> Column:
+                hit = total_of(F.transform(pq, lambda p: F.when(p["v"][j] == vote, mass(p)).otherwise(F.lit(0.0))))
+                cast = total_of(F.transform(pq, lambda p: mass(p) * F.abs(p["v"][j])))
                 return (hit + HOLD * START) / (cast + HOLD)
 
+            rules = F.transform(ps[0]["v"], lambda _, j: j)
             prior = (total_of(F.transform(pq, lambda p: p["n"] * p["q"])) + HOLD * PRIOR) / (total + HOLD)
-            return F.struct(prior.alias("prior"), F.transform(F.sequence(F.lit(0), F.lit(m - 1)), rate).alias("accuracy"))
+            fine = F.transform(rules, lambda j: right(j, 1, lambda p: p["n"] * p["q"]))
+            faulty = F.transform(rules, lambda j: right(j, -1, lambda p: p["n"] * (1 - p["q"])))
+            return F.struct(prior.alias("prior"), fine.alias("fine"), faulty.alias("faulty"))
 
-        return let(good_share, again)
+        return let(shares, again)
 
-    start = F.struct(F.lit(PRIOR).alias("prior"), F.array_repeat(F.lit(START), m).alias("accuracy"))
-    found = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, improve).alias("m")).first()["m"]
-    return Model(found["prior"], tuple(found["accuracy"]))
+    held = F.transform(ps[0]["v"], lambda _: F.lit(START))
+    start = F.struct(F.lit(PRIOR).alias("prior"), held.alias("fine"), held.alias("faulty"))
+    found = {r["family"]: r["m"] for r in families.select("family", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, improve).alias("m")).collect()}
+    names = list(FAMILIES.values())
+    told = [(found[i]["prior"], tuple(found[i]["fine"]), tuple(found[i]["faulty"])) if i in found else (PRIOR, (START,) * len(rules), (START,) * len(rules)) for i, rules in enumerate(names)]
+    return Model(*(tuple(x) for x in zip(*told, strict=True)))
 
 
 def judged(featured: DataFrame, model: Model, threshold: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """Adds _qr_quality (posterior), _qr_failed (base test) and _qr_kept."""
-    odds = F.lit(math.log(model.prior / (1 - model.prior)))
-    for j, a in enumerate(model.accuracy):
-        odds = odds + F.col("_qr_votes")[j] * math.log(a / (1 - a))
+    """Adds _qr_quality (probability that the text has no fault), _qr_failed (base test) and _qr_kept."""
+    quality = F.lit(1.0)
+    for i, (prior, fine, faulty) in enumerate(zip(model.prior, model.fine, model.faulty, strict=True)):
+        odds = F.lit(math.log(prior / (1 - prior)))
+        for j, (a, b) in enumerate(zip(fine, faulty, strict=True)):
+            vote = F.col("_qr_votes")[i][j]
+            odds = odds + F.when(vote > 0, math.log(a / (1 - b))).when(vote < 0, math.log((1 - a) / b)).otherwise(0.0)
+        quality = quality / (1 + F.exp(-odds))
     failed = (F.col("_qr_s.n_words") < min_words) | (100 * F.col("_qr_s.n_repeat_words") > max_repeat_percent * F.col("_qr_s.n_words"))
-    return featured.withColumns({"_qr_quality": 1 / (1 + F.exp(-odds)), "_qr_failed": failed}).withColumn("_qr_kept", ~F.col("_qr_failed") & (F.col("_qr_quality") >= threshold))
+    return featured.withColumns({"_qr_quality": quality, "_qr_failed": failed}).withColumn("_qr_kept", ~F.col("_qr_failed") & (F.col("_qr_quality") >= threshold))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:

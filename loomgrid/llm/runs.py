@@ -12,8 +12,8 @@ ways with prefix hashes (two primes). The rules' runs are translated to all plac
 intervals of one period that overlap by a period are merged; what a rule's end cut short is covered by the rule above it.
 Of intervals that agree in both ends the smallest period stays.
 
-Texts of an Arrow batch are worked on together as arrays; symbols are never shared between texts. Memory is a few dozen
-bytes a word of the batch or of its longest text.
+Texts are worked on in lots, as arrays; symbols are never shared between texts. Memory is some hundred bytes a word of a
+lot or of its longest text.
 
 Defined results: null and empty texts and texts without words have no runs and an empty collapsed text; texts are read whole,
 however long; repeated rows, and rows that share an id or have none, get results of their own each; empty tables give
@@ -36,8 +36,8 @@ from .common import texts_of
 
 #: Least length of a run, in words and in periods.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
-#: Equality tests that are looked at together.
-TESTS = 1 << 21
+#: Equality tests, and bytes of text, that are worked on together; a longer text is worked on alone.
+TESTS, LOT_BYTES = 1 << 19, 1 << 20
 #: Primes and bases of the prefix hashes.
 HASHES = ((2147483647, 1_000_003), (2147483629, 998_244_353))
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -269,6 +269,18 @@ def all_runs(words: np.ndarray, text: np.ndarray, n_symbols: int) -> tuple[np.nd
     return begin[order], end[order], q[order]
 
 
+def _lots(texts: list[bytes]) -> Iterator[list[bytes]]:
+    own, held = [], 0
+    for t in texts:
+        if own and held + len(t) > LOT_BYTES:
+            yield own
+            own, held = [], 0
+        own.append(t)
+        held += len(t)
+    if own:
+        yield own
+
+
 def _batch(texts: list[bytes]) -> tuple[list[list[dict]], list[bytes]]:
     """Runs and collapsed text of each text."""
     split = [_WORDS.findall(t) for t in texts]
@@ -307,7 +319,11 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            runs, collapsed = _batch(texts_of(b.column(1)))
+            runs, collapsed = [], []
+            for lot in _lots(texts_of(b.column(1))):
+                some = _batch(lot)
+                runs += some[0]
+                collapsed += some[1]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(runs, _RUNS), pa.array(collapsed, pa.binary()).cast(pa.string())], names=["id", "runs", "collapsed"])
 
     kind = docs.schema[id_col].dataType.simpleString()
