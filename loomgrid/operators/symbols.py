@@ -1,69 +1,41 @@
-"""Definitions in source files as rows, found by their lines: no parser, so nesting is read from indentation.
+"""Definitions in source files as rows, from the nodes of ``syntax``.
 
-Defined results: null and empty contents give no rows; files of other languages than those of ``DEFINED_BY`` neither;
-text inside strings or comments that looks like a definition counts as one. A tab is as wide as four blanks.
+Defined results: null and empty contents give no rows; files of other languages than those of ``syntax.LANGUAGES`` neither;
+strings and comments hold no definitions; nodes without a name (statements, bodies) do not count as a level.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterable, Iterator
 
-#: Words that open a named definition, by language.
-DEFINED_BY = {
-    "python": ("class", "def"),
-    "rust": ("enum", "fn", "impl", "mod", "struct", "trait", "type"),
-    "go": ("func", "type"),
-    "java": ("class", "enum", "interface"),
-    "javascript": ("class", "function"),
-    "typescript": ("class", "enum", "function", "interface", "type"),
-    "csharp": ("class", "enum", "interface", "struct"),
-    "scala": ("class", "def", "object", "trait"),
-    "ruby": ("class", "def", "module"),
-    "php": ("class", "function", "interface", "trait"),
-    "swift": ("class", "enum", "func", "protocol", "struct"),
-}
-MODIFIERS = r"(?:(?:pub(?:\([a-z]+\))?|public|private|protected|internal|static|final|abstract|async|export|default|unsafe|override|case|sealed|open|const)\s+)*"
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.text import language_named
+from ..session import prepared
+from . import syntax
 
-def definition_part(language: Column, line: Column, group: int) -> Column:
-    """The keyword (1) or the name (2) of a line's definition; null without one. A constant pattern a language, so each is compiled once."""
-    tries = (F.when(F.lower(language) == k, F.regexp_extract(line, rf"^\s*{MODIFIERS}({'|'.join(v)})\s+(?:\([^)]*\)\s*|<[^>]*>\s*)?([\p{{L}}_$][\p{{L}}\p{{N}}_$]*)", group)) for k, v in DEFINED_BY.items())
-    return F.nullif(F.coalesce(*tries), F.lit(""))
+SYMBOL = "file string, line int, end_line int, depth int, kind string, name string"
 
 
 def definitions(files: DataFrame, max_depth: int = 3, language: str | None = None) -> DataFrame:
     """file, line, end_line, depth (from 0), kind, name for files (file, language, content), to ``max_depth`` levels.
 
-    A definition ends before the next line that is indented no deeper and holds more than a closing bracket. The lines
-    are folded once in order, with a stack of the definitions still open, so the work grows with the lines. language: of
-    these files alone.
+    kind is the word that opens the definition, or 'function'. language: of these files alone, by any of its names.
     """
-    known = files.where(F.lower("language").isin(*([language.lower()] if language else DEFINED_BY)) & F.lower("language").isin(*DEFINED_BY))
-    numbered = F.transform(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x, i: F.struct((i + 1).alias("at"), x.alias("text")))
-    lines = F.filter(numbered, lambda x: x["text"].rlike(r"\S"))
-    one = "struct<line:int,end_line:int,depth:int,wide:int,text:string>"
-    state = f"struct<last:int,open:array<{one}>,out:array<{one}>>"
-
-    def put(kind: str, **fields: Column) -> Column:
-        return F.struct(*(v.alias(k) for k, v in fields.items())).cast(kind)
-
-    def ended(xs: Column, at: Column) -> Column:
-        return F.transform(xs, lambda d: put(one, line=d["line"], end_line=at, depth=d["depth"], wide=d["wide"], text=d["text"]))
-
-    def step(a: Column, x: Column) -> Column:
-        wide = F.length(F.replace(F.regexp_extract(x["text"], r"^(\s*)", 1), F.lit("\t"), F.lit("    ")))
-        closing = x["text"].rlike(r"^\s*[})\]]+[;,]?\s*$")
-        still = F.filter(a["open"], lambda d: closing | (d["wide"] < wide))
-        gone = F.filter(a["open"], lambda d: ~closing & (d["wide"] >= wide))
-        opens = F.coalesce(definition_part(F.col("language"), x["text"], 1), F.lit("")) != ""
-        new = F.when(opens, F.array(put(one, line=x["at"], end_line=x["at"], depth=F.size(still), wide=wide, text=x["text"]))).otherwise(F.array().cast(f"array<{one}>"))
-        return put(state, last=x["at"], open=F.concat(still, new), out=F.concat(a["out"], ended(gone, x["at"] - 1)))
-
-    none = F.array().cast(f"array<{one}>")
-    found = F.aggregate(lines, put(state, last=F.lit(0), open=none, out=none), step, lambda a: F.concat(a["out"], ended(a["open"], a["last"])))
-    rows = known.select("file", "language", F.explode(found).alias("d")).where(F.col("d.depth") < max_depth)
-    return rows.select("file", "d.line", "d.end_line", "d.depth", definition_part(F.col("language"), F.col("d.text"), 1).alias("kind"), definition_part(F.col("language"), F.col("d.text"), 2).alias("name"))
+    prepared(files)
+    wanted = F.lower("language").isin(list(syntax.LANGUAGES))
+    known = files.where(wanted & (F.lower("language") == language_named(language)) if language else wanted)
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+    names = [c.split(" ")[0] for c in SYMBOL.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(file, *r) for file, kind, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in syntax.symbol_rows((text or "").replace("\r", ""), kind, max_depth)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    return known.select("file", F.lower("language").alias("language"), F.col("content").cast("string").alias("content")).mapInArrow(run, SYMBOL)
 
 
 def outline(symbols: DataFrame) -> DataFrame:
