@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_path
 from .retrieve import Options, search_chunks
 
-#: Fixed value: results that a search over a diff asks for at least.
-LEAST = 50
-
 
 def hunks_by_file(hunks: DataFrame) -> DataFrame:
     """file, ranges (sorted by start, end; repeated ones stay)."""
@@ -39,10 +34,5 @@ def touched(chunks: DataFrame, hunks: DataFrame) -> DataFrame:
 
 
 def search_changes(chunks: DataFrame, hunks: DataFrame, query: str, vectors: DataFrame | None = None, vector: list[float] | None = None, o: Options = Options(), index=None) -> DataFrame:
-    """``search_chunks`` over all chunks, of which those that a hunk touches stay, ``o.top_n`` at most.
-
-    So that none is missed, the search asks for as many results more as chunks are touched.
-    """
-    most = max(touched(chunks, hunks).count() + o.top_n, LEAST)
-    found = search_chunks(chunks, query, vectors, vector, replace(o, top_n=most), index)
-    return touched(found, hunks).orderBy(F.desc("confidence"), "id").limit(o.top_n)
+    """``search_chunks`` among the chunks that a hunk touches, with the counts and lengths of all chunks; each of them can be found."""
+    return search_chunks(chunks, query, vectors, vector, o, index, touched(chunks, hunks))

@@ -13,15 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import staged
 from . import search as S
 from .chunking import context
-from .store import Store, bm25_of
+from .store import Store, best_of, bm25_of
 
 #: Boost of a match in the scope, and of one in the content.
 BOOSTS = {"content": 1.0, "scope": 3.0}
-#: Terms near one word of a query: a word of 30 letters has about 2,000 neighbours of one letter.
-MOST_NEAR = 4096
 RESULT = "id long, file string, start int, end int, language string, scope string, content string, score double, confidence double, tokens int, matched_lines array<int>"
 
 
@@ -51,29 +48,34 @@ class Options:
                 raise ValueError(f"{name} {v}: not between 0 and 1")
 
 
-def lexical(chunks: DataFrame, query: str, o: Options, index: Store | None = None) -> DataFrame:
-    """id, score by BM25 over content and scope. Where no term of the query occurs, terms at edit distance 1 stand in.
+def lexical(chunks: DataFrame, query: str, o: Options, index: Store | None = None, k: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """id, score by BM25 over content and scope; the k best if k is given. Where no term of the query occurs, terms at edit
+    distance 1 stand in.
 
-    index: a stored version with the same chunks and analyser; then no text is read.
+    index: a stored version with the same chunks; its analyser is used and no text is read. only: chunk_id of the chunks that
+    may be found; counts and lengths are those of all chunks.
     """
-    terms = chunks.sparkSession.range(1).select(o.analyse(F.lit(query))).first()[0]
-    if index is not None:
-        found = bm25_of(index, terms, BOOSTS)
-        long = sorted({t for t in terms if len(t.encode()) > 2})
-        if not long or not found.isEmpty():
-            return found
-        dictionary = index.table("terms").select("term").distinct()
-        near = [r[0] for t in long for r in S.fuzzy_terms(dictionary, t).limit(MOST_NEAR).collect()]
-        return bm25_of(index, near, BOOSTS) if near else found
-    found = S.bm25(chunks, terms, "chunk_id", BOOSTS, o.analyse)
+    analyse = o.analyse if index is None else index.analyse
+    terms = chunks.sparkSession.range(1).select(analyse(F.lit(query))).first()[0]
     long = sorted({t for t in terms if len(t.encode()) > 2})
+
+    def best(scored: DataFrame) -> DataFrame:
+        some = scored if only is None else scored.join(only.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi")
+        return some if k is None else S.top_k(some, k)
+
+    if index is not None:
+        asked = terms
+        if long and index.terms(terms).isEmpty():
+            asked = [n for t in long for n in index.near_terms(t)]
+        return best_of(index, asked, BOOSTS, k) if only is None and k is not None else best(bm25_of(index, asked, BOOSTS))
+    found = S.bm25(chunks, terms, "chunk_id", BOOSTS, analyse)
     if not long or not found.isEmpty():
-        return found
+        return best(found)
     # one pass for all terms of the query
-    words = [chunks.select(F.explode(o.analyse(F.coalesce(f, F.lit("")))).alias("term")) for f in BOOSTS]
-    dictionary = staged(words[0].unionByName(words[1]).distinct(), "dictionary")
-    near = [r[0] for t in long for r in S.fuzzy_terms(dictionary, t).limit(MOST_NEAR).collect()]
-    return S.bm25(chunks, near, "chunk_id", BOOSTS, o.analyse) if near else found
+    words = [chunks.select(F.explode(analyse(F.coalesce(f, F.lit("")))).alias("term")) for f in BOOSTS]
+    every = words[0].unionByName(words[1])
+    near = [r[0] for r in S.fuzzy_terms(every, *long).distinct().collect()]
+    return best(S.bm25(chunks, near, "chunk_id", BOOSTS, analyse)) if near else best(found)
 
 
 def _weighted(scored: DataFrame, chunks: DataFrame, weight: float) -> DataFrame:
@@ -83,21 +85,21 @@ def _weighted(scored: DataFrame, chunks: DataFrame, weight: float) -> DataFrame:
     return rows.select("id", (F.col("score") * F.when(F.col("_l") == "text", weight).otherwise(1.0)).alias("score"))
 
 
-def search_chunks(chunks: DataFrame, query: str, vectors: DataFrame | None = None, vector: list[float] | None = None, o: Options = Options(), index: Store | None = None) -> DataFrame:
+def search_chunks(chunks: DataFrame, query: str, vectors: DataFrame | None = None, vector: list[float] | None = None, o: Options = Options(), index: Store | None = None, only: DataFrame | None = None) -> DataFrame:
     """Rows of RESULT for one query, best first. A blank query or ``top_n`` 0 gives none; exclude globs that cannot be read
-    are ignored. index: as in ``lexical``."""
+    are ignored. index, only: as in ``lexical``."""
     if not query.strip() or o.top_n < 1:
         return chunks.sparkSession.createDataFrame([], RESULT)
     n, cosines = 2 * o.top_n, None
     if o.mode != "lexical":
-        cosines = S.vector_scores(vectors, vector, "chunk_id")
+        cosines = S.vector_scores(vectors if only is None else vectors.join(only.select("chunk_id").distinct(), "chunk_id", "left_semi"), vector, "chunk_id")
     if o.mode == "lexical":
-        found = S.top_k(lexical(chunks, query, o, index), n)
+        found = lexical(chunks, query, o, index, n, only)
     elif o.mode == "semantic":
         found = _weighted(S.top_k(cosines, n), chunks, o.text_weight)
     else:
         weight = S.SEMANTIC_WEIGHT[S.class_of(chunks.sparkSession, query)] if o.weight is None else o.weight
-        found = _weighted(S.fuse(S.top_k(cosines, n), S.top_k(lexical(chunks, query, o, index), n), o.rrf_k, weight), chunks, o.text_weight)
+        found = _weighted(S.fuse(S.top_k(cosines, n), lexical(chunks, query, o, index, n, only), o.rrf_k, weight), chunks, o.text_weight)
     columns = [F.col("chunk_id").alias("id"), "file", "start", "end", "language", "scope", "content"]
     rows = chunks.select(*columns).join(F.broadcast(found), "id")
     ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))

@@ -136,11 +136,19 @@ def rerank(results: DataFrame, query: str, content: str = "text", alpha: float =
     return results.withColumn("confidence", (1 - alpha) * F.col("confidence") + alpha * overlap(F.col(content), terms))
 
 
-def fuzzy_terms(dictionary: DataFrame, word: str, term: str = "term") -> DataFrame:
-    """Terms at Damerau-Levenshtein distance 1 at most; an exchange of neighbours counts 1."""
-    swaps = [word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)]
-    near = F.levenshtein(F.col(term), F.lit(word), 1).between(0, 1)
-    return dictionary.where(near | F.col(term).isin(*swaps) if swaps else near)
+def deletions(word: str) -> set[str]:
+    """A word and what is left when one of its letters goes: words at distance 1 have one of these in common."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+def fuzzy_terms(dictionary: DataFrame, *words: str, term: str = "term") -> DataFrame:
+    """Terms at Damerau-Levenshtein distance 1 at most of one of the words; an exchange of neighbours counts 1."""
+    near = F.lit(False)
+    for word in words:
+        swaps = [word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)]
+        near = near | F.levenshtein(F.col(term), F.lit(word), 1).between(0, 1)
+        near = near | F.col(term).isin(*swaps) if swaps else near
+    return dictionary.where(near)
 
 
 def overlaps_hunk(chunks: DataFrame, hunks: DataFrame) -> DataFrame:

@@ -290,8 +290,7 @@ def test_index_versions(spark, tmp_path, lengths):
     (tmp_path / "more").mkdir()
     (tmp_path / "more/a.txt").write_text('{"chunk_id": 1, "file": "old"}\n\nnot json\n{"chunk_id": 1, "file": "new"}\n')
     assert [(r.chunk_id, r.file) for r in store.import_chunks(spark, str(tmp_path / "more")).collect()] == [(1, "new")]
-    meta = dict(again.meta, layout=99)
-    spark.createDataFrame([(json.dumps(meta),)], "value string").write.text(f"{path}/v9/commit")
+    (tmp_path / "index/log/00000009.json").write_text(json.dumps(dict(again.meta, layout=99, number=9)))
     with pytest.raises(ValueError):
         store.load(spark, path)
     n, size = store.remove(spark, path)
