@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal_path
 from .retrieve import Options, search_chunks
+from .search import overlaps_hunk
 
 
 def hunks_by_file(hunks: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def touched(chunks: DataFrame, hunks: DataFrame) -> DataFrame:
     h = hunks.select(normal_path(F.col("file")).alias("h")).distinct()
     one = c.select("file", F.explode(_endings(F.col("c"))).alias("h")).join(h, "h").select("file", "h")
     two = c.join(h.select("h", F.explode(_endings(F.col("h"))).alias("c")), "c").select("file", "h")
-    ranges = one.union(two).distinct().join(hunks.select(normal_path(F.col("file")).alias("h"), F.col("start").alias("_s"), F.col("end").alias("_e")), "h").withColumnRenamed("file", "_f")
-    return chunks.join(ranges, (F.col("file") == F.col("_f")) & (F.col("start") <= F.col("_e")) & (F.col("end") >= F.col("_s")), "left_semi")
+    ranges = one.union(two).distinct().join(hunks.select(normal_path(F.col("file")).alias("h"), "start", "end"), "h").select("file", "start", "end")
+    return overlaps_hunk(chunks, ranges)
 
 
 def search_changes(chunks: DataFrame, hunks: DataFrame, query: str, vectors: DataFrame | None = None, vector: list[float] | None = None, o: Options = Options(), index=None) -> DataFrame:

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, overlap, plain_terms
+from ..session import prepared
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Queries that one broadcast may hold.
-QUERY_BLOCK = 4096
+#: Queries that are sent to every task at most; vectors that meet a block of more queries in one task; queries of one product.
+QUERY_BLOCK, VECTOR_TILE, TILE = 4096, 1 << 17, 256
 #: Words that open a code query, and words of natural-language queries.
 CODE_WORDS = ("fn", "func", "function", "def", "class", "struct", "enum", "impl", "trait", "interface", "module", "use", "import", "pub", "async", "const", "static", "type", "var", "let", "val")
 PROSE_WORDS = ("how", "what", "which", "where", "when", "why", "does", "that", "this", "the", "for", "with", "from", "is", "are", "can", "should", "would")
@@ -64,22 +68,116 @@ def vector_scores(vectors: DataFrame, query: list[float], id_col: str = "vec_id"
     return vectors.select(F.col(id_col).alias("id"), sized.alias("score"))
 
 
+def _nearest(k: int):
+    """Folds vectors into the k best of a block of queries: ids, matrix and batches in, (query, id, score) out.
+
+    A matrix product tells which vectors may be among the k best; their scores are summed once more in the order of the
+    dimensions, as ``cosine`` does, so ties are ties whatever the blocks.
+    """
+
+    class Best:
+        def __init__(self, ids: np.ndarray, matrix: np.ndarray):
+            self.ids, self.matrix = ids, matrix
+            self.q, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+        def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+            if vectors.shape[1] != self.matrix.shape[1]:
+                raise ValueError("vector and query differ in dimension")
+            reached = np.full(len(self.ids), -np.inf)
+            full = np.bincount(self.q, minlength=len(self.ids)) >= k
+            np.minimum.at(least := np.full(len(self.ids), np.inf), self.q, self.score)
+            reached[full] = least[full]
+            found = [(self.q, self.id, self.score)]
+            for low in range(0, len(self.ids), TILE):
+                about = self.matrix[low : low + TILE] @ vectors.T
+                about[self.ids[low : low + TILE, None] == ids[None, :]] = -np.inf
+                own = np.partition(about, -k, axis=1)[:, -k] if about.shape[1] > k else np.full(len(about), -np.inf)
+                q, v = np.nonzero((about >= np.maximum(own, reached[low : low + TILE])[:, None] - 1e-9) & np.isfinite(about))
+                exact = np.zeros(len(q))
+                for d in range(vectors.shape[1]):
+                    exact += self.matrix[low + q, d] * vectors[v, d]
+                found.append((low + q, ids[v], exact))
+            q, i, s = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            first = np.searchsorted(q, q, "left")
+            keep = np.arange(len(q)) - first < k
+            self.q, self.id, self.score = q[keep], i[keep], s[keep]
+
+        def rows(self) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(self.ids[self.q]), pa.array(self.id), pa.array(self.score)], names=["query", "id", "score"])
+
+    return Best
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of equal length as doubles; other lengths are an error."""
+    lengths = np.diff(column.offsets.to_numpy())
+    if column.null_count or len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("vector and query differ in dimension")
+    values = column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()]
+    return values.astype(np.float64).reshape(len(lengths), -1) if len(lengths) else np.zeros((0, 0))
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query, id, rank, score: k nearest of each row of ``queries``, itself excepted.
+    """query, id, rank, score: k nearest of each row of ``queries``, itself excepted; ties by id. Rows without a vector are left out.
 
-    The queries are counted: one block is broadcast; more are met block by block, with each vector dealt to every block.
+    A task keeps the k best of each query over all vectors that it reads, so at most k rows a query and task are shuffled.
+    Up to ``QUERY_BLOCK`` queries are sent to every task; more are dealt in blocks and meet tiles of ``VECTOR_TILE`` vectors.
     """
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    q = queries.select(F.col(id_col).alias("query"), F.col(column).alias("qv"))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(column).alias("v"))
-    if blocks <= 1:
-        pairs = rows.join(F.broadcast(q), F.col("id") != F.col("query"))
+    prepared(vectors)
+    q = queries.where(F.col(column).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v"))
+    rows = vectors.where(F.col(column).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v"))
+    n, best = q.count(), _nearest(k)
+    out = "query long, id long, score double"
+    if n == 0 or k < 1:
+        scored = vectors.sparkSession.createDataFrame([], out)
+    elif n <= QUERY_BLOCK:
+        told = q.collect()
+        ids, matrix = np.array([r["id"] for r in told]), np.array([r["v"] for r in told], np.float64)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = best(ids, matrix)
+            for b in batches:
+                if b.num_rows:
+                    held.add(b.column(0).to_numpy(), _matrix(b.column(1)))
+            yield held.rows()
+
+        scored = rows.mapInArrow(run, out)
     else:
-        dealt = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = dealt.join(q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")), "block").where("id <> query")
-    scored = pairs.select("query", "id", cosine(F.col("v"), F.col("qv")).alias("score"))
+        blocks, tiles = -(-n // QUERY_BLOCK), max(1, -(-rows.count() // VECTOR_TILE))
+
+        def dealt(df: DataFrame, own: str, own_n: int, other: str, other_n: int, kind: int) -> DataFrame:
+            copies = F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))
+            return df.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int").alias(own), copies.alias(other)).select("block", "tile", F.lit(kind).alias("kind"), "id", "v")
+
+        both = dealt(q, "block", blocks, "tile", tiles, 0).unionByName(dealt(rows, "tile", tiles, "block", blocks, 1))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, asked, held = None, [], None
+            for b in batches:
+                keys = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()], axis=1)
+                cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    if high == low:
+                        continue
+                    part = b.slice(low, high - low)
+                    if (now := tuple(keys[low, :2])) != key:
+                        if held:
+                            yield held.rows()
+                        key, asked, held = now, [], None
+                    if keys[low, 2] == 0:
+                        asked.append((part.column(3).to_numpy(), _matrix(part.column(4))))
+                    elif asked:
+                        held = held or best(np.concatenate([x for x, _ in asked]), np.concatenate([x for _, x in asked]))
+                        held.add(part.column(3).to_numpy(), _matrix(part.column(4)))
+            if held:
+                yield held.rows()
+
+        # of each pair of a block and a tile the queries come first
+        scored = both.repartition("block", "tile").sortWithinPartitions("block", "tile", "kind").mapInArrow(run, out)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query", "id", "rank", "score")
 
 
 def ranked(top: DataFrame) -> DataFrame:
@@ -110,11 +208,55 @@ def query_class(q: Column) -> Column:
 SEMANTIC_WEIGHT = {"identifier": 0.3, "phrase": 0.45, "prose": 0.7}
 
 
+class _Stairs:
+    """Of ranges seen so far (end, rank) those that no other one beats in both: the best rank among ends from some end on."""
+
+    def __init__(self) -> None:
+        self.ends: list = []
+        self.ranks: list = []
+
+    def best(self, end):
+        i = bisect_left(self.ends, end)
+        return self.ranks[i] if i < len(self.ends) else None
+
+    def add(self, end, rank) -> None:
+        i = bisect_left(self.ends, end)
+        if i < len(self.ends) and self.ranks[i] <= rank:
+            return
+        high = i + (i < len(self.ends) and self.ends[i] == end)
+        low = i
+        while low and self.ranks[low - 1] >= rank:
+            low -= 1
+        self.ends[low:high], self.ranks[low:high] = [end], [rank]
+
+
 def drop_contained(ranked_chunks: DataFrame) -> DataFrame:
-    """Rows (file, start, end, rank) that lie in no better-ranked row of the same file."""
-    better = ranked_chunks.select(F.col("file").alias("f"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("rank").alias("r"))
-    c = F.col
-    return ranked_chunks.join(better, (c("file") == c("f")) & (c("r") < c("rank")) & (c("s") <= c("start")) & (c("end") <= c("e")), "left_anti")
+    """Rows (file, start, end, rank, and others) that lie in no better-ranked row of the same file; rows with a null stay.
+
+    One sweep a file in the order of starts: of the ranges that began before, those that no other one beats in end and rank
+    are held, so a row is one search among them and no pair of ranges is formed.
+    """
+    prepared(ranked_chunks)
+    names = ["file", "start", "end", "rank"]
+    keyed = ranked_chunks.select(*(F.col(c).alias(f"_{c}") for c in names), F.struct("*").alias("_all"))
+    whole = keyed.where(" AND ".join(f"_{c} IS NOT NULL" for c in names))
+    n = len(names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, seen = None, _Stairs()
+        for b in batches:
+            keep = []
+            for f, _, end, rank in zip(*(c.to_pylist() for c in b.columns[:n]), strict=True):
+                if f != file:
+                    file, seen = f, _Stairs()
+                better = seen.best(end)
+                keep.append(better is None or better >= rank)
+                seen.add(end, rank)
+            yield pa.RecordBatch.from_arrays([b.column(n)], names=["all"]).filter(pa.array(keep, pa.bool_()))
+
+    kind = ranked_chunks.schema.simpleString()
+    swept = whole.repartition("_file").sortWithinPartitions("_file", "_start", "_rank").select(*(f"_{c}" for c in names), "_all").mapInArrow(run, f"all {kind}")
+    return swept.select("all.*").unionByName(keyed.where(" OR ".join(f"_{c} IS NULL" for c in names)).select("_all.*"))
 
 
 def within_budget(ranked_rows: DataFrame, budget: int, tokens: str = "tokens", rank: str = "rank") -> DataFrame:
@@ -152,9 +294,16 @@ def fuzzy_terms(dictionary: DataFrame, *words: str, term: str = "term") -> DataF
 
 
 def overlaps_hunk(chunks: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Chunks (file, start, end) that a hunk (file, start, end) touches, files equal."""
-    h = hunks.select(F.col("file").alias("hf"), F.col("start").alias("hs"), F.col("end").alias("he"))
-    return chunks.join(h, (F.col("file") == F.col("hf")) & (F.col("start") <= F.col("he")) & (F.col("end") >= F.col("hs")), "left_semi")
+    """Chunks (file, start, end) that a hunk (file, start, end) touches, files equal.
+
+    One sweep a file: of the hunks that begin up to a chunk's end the greatest end tells, so no pair is formed.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in chunks.columns))
+    c = chunks.where("file is not null").select(F.col("file").alias("_file"), F.col("end").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_reach"), row.alias("_row"))
+    h = hunks.where("file is not null").select(F.col("file").alias("_file"), F.col("start").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col("end").cast("long").alias("_reach"), F.lit(None).cast(chunks.schema).alias("_row"))
+    upto = Window.partitionBy("_file").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = c.unionByName(h).withColumn("_reach", F.max("_reach").over(upto))
+    return swept.where((F.col("_kind") == 1) & (F.col("_reach") >= F.col("_row.start"))).select("_row.*")
 
 
 def class_of(spark: SparkSession, query: str) -> str:
