@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import changes, chunking, code_chunks, hunks, index, retrieve, search, store
+from ..operators import changes, chunking, code_chunks, hunks, index, retrieve, search, store, symbols
 from ..session import shared_dir
+from ..streaming.watch import write_batch
 
 WORDS = ["the", "token", "ication"]
 
@@ -199,13 +200,93 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An older state of the documents is stored, then brought to a newer one: which files kept their chunks."""
-    path, docs = _folder(spark), _table(spark, sf_dir, "documents").where("text is not null")
+    """An older state of the documents is stored, then brought to a newer one: which files kept their chunks (null: none)."""
+    path, docs = _folder(spark), _table(spark, sf_dir, "documents")
     before = docs.where("doc_id % 13 <> 0").withColumn("text", F.expr("if(doc_id % 14 = 0, concat(text, 'x'), text)"))
     first, _ = store.build(_files(before), path)
     now = _files(docs.where("doc_id % 11 <> 0")).withColumn("mtime", F.expr("if(substr(file, 5) % 7 = 0, 200, 100)").cast("long"))
     kept, _ = store.build(now, path)
-    return kept.manifest.where("size(chunk_ids) > 0").select("file", "content_hash", (F.get("chunk_ids", F.lit(0)) < first.meta["next_id"]).alias("old"))
+    return kept.manifest.select("file", "content_hash", (F.get("chunk_ids", F.lit(0)) < first.meta["next_id"]).alias("old"))
+
+
+#: What is added to the id of a document's chunk when the document has changed.
+MOVED = 1_000_000_000
+
+
+def search_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents from an index of two segments: the second has what is new, of the first what has changed is gone."""
+    chunks = _chunks(spark, sf_dir)
+    before = chunks.where("chunk_id % 13 <> 0").withColumn("content", F.expr("if(chunk_id % 14 = 0, concat(content, ' token'), content)"))
+    first = store.save(before, _folder(spark), analyse=T.plain_terms)
+    gone = before.where("chunk_id % 14 = 0").select("chunk_id")
+    new = chunks.where("chunk_id % 13 = 0").unionByName(chunks.where("chunk_id % 13 <> 0 AND chunk_id % 14 = 0").withColumn("chunk_id", F.col("chunk_id") + MOVED))
+    kept = store.save(new, first.path, analyse=T.plain_terms, base=first, gone=gone)
+    return store.best_of(kept, WORDS, {"content": 1.0}, 20).select("id", F.round("score", 6).alias("score"))
+
+
+def fuzzy_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the stored documents and sources near a word, by what is left of them without one letter."""
+    return spark.createDataFrame([(t,) for t in _stored(spark, sf_dir).near_terms("tion")], "term string")
+
+
+def search_in_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of the documents that a hunk touches, with the counts of all documents."""
+    chunks = _chunks(spark, sf_dir)
+    touched = chunks.where("chunk_id % 3 = 0").select("file", F.lit(2).alias("start"), F.lit(3).alias("end"))
+    o = retrieve.Options(mode="lexical", top_n=15, threshold=0.0, analyse=T.plain_terms)
+    found = changes.search_changes(chunks, touched, "token src3 ication", o=o)
+    return found.select("id", "file", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
+
+
+def index_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive as files in two batches, the second changes, removes and adds some and is run twice: what the index lists."""
+    path, d = _folder(spark), _table(spark, sf_dir, "documents")
+    name, text = F.concat(F.lit("doc/"), F.col("doc_id")).alias("file"), F.coalesce("text", F.lit(""))
+    write_batch(d.where("doc_id % 13 <> 0").select(name, F.when(F.col("doc_id") % 7 == 0, F.concat(text, F.lit(" old"))).otherwise(text).alias("content"), F.lit(1).cast("long").alias("mtime")), 0, path)
+    later = d.where("doc_id % 13 = 0 OR doc_id % 7 = 0 OR doc_id % 5 = 0").select(name, F.when(F.col("doc_id") % 5 != 0, text).alias("content"), F.lit(2).cast("long").alias("mtime"))
+    for _ in range(2):
+        kept = write_batch(later, 1, path)
+    return kept.manifest.select("file", "size", "content_hash", (F.size("chunk_ids") > 0).alias("listed"), F.lit(kept.meta["number"]).alias("version"))
+
+
+def code_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the default analyser, of texts whose words are run together in camel case."""
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.concat(F.translate(F.substring(w, 1, 1), low, up), F.substring(w, F.lit(2), F.length(w))))
+    terms = T.analyse(F.array_join(words, ""))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+#: Source files that are made of the order lines, by language: first lines, lines of one item, last lines. {o}, {n} and {p}: order, place and part.
+SOURCES = {
+    "python": ('class Order{o}:\n    text = "def no(): class No:"\n', '    def part{p}_{n}(self):\n        return "class No:"\n', ""),
+    "java": ("public class Order{o} {\n    // class No { void no() {\n", '    public int part{p}_{n}(int x) {\n        return "}}".length();\n    }\n', "}\n"),
+    "go": ("package orders\n/* func no() { */\n", "func part{p}_{n}(x int) string {\n\treturn `func no() {`\n}\n", ""),
+    "ruby": ("class Order{o}\n  # def no\n", '  def part{p}_{n}(x)\n    return "end" if x\n  end\n', "end\n"),
+}
+
+
+def _each(text: str, filled) -> Column:
+    return F.transform("numbered", lambda x: filled(text, x))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, language, content: one source file an order, with a definition for each of its lines."""
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
+
+    def filled(text: str, item=None) -> Column:
+        out = F.replace(F.lit(text), F.lit("{o}"), F.col("l_orderkey").cast("string"))
+        return out if item is None else F.replace(F.replace(out, F.lit("{n}"), item["n"]), F.lit("{p}"), item["p"])
+
+    numbered = F.transform("items", lambda x, i: F.struct((i + 1).cast("string").alias("n"), x["l_partkey"].cast("string").alias("p")))
+    language = F.element_at(F.array(*map(F.lit, SOURCES)), (F.col("l_orderkey") % 4 + 1).cast("int"))
+    content = F.coalesce(*(F.when(language == k, F.concat(filled(a), F.array_join(_each(b, filled), ""), filled(c))) for k, (a, b, c) in SOURCES.items()))
+    return lines.withColumn("numbered", numbered).select(F.concat(F.lit("order/"), F.col("l_orderkey")).alias("file"), language.alias("language"), content.alias("content"))
+
+
+def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions in the source files of the orders; what strings and comments hold is none."""
+    return symbols.definitions(_sources(spark, sf_dir))
 
 
 def index_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,6 +325,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (search_bm25, search_bm25_index, search_vector, search_hybrid, vector_knn_batch, index_terms, chunk_text, camel_parts, language_counts, query_classes, snapshot_changes, snapshot_counts, contained_ranges, fuzzy_dictionary, keyword_overlap)
     named += (matched_lines, diff_hunks, diff_scope, index_ids, index_status, index_update, vector_reuse)
     named += (index_build, index_incremental, index_prune, changed_chunks, changed_ranges, embedding_texts, code_blocks)
+    named += (search_segments, fuzzy_index, search_in_changes, index_watch, code_terms, source_symbols)
     return {f.__name__: f for f in named} | {k: _searched(*v) for k, v in SEARCHES.items()}
 
 
@@ -349,13 +431,40 @@ def _store_sql() -> dict[str, str]:
     named = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGE_OF_ENDING.items())
     binary = ", ".join(f"'{x}'" for x in T.BINARY_ENDINGS)
     more = _more_sql()
+    fields = ",".join(_FIELD.format(f=f, c=c, boost=b) for f, c, b in ((1, "text", "1.0::DOUBLE"), (2, "source", "3.0::DOUBLE")))
     return {
         "search_stored_options": more["search_lexical_options"],
         "search_stored_fuzzy": more["search_fuzzy"],
         "index_build": f"""SELECT 'doc/' || doc_id AS file, strlen(t)::BIGINT AS size, sha256(t) AS content_hash, strlen({white.format("t")})::BIGINT AS bytes, true AS listed
             FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
-        "index_incremental": r"""WITH d AS (SELECT * FROM documents WHERE regexp_matches(text, '\S')), b AS (SELECT doc_id FROM d WHERE doc_id % 13 <> 0 AND doc_id % 14 <> 0)
-            SELECT 'doc/' || doc_id AS file, sha256(text) AS content_hash, doc_id IN (SELECT doc_id FROM b) AS old FROM d WHERE doc_id % 11 <> 0""",
+        "index_incremental": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+            SELECT 'doc/' || doc_id AS file, sha256(t) AS content_hash, CASE WHEN regexp_matches(t, '\S') THEN doc_id % 13 <> 0 AND doc_id % 14 <> 0 END AS old FROM d WHERE doc_id % 11 <> 0""",
+        "search_segments": f"""WITH {_BM25} SELECT id, round(score, 6) AS score FROM (SELECT CASE WHEN id % 13 <> 0 AND id % 14 = 0 THEN id + {MOVED} ELSE id END AS id, score FROM bm) x ORDER BY x.score DESC, id LIMIT 20""",
+        "fuzzy_index": rf"""SELECT DISTINCT term FROM (SELECT unnest(regexp_split_to_array(lower(coalesce(text, '') || ' ' || coalesce(source, '')), '[^\p{{L}}\p{{N}}]+')) AS term FROM documents) WHERE regexp_full_match(term, '{_near('tion')}')""",
+        "search_in_changes": f"""WITH q AS (SELECT unnest(['token', 'src3', 'ication']) AS term), {fields},
+            bm AS (SELECT id, sum(s) AS score FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY id),
+            t AS (SELECT doc_id, source || '/' || doc_id AS file FROM documents WHERE doc_id % 3 = 0 AND len(string_split(coalesce(text, ''), chr(10))) >= 2),
+            c AS (SELECT id, file, score, score / max(score) OVER () AS confidence FROM bm JOIN t ON id = doc_id)
+            SELECT id, file, round(score, 6) AS score, round(confidence, 6) AS confidence FROM c ORDER BY c.score DESC, id LIMIT 15""",
+        "index_watch": r"""SELECT 'doc/' || doc_id AS file, strlen(t)::BIGINT AS size, sha256(t) AS content_hash, regexp_matches(t, '\S') AS listed, 1 AS version
+            FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE doc_id % 5 <> 0""",
+        "code_terms": rf"""WITH w AS (SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), ' '), lambda w: translate(substr(w, 1, 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || substr(w, 2)), '') AS url FROM documents),
+            r AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(url, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS url FROM w),
+            t AS (SELECT doc_id, url AS term FROM r UNION ALL
+                  SELECT doc_id, unnest(list_filter(regexp_split_to_array({camel}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) FROM r WHERE regexp_matches(url, '\p{{Ll}}\p{{Lu}}|[\p{{Lu}}\p{{N}}]\p{{Lu}}\p{{Ll}}'))
+            SELECT lower(term) AS term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY 1""",
+        "source_symbols": """WITH l AS (SELECT l_orderkey AS o, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem),
+            c AS (SELECT o, count(*) AS m FROM l GROUP BY o)
+            SELECT 'order/' || o AS file, 1 AS line, (CASE o % 4 WHEN 0 THEN 2 + 2 * m ELSE 3 + 3 * m END)::INT AS end_line, 0 AS depth, 'class' AS kind, 'Order' || o AS name FROM c WHERE o % 4 <> 2
+            UNION ALL SELECT 'order/' || o, (CASE o % 4 WHEN 0 THEN 1 + 2 * n ELSE 3 * n END)::INT, (CASE o % 4 WHEN 0 THEN 2 + 2 * n ELSE 3 * n + 2 END)::INT, CASE WHEN o % 4 = 2 THEN 0 ELSE 1 END,
+            CASE o % 4 WHEN 1 THEN 'function' WHEN 2 THEN 'func' ELSE 'def' END, 'part' || p || '_' || n FROM l""",
+        "chunk_text": rf"""WITH RECURSIVE d AS (SELECT doc_id, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) AS ls FROM documents),
+            z AS (SELECT doc_id, k, line, strlen({white.format("line")}) AS n, NOT regexp_matches(line, '\S') AS blank FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM d)),
+            f AS (SELECT doc_id, k, CASE WHEN blank THEN 0 ELSE 1 END AS start, CASE WHEN blank THEN 0 ELSE n END AS held, n, line FROM z WHERE k = 1
+                  UNION ALL SELECT z.doc_id, z.k, CASE WHEN z.blank THEN 0 WHEN f.start = 0 OR f.held + z.n > {chunking.MAX_BYTES} THEN z.k ELSE f.start END,
+                  CASE WHEN z.blank THEN 0 WHEN f.start = 0 OR f.held + z.n > {chunking.MAX_BYTES} THEN z.n ELSE f.held + z.n END, z.n, z.line FROM f JOIN z ON z.doc_id = f.doc_id AND z.k = f.k + 1)
+            SELECT 'doc/' || doc_id AS file, start::INT AS start, max(k)::INT AS "end", sum(n)::INT AS bytes, sha256('doc/' || doc_id || ':' || start || ':' || string_agg(line, chr(10) ORDER BY k)) AS content_hash
+            FROM f WHERE start > 0 GROUP BY doc_id, start""",
         "index_prune": "SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0)",
         "changed_chunks": """WITH c AS (SELECT doc_id, source || '/' || doc_id AS file, len(string_split(coalesce(text, ''), chr(10)))::INT AS n FROM documents),
             h AS (SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE 'root/' || file END AS hf, 2 AS s, 2 + doc_id % 4 AS e FROM c WHERE doc_id % 3 = 0)
