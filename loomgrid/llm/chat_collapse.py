@@ -7,7 +7,7 @@ rolling hash; anti-joins on (length, hashes) leave the maximal conversations. Eq
 smallest conv_id. The survivors are rendered to one text each.
 
 Prefix keys are made distinct before the join, so a first turn that a third of all conversations share is one row
-there. Defined results: turns are ordered by turn (null first), then role and text, so ties and repeated turns keep a
+there. Defined results: turns are ordered by turn (null first), then role and text (null as empty, and before it), so ties and repeated turns keep a
 fixed order; null roles and texts differ from empty ones in the hashes and render as empty; very long texts render
 whole; turns whose conv_id is null belong to no common conversation: each is one of its own (an unbounded group would meet
 in one task otherwise), and a named one of equal turns stands for them; an empty table gives an empty result; extra
@@ -29,7 +29,8 @@ def _hashes(place: Column) -> dict[str, Column]:
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, place, h1, h2 (rolling hashes up to that place), last."""
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    empty = [F.coalesce(c, F.lit("")) for c in ("role", "text")]
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), *empty, F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text", F.row_number().over(order).alias("place"))
     rows = rows.withColumns(_hashes(F.col("place")))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -51,7 +52,8 @@ def collapse(conversations: DataFrame) -> DataFrame:
     turns = conversations.select("conv_id", "turn", "role", "text")
     kept = maximal(turns).withColumnRenamed("conv_id", "_ch_id")
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
-    told = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), line.alias("line"))))
+    by = (F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    told = F.array_sort(F.collect_list(F.struct("turn", *by, line.alias("line"))))
     mine = turns.join(kept, F.col("conv_id") == F.col("_ch_id"))
     named = mine.groupBy("conv_id", "n_turns", "n_copies").agg(F.array_join(F.transform(told, lambda t: t["line"]), "").alias("rendered"))
     alone = turns.where("conv_id is null").withColumns(_hashes(F.lit(1))).select(F.col("one").alias("h1"), F.col("two").alias("h2"), line.alias("rendered")).dropDuplicates(["h1", "h2"])

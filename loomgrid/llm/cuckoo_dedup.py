@@ -179,6 +179,10 @@ def fold_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from groups.rows()
 
 
+#: Rows of equal text and id that one task numbers at a time.
+RUN = 1 << 16
+
+
 def with_digest(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return docs.withColumns({"_cx_digest": F.unhex(F.sha2(body, 256)), "_cx_octets": F.octet_length(body).cast("long")})
@@ -201,7 +205,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     marked = rows.join(groups, "_cx_digest").withColumn("_cx_kept", F.col("doc_id").eqNullSafe(F.col("_cx_keep")))
     if not groups.where("_cx_top > 1").isEmpty():
         # rows that agree in all that is returned: one for each group, and the others by number
-        several = groups.where("_cx_top > 1").withColumn("doc_id", F.col("_cx_keep")).withColumn("_cx_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_cx_top")))).withColumn("_cx_kept", F.col("_cx_n") == 1)
+        many = groups.where("_cx_top > 1").withColumn("doc_id", F.col("_cx_keep")).withColumn("_cx_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_cx_top") - 1) / RUN)))).repartition("_cx_digest", "_cx_run")
+        numbers = F.sequence(F.col("_cx_run") * RUN + 1, F.least("_cx_top", (F.col("_cx_run") + 1) * RUN))
+        several = many.withColumn("_cx_n", F.explode(numbers)).withColumn("_cx_kept", F.col("_cx_n") == 1)
         marked = marked.where("_cx_top = 1 or not _cx_kept").unionByName(several.select(marked.columns))
     return marked.select("doc_id", F.col("_cx_keep").alias("keep_id"), F.col("_cx_copies").alias("group_size"), F.col("_cx_kept").alias("kept"), F.lower(F.hex("_cx_digest")).alias("text_sha256"))
 

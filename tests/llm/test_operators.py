@@ -180,6 +180,20 @@ def test_exact_dedup(spark, docs, none):
         cuckoo_dedup.FLUSH = was
 
 
+def test_many_equal_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(cuckoo_dedup, "RUN", 7)
+    rows = spark.range(50).selectExpr("cast(null as long) as doc_id", "'a' as text").unionByName(spark.createDataFrame([(4, "b")], "doc_id long, text string"))
+    got = Counter(tuple(r) for r in cuckoo_dedup.exact_duplicates(rows).select("doc_id", "keep_id", "group_size", "kept").collect())
+    assert got == {(None, None, 50, True): 1, (None, None, 50, False): 49, (4, 4, 1, True): 1}
+
+
+def test_null_and_empty_roles_tie(spark):
+    """Order and hashes use one key: a null role stands where an empty one does."""
+    turns = spark.createDataFrame([(1, 0, None, "b"), (1, 0, "", "a"), (2, 0, "", "b"), (2, 0, None, "a")], "conv_id long, turn long, role string, text string")
+    got = sorted(r.rendered for r in chat_collapse.collapse(turns).collect())
+    assert got == ["<||>\na<|end|>\n<||>\nb<|end|>\n"] * 2
+
+
 def test_cuckoo_index_grows_and_forgets():
     index = cuckoo_dedup.CuckooIndex(8)
     keys = [(hashlib.sha256(str(i).encode()).digest(), i) for i in range(5000)]
