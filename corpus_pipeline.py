@@ -16,27 +16,46 @@ from loomgrid.session import staged
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null, empty and short texts go; equal rows share a verdict, so all of them stay or go; an empty table gives an empty one;
+    other columns pass through, names that begin with _qr_ are an error.
+    """
     return quality_rules.keep_good(docs)
 
 
 def one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
+    """Of equal texts the row with the largest doc_id.
+
+    A null text is an empty one; rows without a doc_id come last, and of rows that agree in text and doc_id one stays; an empty
+    table gives an empty one; other columns pass through, names that begin with _cx_ are an error.
+    """
     return cuckoo_dedup.keep_one_copy(docs)
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the row with the smallest doc_id."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the row with the smallest doc_id.
+
+    Texts without words and rows without a doc_id stay; rows that share a doc_id are one document and stay or go together; an
+    empty table gives an empty one; other columns pass through, names that begin with _nd_ are an error.
+    """
     return near_dedup.keep_one_of_each(docs, size=5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: rows repeat as often as the mix takes them."""
+    """Sources at their target weights: rows repeat as often as the mix takes them.
+
+    Null sources are one source, the last; null and empty texts have no size and are not taken; rows of equal hash keep a fixed
+    order; an empty table gives an empty one; other columns pass through, names that begin with _mx_ are an error.
+    """
     return mixing.repeated(mixing.mix(docs), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences: doc_id and the place of each piece, whatever other columns there are.
+
+    A null text is an empty one and has one id; repeated rows are packed each; an empty table gives no piece.
+    """
     pieces = packing.pack(docs)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
