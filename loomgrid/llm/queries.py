@@ -54,7 +54,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     index = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~_held_out(TOXIC_HELD))
-    return toxicity.score(docs, index).select("doc_id", _held_out(TOXIC_HELD).alias("held_out"), "score", _predicted())
+    return toxicity.score(docs, index).select("doc_id", _held_out(TOXIC_HELD).alias("held_out"), "score", _predicted(), "evidence")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
