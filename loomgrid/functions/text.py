@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +44,14 @@ def plain_terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), LETTER_OR_DIGIT), "")
 
 
+def placed(text: Column, analyse: Callable[[Column], Column]) -> Column:
+    """The terms of ``analyse`` in order, each with its place: the number of the run of letters and digits that it comes from."""
+    if analyse is plain_terms:
+        return F.transform(plain_terms(text), lambda t, i: F.struct(t.alias("term"), i.alias("place")))
+    runs = F.array_remove(F.split(text, LETTER_OR_DIGIT), "")
+    return F.flatten(F.transform(runs, lambda w, i: F.transform(analyse(w), lambda t: F.struct(t.alias("term"), i.alias("place")))))
+
+
 #: Other names of languages.
 LANGUAGE_OF_NAME = {
     "rs": "rust", "py": "python", "ts": "typescript", "js": "javascript", "c++": "cpp", "cxx": "cpp", "c#": "csharp",

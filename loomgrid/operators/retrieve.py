@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import clauses as C
 from . import search as S
 from .chunking import context
 from .store import Store, best_of, bm25_of
@@ -25,7 +26,8 @@ RESULT = "id long, file string, start int, end int, language string, scope strin
 @dataclass(frozen=True)
 class Options:
     """What a search may set. ``weight`` of the semantic list: by the query's class if None. ``excludes`` are globs on
-    path or base name; ``text_weight`` multiplies scores of chunks of language 'text' before containment."""
+    path or base name; ``text_weight`` multiplies scores of chunks of language 'text' before containment.
+    ``syntax``: phrases, signs and fields of the query are read, as in ``clauses``; they act on the lexical list."""
 
     mode: str = "hybrid"
     top_n: int = 10
@@ -38,6 +40,7 @@ class Options:
     rerank: bool = False
     text_weight: float = 0.5
     analyse: Callable[[Column], Column] = T.analyse
+    syntax: bool = False
 
     def __post_init__(self) -> None:
         if self.mode not in ("hybrid", "semantic", "lexical"):
@@ -50,11 +53,15 @@ class Options:
 
 def lexical(chunks: DataFrame, query: str, o: Options, index: Store | None = None, k: int | None = None, only: DataFrame | None = None) -> DataFrame:
     """id, score by BM25 over content and scope; the k best if k is given. Where no term of the query occurs, terms at edit
-    distance 1 stand in.
+    distance 1 stand in, unless the query has phrases, signs or fields.
 
     index: a stored version with the same chunks; its analyser is used and no text is read. only: chunk_id of the chunks that
     may be found; counts and lengths are those of all chunks.
     """
+    clauses = C.parse(query, tuple(BOOSTS)) if o.syntax else []
+    signed = any(not c.plain for c in clauses)
+    if clauses and not signed:
+        query = " ".join(c.text for c in clauses)
     analyse = o.analyse if index is None else index.analyse
     terms = chunks.sparkSession.range(1).select(analyse(F.lit(query))).first()[0]
     long = sorted({t for t in terms if len(t.encode()) > 2})
@@ -63,6 +70,8 @@ def lexical(chunks: DataFrame, query: str, o: Options, index: Store | None = Non
         some = scored if only is None else scored.join(only.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi")
         return some if k is None else S.top_k(some, k)
 
+    if signed:
+        return best(C.search(chunks, clauses, BOOSTS, analyse, index))
     if index is not None:
         asked = terms
         if long and index.terms(terms).isEmpty():

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import changes, chunking, code_chunks, hunks, index, retrieve, search, store, symbols
+from ..operators import changes, chunking, clauses, code_chunks, hunks, index, retrieve, search, store, symbols
 from ..session import shared_dir
 from ..streaming.watch import write_batch
 
@@ -34,6 +34,26 @@ def search_bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(store.bm25_of(_stored(spark, sf_dir), WORDS, {"content": 1.0}), 20).select("id", F.round("score", 6).alias("score"))
 
 
+#: A required word, a phrase, words of one field, and an excluded phrase.
+CLAUSES = '+and "of the" scope:src3 tion -"the the"'
+
+
+def _by_clauses(chunks: DataFrame, index: store.Store | None = None) -> DataFrame:
+    found = clauses.search(chunks, clauses.parse(CLAUSES, tuple(retrieve.BOOSTS)), retrieve.BOOSTS, T.plain_terms, index)
+    return search.top_k(found, 50).select("id", F.round("score", 6).alias("score"))
+
+
+def search_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and sources by the clauses of ``CLAUSES``, from their texts."""
+    return _by_clauses(_chunks(spark, sf_dir))
+
+
+def search_stored_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``search_clauses`` from the places of terms in an index that is stored first."""
+    index = _stored(spark, sf_dir)
+    return _by_clauses(index.chunks, index)
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
 
@@ -325,7 +345,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (search_bm25, search_bm25_index, search_vector, search_hybrid, vector_knn_batch, index_terms, chunk_text, camel_parts, language_counts, query_classes, snapshot_changes, snapshot_counts, contained_ranges, fuzzy_dictionary, keyword_overlap)
     named += (matched_lines, diff_hunks, diff_scope, index_ids, index_status, index_update, vector_reuse)
     named += (index_build, index_incremental, index_prune, changed_chunks, changed_ranges, embedding_texts, code_blocks)
-    named += (search_segments, fuzzy_index, search_in_changes, index_watch, code_terms, source_symbols)
+    named += (search_clauses, search_stored_clauses, search_segments, fuzzy_index, search_in_changes, index_watch, code_terms, source_symbols)
     return {f.__name__: f for f in named} | {k: _searched(*v) for k, v in SEARCHES.items()}
 
 
@@ -337,6 +357,19 @@ _BM25 = f"""
     df AS (SELECT term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY term),
     bm AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
            FROM tf JOIN df USING (term), s WHERE tf > 0 GROUP BY id)"""
+_TF = "len(list_filter({w}, lambda x: x = '{t}'))"
+_TF2 = "len(list_filter(range(1, len({w})), lambda i: {w}[i] = '{t}' AND {w}[i + 1] = '{u}'))"
+_CLAUSES = f"""WITH
+    w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS c,
+                 list_filter(regexp_split_to_array(lower(coalesce(source, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS s FROM documents),
+    t AS (SELECT id, len(c) AS cl, len(s) AS sl, {_TF.format(w='s', t='src3')} AS s_src,
+                 {", ".join(f"{_TF.format(w=w, t=t)} AS {w}_{t}" for w in 'cs' for t in ('and', 'tion', 'of', 'the'))},
+                 {", ".join(f"{_TF2.format(w=w, t=t, u='the')} AS {w}_{t}_the" for w in 'cs' for t in ('of', 'the'))} FROM w),
+    n AS (SELECT count(*) AS n, avg(cl) AS cm, avg(sl) AS sm, count_if(s_src > 0) AS ds_src,
+                 {", ".join(f"count_if({w}_{t} > 0) AS d{w}_{t}" for w in 'cs' for t in ('and', 'tion', 'of', 'the'))} FROM t),
+    i AS (SELECT n, cm, sm, {", ".join(f"ln(1 + (n - d{x} + 0.5) / (d{x} + 0.5)) AS i{x}" for x in ('s_src', *(f'{w}_{t}' for w in 'cs' for t in ('and', 'tion', 'of', 'the'))))} FROM n),
+    r AS (SELECT id, {" + ".join(f"{3.0 if x[0] == 's' else 1.0} * ({y}) * {x} * 2.2 / ({x} + 1.2 * (0.25 + 0.75 * {x[0]}l / (CASE WHEN {x[0]}m > 0 THEN {x[0]}m ELSE 1 END)))" for x, y in (('s_src', 'is_src'), *((f'{w}_{t}', f'i{w}_{t}') for w in 'cs' for t in ('and', 'tion')), *((f'{w}_of_the', f'i{w}_of + i{w}_the') for w in 'cs')))} AS score
+          FROM t, i WHERE c_and + s_and > 0 AND c_the_the + s_the_the = 0)"""
 _DOT = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
 _KNN = f"qv AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), vs AS (SELECT vec_id AS id, {_DOT.format(a='embedding', b='q')} AS score FROM embeddings, qv)"
 _SNAP = """
@@ -367,6 +400,8 @@ _LOW = "lower(coalesce(text, ''))"
 
 def oracle_sql() -> dict[str, str]:
     return _more_sql() | _store_sql() | {
+        "search_clauses": f"{_CLAUSES} SELECT id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 50",
+        "search_stored_clauses": f"{_CLAUSES} SELECT id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 50",
         "search_bm25_index": f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20",
         "search_bm25": f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20",
         "search_vector": f"WITH {_KNN} SELECT id, round(score, 6) AS score FROM vs ORDER BY vs.score DESC, id LIMIT 20",
