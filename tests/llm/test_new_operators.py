@@ -308,3 +308,35 @@ def test_url_rules_on_little(spark):
     assert [r.page_id for r in url_rules.keep_allowed(pages, [Listed("block", "a.org/")]).orderBy("page_id").collect()] == [2, 2]
     with pytest.raises(ValueError):
         url_rules.judge(pages.withColumn("_ur_host", F.lit(1)), LISTED)
+
+
+def mined(spark, labelled):
+    rows = spark.createDataFrame(labelled, "tokens array<string>, label string").repartition(3)
+    return sorted((r.label, r.tokens, r.n, r.n_tokens, r.confidence) for r in url_rules.mine(rows).collect())
+
+
+@pytest.mark.parametrize("items", [0, 4])
+def test_rules_of_urls_with_many_frequent_tokens(spark, monkeypatch, items):
+    """Every frequent token is mined, also those behind ITEMS others of their URL."""
+    rng = random.Random(items)
+    labelled = [(["h=a"] * (rng.random() < 0.9) + [f"q={x}" for x in rng.sample("bcdefghij", rng.randint(0, 8))], "") for _ in range(260)]
+    bad = [{"q=b", "q=c", "q=d"}, {"q=e", "q=f"}, {"h=a", "q=g", "q=h", "q=i"}]
+    labelled = [(ts, rng.choice(["allow", "other"]) if rng.random() < 0.04 or not any(b <= set(ts) for b in bad) else "block") for ts, _ in labelled]
+    labelled += [(["q=j", "q=k", "q=l"], "allow")] * 9 + [([], "block")] * 3
+    want = rules_of([(sorted(ts), label) for ts, label in labelled])
+    assert max(len(sub) for sub, _ in want) >= 3 and len(want) > 20
+    monkeypatch.setattr(url_rules, "ITEMS", items)
+    got = mined(spark, labelled)
+    assert [(label, ts, n, c) for label, ts, n, _, c in got] == sorted((label, list(sub), n, c) for (sub, label), (c, n) in want.items())
+    assert all(n_tokens == sum(set(ts) <= set(x) for x, _ in labelled) for _, ts, _, n_tokens, _ in got)
+
+
+def test_url_rule_behind_twelve_tokens(spark):
+    """Two names tell only together and come behind sixty that tell alone, in all URLs that have both."""
+    many = "&".join(f"p{i:02}=1" for i in range(60))
+    urls = [f"http://x.org/?{many}&a=1&b=1"] * 40 + ["http://a.org/?a=1"] * 40 + ["http://a.org/?b=1"] * 40
+    urls += ["http://new.com/?a=1&b=2", "http://new.com/?a=1", "http://new.com/?p59=1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_rules.judge(pages, [Listed("allow", "org/"), Listed("block", "x.org/")]).collect()}
+    assert (got[120]._ur_verdict, got[120]._ur_mined.tokens, got[120]._ur_mined.confidence) == ("block", ["q=a", "q=b"], 1.0)
+    assert got[121]._ur_mined is None and got[122]._ur_mined.tokens == ["q=p59"] and got[122]._ur_verdict == "block"
