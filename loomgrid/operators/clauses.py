@@ -145,7 +145,8 @@ def _stored(index: Store, pairs: list[tuple[str, str]], fields: list[str]):
     """One row for each chunk that holds one of the terms: one shuffle, of these terms' places alone."""
     df = {(r["term"], r["field"]): r["df"] for r in index.terms(sorted({t for t, _ in pairs})).collect()}
     these = [(F.col("term") == t) & (F.col("field") == f) for t, f in pairs]
-    places = index.of_segments("places").where(reduce(lambda a, b: a | b, these))
+    blocks = index.of_segments("blocks").where(reduce(lambda a, b: a | b, these))
+    places = blocks.select("term", "field", "segment", F.inline(F.arrays_zip("postings", "places"))).select("term", "field", "segment", "postings.id", "postings.dl", "places")
     columns = [F.max(F.when(c, F.col("places"))).alias(f"p{i}") for i, c in enumerate(these)]
     lengths = [F.max(F.when(F.col("field") == f, F.col("dl"))).alias(f"dl_{f}") for f in fields]
     return index.live(places, "id").groupBy("segment", "id").agg(*columns, *lengths), index.meta["n"], index.meta["means"], df
