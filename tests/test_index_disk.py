@@ -23,7 +23,13 @@ def size(*tops):
 def moved(spark):
     """Bytes of shuffle files."""
     dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
-    return sum(p.stat().st_size for d in dirs for p in Path(d).rglob("shuffle_*"))
+    total = 0
+    for p in [p for d in dirs for p in Path(d).rglob("shuffle_*")]:
+        try:
+            total += p.stat().st_size
+        except FileNotFoundError:
+            pass  # deleted meanwhile
+    return total
 
 
 def test_an_index_takes_little_disk(spark, tmp_path):
